@@ -211,7 +211,7 @@ def links(distinct: DataFrame, budget: int = BUDGET, node_size: int = NODE_SIZE)
 
 
 def groups(marked: DataFrame, doc_id: str = "doc_id", fingerprint: str = "fingerprint", budget: int = BUDGET, node_size: int = NODE_SIZE) -> DataFrame:
-    """(fp, component_id): for each distinct fingerprint the smallest id of its group.
+    """(fp, root, component_id): for each distinct fingerprint its group and the smallest id in it.
 
     marked should be a written table: it is read more than once.
     """
@@ -220,4 +220,4 @@ def groups(marked: DataFrame, doc_id: str = "doc_id", fingerprint: str = "finger
     joined = written(joined, "components")
     rooted = distinct.join(joined, distinct.fp == joined.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "r")
-    return written(rooted.join(written(least, "least"), F.col("root") == F.col("r")).select("fp", "component_id"), "groups")
+    return written(rooted.join(written(least, "least"), F.col("root") == F.col("r")).select("fp", "root", "component_id"), "groups")
