@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from weftgraph.catalog import Catalog
-from weftgraph.llm import queries_bpe, queries_dac, queries_mixing, queries_pii, queries_quality, queries_sharding, queries_simhash
+from weftgraph.llm import queries_bpe, queries_dac, queries_media, queries_mixing, queries_pii, queries_quality, queries_sharding, queries_simhash
 
 LLM_CATALOG = Catalog()
-for module in (queries_bpe, queries_dac, queries_mixing, queries_pii, queries_quality, queries_sharding, queries_simhash):
+for module in (queries_bpe, queries_dac, queries_media, queries_mixing, queries_pii, queries_quality, queries_sharding, queries_simhash):
     for name, one in module.CATALOG.items():
         LLM_CATALOG.add(name, one.sql, one.covers)(one.run)
