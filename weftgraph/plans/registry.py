@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from weftgraph.catalog import Catalog
-from weftgraph.plans import events, relational
+from weftgraph.plans import events, graphs, relational
 
 CATALOG = Catalog()
-for module in (relational, events):
+for module in (relational, events, graphs):
     for name, one in module.CATALOG.items():
         CATALOG.add(name, one.sql, one.covers)(one.run)
