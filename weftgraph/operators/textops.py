@@ -96,10 +96,13 @@ def simhash64(text: Column) -> tuple[Column, Column]:
     grams = F.transform(F.sequence(F.lit(1), n), lambda i: F.md5(F.array_join(F.slice(parts, i, 3), " ").cast("binary")))
     half = lambda start: F.transform(grams, lambda g: F.conv(F.substring(g, start, 8), 16, 10).cast("long"))
 
+    def counter(b):
+        return lambda s, v: s + F.shiftright(v, b).bitwiseAND(F.lit(1)).cast("int")
+
     def bits(values):
         out = F.lit(0).cast("long")
         for b in range(32):
-            ones = F.aggregate(values, F.lit(0), lambda s, v, b=b: s + F.shiftright(v, b).bitwiseAND(F.lit(1)).cast("int"))
+            ones = F.aggregate(values, F.lit(0), counter(b))
             out = out + F.when(2 * ones > n, F.lit(1 << b)).otherwise(0)
         return out
 
