@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -20,16 +21,41 @@ class Edges:
     end: str
 
 
+class Lazy(Mapping):
+    """name -> value, made when it is first asked for: a statement opens only the tables that it needs."""
+
+    def __init__(self, makers: Mapping[str, Callable]):
+        self.makers, self.made = dict(makers), {}
+
+    @staticmethod
+    def with_one(old: Mapping, name: str, value) -> Lazy:
+        makers = old.makers if isinstance(old, Lazy) else {k: lambda v=v: v for k, v in old.items()}
+        new = Lazy({**makers, name: lambda: value})
+        new.made = {k: v for k, v in old.made.items() if k != name} if isinstance(old, Lazy) else {}
+        return new
+
+    def __getitem__(self, name):
+        if name not in self.made:
+            self.made[name] = self.makers[name]()
+        return self.made[name]
+
+    def __iter__(self):
+        return iter(self.makers)
+
+    def __len__(self):
+        return len(self.makers)
+
+
 @dataclass
 class PropertyGraph:
-    nodes: dict[str, DataFrame] = field(default_factory=dict)
-    edges: dict[str, Edges] = field(default_factory=dict)
+    nodes: Mapping[str, DataFrame] = field(default_factory=dict)
+    edges: Mapping[str, Edges] = field(default_factory=dict)
 
     def with_nodes(self, label: str, df: DataFrame) -> PropertyGraph:
-        return replace(self, nodes={**self.nodes, label: df})
+        return replace(self, nodes=Lazy.with_one(self.nodes, label, df))
 
     def with_edges(self, kind: str, edges: Edges) -> PropertyGraph:
-        return replace(self, edges={**self.edges, kind: edges})
+        return replace(self, edges=Lazy.with_one(self.edges, kind, edges))
 
     def scan(self, label: str) -> DataFrame:
         if label not in self.nodes:
@@ -85,25 +111,32 @@ def node_id(letter: str, *keys: str):
 
 def graph_of_tables(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     """The tables as a graph; nothing is read until a statement needs it."""
-    g = PropertyGraph()
-    t = {name: table(spark, sf_dir, name) for name, *_ in KEYS.values()} | {"lineitem": table(spark, sf_dir, "lineitem")}
-    for label, (name, letter, keys, shown) in KEYS.items():
+    opened = Lazy({name: lambda name=name: table(spark, sf_dir, name) for name in [*(k[0] for k in KEYS.values()), "lineitem"]})
+
+    def labelled(name, letter, keys, shown):
         ident = node_id(letter, *keys)
-        g.nodes[label] = t[name].select(ident.alias("id"), (F.col(shown) if shown else ident).alias("name"), "*")
-    one = F.lit(1.0).alias("weight")
-
-    def link(kind, df, start, end, source, target, weight=one):
-        g.edges[kind] = Edges(df.select(node_id(*source).alias("source"), node_id(*target).alias("target"), weight), start, end)
-
-    link("IN_REGION", t["nation"], "Nation", "Region", ("N", "n_nationkey"), ("R", "n_regionkey"))
-    link("LIVES_IN", t["customer"], "Customer", "Nation", ("C", "c_custkey"), ("N", "c_nationkey"))
-    link("BASED_IN", t["supplier"], "Supplier", "Nation", ("S", "s_suppkey"), ("N", "s_nationkey"))
-    link("PLACED", t["orders"], "Customer", "Order", ("C", "o_custkey"), ("O", "o_orderkey"))
-    link("CONTAINS", t["lineitem"], "Order", "Part", ("O", "l_orderkey"), ("P", "l_partkey"), F.col("l_quantity").alias("weight"))
-    link("SHIPPED_BY", t["lineitem"], "Order", "Supplier", ("O", "l_orderkey"), ("S", "l_suppkey"))
-    pairs = t["lineitem"].groupBy("l_suppkey", "l_partkey").agg(F.count("*").cast("double").alias("weight"))
-    link("SUPPLIES", pairs, "Supplier", "Part", ("S", "l_suppkey"), ("P", "l_partkey"), F.col("weight"))
-    turns = t["conversations"]
-    after = turns.selectExpr("conv_id", "turn", "lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS next_turn").filter("next_turn IS NOT NULL")
-    link("NEXT", after, "Turn", "Turn", ("T", "conv_id", "turn"), ("T", "conv_id", "next_turn"))
-    return g
+        return opened[name].select(ident.alias("id"), (F.col(shown) if shown else ident).alias("name"), "*")
+
+    def link(df, start, end, source, target, weight=None):
+        w = F.lit(1.0) if weight is None else F.col(weight)
+        return Edges(df.select(node_id(*source).alias("source"), node_id(*target).alias("target"), w.alias("weight")), start, end)
+
+    def supplies():
+        pairs = opened["lineitem"].groupBy("l_suppkey", "l_partkey").agg(F.count("*").cast("double").alias("weight"))
+        return link(pairs, "Supplier", "Part", ("S", "l_suppkey"), ("P", "l_partkey"), "weight")
+
+    def following():
+        after = opened["conversations"].selectExpr("conv_id", "turn", "lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS next_turn").filter("next_turn IS NOT NULL")
+        return link(after, "Turn", "Turn", ("T", "conv_id", "turn"), ("T", "conv_id", "next_turn"))
+
+    edges = {
+        "IN_REGION": lambda: link(opened["nation"], "Nation", "Region", ("N", "n_nationkey"), ("R", "n_regionkey")),
+        "LIVES_IN": lambda: link(opened["customer"], "Customer", "Nation", ("C", "c_custkey"), ("N", "c_nationkey")),
+        "BASED_IN": lambda: link(opened["supplier"], "Supplier", "Nation", ("S", "s_suppkey"), ("N", "s_nationkey")),
+        "PLACED": lambda: link(opened["orders"], "Customer", "Order", ("C", "o_custkey"), ("O", "o_orderkey")),
+        "CONTAINS": lambda: link(opened["lineitem"], "Order", "Part", ("O", "l_orderkey"), ("P", "l_partkey"), "l_quantity"),
+        "SHIPPED_BY": lambda: link(opened["lineitem"], "Order", "Supplier", ("O", "l_orderkey"), ("S", "l_suppkey")),
+        "SUPPLIES": supplies,
+        "NEXT": following,
+    }
+    return PropertyGraph(Lazy({label: lambda k=k: labelled(*k) for label, k in KEYS.items()}), Lazy(edges))

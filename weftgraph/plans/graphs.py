@@ -343,7 +343,7 @@ def stream_interval_join(spark, d):
 @q("stream_changes", "SELECT event_id, event_type FROM events WHERE event_type IN ('signup', 'purchase')", "X3 X4 X5 X1 X13 X15")
 def stream_changes(spark, d):
     """Emits on operations, published as files exactly once, read back."""
-    folder = tempfile.mkdtemp(prefix="weftgraph-") if not spark.conf.get("spark.checkpoint.dir", None) else f"{spark.conf.get('spark.checkpoint.dir')}/changes-{spark.sparkContext.applicationId}-{id(d)}"
+    folder = scratch(spark)
     rows = stream(spark, d).withColumns({"operation": F.col("event_type"), "label": F.lit("Event")})
     some = streams.changes(rows, ["signup", "purchase"], ["Event"]).select("event_id", "event_type")
     streams.published(some, f"{folder}/out", f"{folder}/checkpoint")
