@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from weftgraph.catalog import Catalog
-from weftgraph.plans import corpus, events, graphs, relational
+from weftgraph.plans import corpus, entities, events, graphs, relational
 
 CATALOG = Catalog()
-for module in (relational, events, graphs, corpus):
+for module in (relational, events, graphs, corpus, entities):
     for name, one in module.CATALOG.items():
         CATALOG.add(name, one.sql, one.covers)(one.run)
