@@ -21,6 +21,8 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 K = 3
 SLACK = 4
 COVERAGE = 0.6
+#: Template places that are sent to all executors at most, some 100 bytes each.
+MOST_PLACES = 20_000
 
 # The base phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -67,6 +69,8 @@ def template_places(spark: SparkSession) -> DataFrame:
     rows = [(f"={label}", phrase.split(), len(phrase.split())) for phrase, label in PHRASES.items()]
     rows += [(label, text.split(), K) for label, text in TEMPLATES.items()]
     flat = [(name, i, len(w) - k + 1, k, *(w[i : i + k] + [None] * (3 - k))) for name, w, k in rows for i in range(len(w) - k + 1)]
+    if len(flat) > MOST_PLACES:
+        raise ValueError("too many template places to broadcast")
     df = spark.createDataFrame(flat, "template string, place int, runs int, k int, a string, b string, c string")
     return df.select(F.when(F.col("k") == 2, F.xxhash64("a", "b")).otherwise(F.xxhash64("a", "b", "c")).alias("h"), "template", "place", "runs", "k")
 
@@ -80,7 +84,7 @@ def hits(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     df = docs.select(F.col(key).alias("key"), words(F.col(text)).alias("_w"), F.lower(F.col(text)).contains("license").alias("_l"))
     df = df.withColumn("_a", runs("_w", 3)).withColumn("_b", F.when(F.col("_l"), runs("_w", 2)).otherwise(F.expr("CAST(array() AS array<bigint>)")))
     df = df.select("key", F.size("_a").alias("_n"), F.posexplode(F.concat("_a", "_b")).alias("_p", "h"))
-    places = template_places(docs.sparkSession)
+    places = F.broadcast(template_places(docs.sparkSession))  # a fixed list of this module: its size is checked there
     place = F.when(F.col("_p") < F.col("_n"), F.col("_p")).otherwise(F.col("_p") - F.col("_n"))
     return df.withColumn("start", place).join(places, "h").select("key", "start", "template", F.col("place").alias("at"), "runs", "k")
 
