@@ -122,8 +122,7 @@ def test_duplicates(spark):
     ids = spark.createDataFrame([(i,) for i in range(5)], "id long")
     pairs = spark.createDataFrame([(0, 1), (1, 2), (3, 4)], "a long, b long")
     assert rows(T.first_come(ids, pairs), "id", "kept") == [(0, True), (1, False), (2, True), (3, True), (4, False)]
-    hi, lo = T.simhash64(F.col("t"))
-    t = spark.createDataFrame([(1, "one two three four five six"), (2, "one two three four five six"), (3, "ab"), (4, "")], "id long, t string").select("id", hi.alias("hi"), lo.alias("lo"))
+    t = spark.createDataFrame([(1, "one two three four five six"), (2, "one two three four five six"), (3, "ab"), (4, "")], "id long, t string").transform(lambda df: T.with_simhash(df, "t"))
     got = {r.id: (r.hi, r.lo) for r in t.collect()}
     import hashlib
 

@@ -86,27 +86,25 @@ def short_hash(text: Column) -> Column:
     return F.substring(F.sha2(F.substring(text, 1, 2000), 256), 1, 24)
 
 
-def simhash64(text: Column) -> tuple[Column, Column]:
-    """The high and the low half of a fingerprint from the low 64 bits of the md5 of word 3-grams; texts of fewer
-    words use characters. Halves stay non-negative longs."""
-    low = F.regexp_replace(F.lower(F.trim(text)), r"\s+", " ")
+def with_simhash(df: DataFrame, text: str = "text") -> DataFrame:
+    """Adds hi and lo, the halves of a fingerprint from the low 64 bits of the md5 of word 3-grams; texts of fewer words
+    use characters. Each step is a column of its own, so that nothing is hashed twice."""
+    low = F.regexp_replace(F.lower(F.trim(F.coalesce(text, F.lit("")))), r"\s+", " ")
     words = F.filter(F.split(low, r"\s+"), lambda x: x != "")
     parts = F.when(F.size(words) < 3, F.filter(F.split(low, ""), lambda x: x != "")).otherwise(words)
-    n = F.greatest(F.lit(1), F.size(parts) - 2)
-    grams = F.transform(F.sequence(F.lit(1), n), lambda i: F.md5(F.array_join(F.slice(parts, i, 3), " ").cast("binary")))
-    half = lambda start: F.transform(grams, lambda g: F.conv(F.substring(g, start, 8), 16, 10).cast("long"))
-
-    def counter(b):
-        return lambda s, v: s + F.shiftright(v, b).bitwiseAND(F.lit(1)).cast("int")
-
-    def bits(values):
-        out = F.lit(0).cast("long")
-        for b in range(32):
-            ones = F.aggregate(values, F.lit(0), counter(b))
-            out = out + F.when(2 * ones > n, F.lit(1 << b)).otherwise(0)
-        return out
-
-    return bits(half(17)), bits(half(25))
+    df = df.withColumn("_p", parts).withColumn("_n", F.greatest(F.lit(1), F.size("_p") - 2))
+    df = df.withColumn("_g", F.transform(F.sequence(F.lit(1), F.col("_n")), lambda i: F.md5(F.array_join(F.slice("_p", i, 3), " ").cast("binary"))))
+    half = lambda start: F.transform("_g", lambda g: F.conv(F.substring(g, start, 8), 16, 10).cast("long"))
+    df = df.withColumns({"_hi": half(17), "_lo": half(25)})
+
+    def add(sums, v):
+        # four counters of 16 bits would overflow on long texts, so there is one counter for each bit
+        return F.zip_with(sums, F.array(*[F.shiftright(v, b).bitwiseAND(F.lit(1)).cast("int") for b in range(32)]), lambda x, y: x + y)
+
+    zeros = F.array_repeat(F.lit(0), 32)
+    df = df.withColumns({"_sh": F.aggregate("_hi", zeros, add), "_sl": F.aggregate("_lo", zeros, add)})
+    bits = lambda c: sum((F.when(2 * F.get(c, b) > F.col("_n"), F.lit(1 << b).cast("long")).otherwise(0) for b in range(32)), F.lit(0).cast("long"))
+    return df.withColumns({"hi": bits("_sh"), "lo": bits("_sl")}).drop("_p", "_n", "_g", "_hi", "_lo", "_sh", "_sl")
 
 
 def near_pairs(marked: DataFrame, most: int = 6) -> DataFrame:

@@ -42,8 +42,7 @@ def dedup_simhash(spark, d):
     """First come wins among texts within six bits; equal fingerprints follow their smallest id."""
     from weftgraph.operators.lineage import cut
 
-    hi, lo = T.simhash64(F.col("text"))
-    marked = cut(documents(spark, d).select(F.col("doc_id").alias("id"), hi.alias("hi"), lo.alias("lo")))
+    marked = cut(T.with_simhash(documents(spark, d).select(F.col("doc_id").alias("id"), "text")).select("id", "hi", "lo"))
     reps = marked.groupBy("hi", "lo").agg(F.min("id").alias("id"))
     state = T.first_come(reps, T.near_pairs(marked))
     return marked.join(state, "id", "left").select("id", F.coalesce("kept", F.lit(False)).alias("kept"))
