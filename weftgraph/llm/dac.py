@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import struct
 from dataclasses import dataclass
+from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,9 @@ MAGIC = b"WDAC0001"
 CHUNK = 8
 BLOCK_WORDS = 8  # words of a bitmap for each number of the rank directory: 512 bits
 #: Documents of a file, about; 0 marks a null id in the file's table of ids.
-FILE_DOCS = 8192
+FILE_DOCS = 4096
+#: Entries of a worker's cache before it starts over; bounds its memory, not the result.
+REMEMBERED = 400_000
 
 
 @dataclass
@@ -51,9 +55,9 @@ class Level:
 
 
 def levels_of(ids: np.ndarray) -> list[Level]:
-    values, out = ids.astype(np.uint64), []
+    values, out = ids.astype(np.uint32), []
     while True:
-        more = values >> np.uint64(CHUNK)
+        more = values >> np.uint32(CHUNK)
         goes_on = more != 0
         words = -(-len(values) // (64 * BLOCK_WORDS)) * BLOCK_WORDS
         bits = np.zeros(words * 64, np.uint8)
@@ -61,7 +65,7 @@ def levels_of(ids: np.ndarray) -> list[Level]:
         bitmap = np.packbits(bits, bitorder="little").view("<u8")
         upto = np.cumsum(np.bitwise_count(bitmap), dtype=np.uint32)
         ranks = np.concatenate([np.zeros(1, np.uint32), upto[BLOCK_WORDS - 1 :: BLOCK_WORDS]]).astype("<u4")
-        out.append(Level((values & np.uint64((1 << CHUNK) - 1)).astype(np.uint8), bitmap, ranks))
+        out.append(Level((values & np.uint32((1 << CHUNK) - 1)).astype(np.uint8), bitmap, ranks))
         if not goes_on.any():
             return out
         values = more[goes_on]
@@ -192,43 +196,99 @@ def starts(files: DataFrame) -> DataFrame:
     return inside.join(above, F.col("g") == F.col("h")).select(F.col("file").alias("_file"), (F.col("base") + F.col("inner")).alias("before"))
 
 
-def encoded(docs: DataFrame, tokenizer: str, end_id: int | None, text: str = "text") -> DataFrame:
-    """(doc_id, ids) by a file of the tokenizers library, special tokens' strings being plain text.
+CLOSING = ".,;:!?"
+
+
+class Pieces:
+    """A worker's tokenizer, and the ids of the runs of visible characters that it has met.
 
-    White space separates pre-tokens in every case, so the distinct runs of other characters of a batch
-    are encoded once each and put together again.
+    White space separates pre-tokens whatever stands around it, and a run of letters is a pre-token. So the
+    distinct runs of a batch are encoded once, and one closing mark behind letters is looked up by itself.
     """
 
-    def run(batches):
-        import pyarrow.compute as pc
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        own = Tokenizer.from_file(tokenizer)
-        own.encode_special_tokens = True
-        known: dict[str, np.ndarray] = {}
+        self.own = Tokenizer.from_file(path)
+        self.own.encode_special_tokens = True
+        self.known: dict[str, bytes] = {}
+
+    def ids(self, runs: list[str]) -> list[bytes]:
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        new = [r for r in runs if r not in self.known]
+        plain = [r for r in new if r.isalpha()]
+        for k in range(0, len(plain), 1000):
+            some = plain[k : k + 1000]
+            found = self.own.encode(" ".join(some), add_special_tokens=False)
+            words, ids = np.array(found.word_ids, np.int64), np.array(found.ids, np.int32)
+            cuts = np.flatnonzero(np.diff(words, prepend=-1)) if len(words) else words
+            if len(cuts) == len(some) and (np.diff(words) >= 0).all():
+                data, ends = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
+                self.known.update((w, data[x:y]) for w, x, y in zip(some, ends, ends[1:], strict=False))
+            else:
+                self.alone(some)
+        self.alone([r for r in new if not r.isalpha()])
+        return list(map(self.known.__getitem__, runs))
+
+    def alone(self, runs: list[str]) -> None:
+        for k in range(0, len(runs), 5000):
+            some = runs[k : k + 5000]
+            self.known.update((p, np.array(e.ids, np.int32).tobytes()) for p, e in zip(some, self.own.encode_batch(some, add_special_tokens=False), strict=True))
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+        """(for each piece two places in the list, of the piece and of its closing mark; the list; bounds of the texts)."""
+        import pyarrow.compute as pc
+
+        parts = pc.split_pattern(pc.ascii_lower(texts.fill_null("")), " ")
+        bounds = parts.offsets.to_numpy().astype(np.int64) - parts.offsets[0].as_py()
+        flat = parts.flatten()
+        core = pc.utf8_rtrim(flat, characters=CLOSING)
+        behind = (pc.binary_length(flat).to_numpy() - pc.binary_length(core).to_numpy()) if len(flat) else np.zeros(0, np.int64)
+        coded = core.dictionary_encode()
+        which, cores = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        letters = np.array([c.isalpha() and (c.isascii() or (is_normalized("NFC", c) and c.lower() == c)) for c in cores], bool)
+        split = letters[which] & (behind == 1) if len(which) else behind.astype(bool)
+        whole = np.flatnonzero((behind > 0) & ~split)
+        rest = flat.take(pa.array(whole)).dictionary_encode()
+        where = which.copy()
+        where[whole] = len(cores) + rest.indices.to_numpy()
+        used = cores + rest.dictionary.to_pylist()
+        needed = np.zeros(len(used), bool)
+        needed[where] = True
+        found = iter(self.ids([r for r, n in zip(used, needed, strict=True) if n]))
+        packed_ids = [next(found) if n else b"" for n in needed] + self.ids(list(CLOSING)) + [b""]
+        mark = np.full(len(where), len(packed_ids) - 1)
+        at = np.flatnonzero(split)
+        last = pc.utf8_slice_codeunits(flat.take(pa.array(at)), -1)
+        mark[at] = len(used) + pc.index_in(last, pa.array(list(CLOSING))).to_numpy(zero_copy_only=False)
+        return np.stack([where, mark], axis=1).ravel(), packed_ids, bounds
+
+
+@lru_cache(1)
+def pieces_of(path: str) -> Pieces:
+    """One for all tasks of a worker process."""
+    return Pieces(path)
+
+
+def encoded(docs: DataFrame, tokenizer: str, end_id: int | None, text: str = "text") -> DataFrame:
+    """(doc_id, ids) by a file of the tokenizers library, special tokens' strings being plain text."""
+
+    def run(batches):
+        own = pieces_of(tokenizer)
         end = np.array([] if end_id is None else [end_id], np.int32)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                parts = pc.split_pattern(part.column(text).fill_null(""), " ")
-                bounds = parts.offsets.to_numpy().astype(np.int64) - parts.offsets[0].as_py()
-                coded = parts.flatten().dictionary_encode()
-                which, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
-                if len(known) > 500_000:
-                    known.clear()
-                new = [p for p in distinct if p not in known]
-                for k in range(0, len(new), 20_000):
-                    some = new[k : k + 20_000]
-                    known.update((p, np.array(e.ids, np.int32).tobytes()) for p, e in zip(some, own.encode_batch(some, add_special_tokens=False), strict=True))
-                packed_ids = [known[p] for p in distinct] + [end.tobytes()]
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                order, packed_ids, bounds = own.batch(part.column(text))
+                packed_ids.append(end.tobytes())
                 sizes = np.fromiter(map(len, packed_ids), np.int64, len(packed_ids)) // 4
                 firsts = np.cumsum(sizes) - sizes
-                # the end id follows the last piece of each document
-                order = np.insert(which, bounds[1:], len(distinct))
+                order = np.insert(order, 2 * bounds[1:], len(packed_ids) - 1)  # the end id follows each document
                 taken = sizes[order]
                 ends = np.concatenate([[0], np.cumsum(taken)])
                 flat = np.frombuffer(b"".join(packed_ids), np.int32)[np.repeat(firsts[order] - ends[:-1], taken) + np.arange(ends[-1])]
-                lists = pa.ListArray.from_arrays(pa.array(ends[bounds + np.arange(len(bounds))], pa.int32()), pa.array(flat))
+                lists = pa.ListArray.from_arrays(pa.array(ends[2 * bounds + np.arange(len(bounds))], pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], names=["doc_id", "ids"])
 
     return docs.select("doc_id", text).mapInArrow(run, "doc_id long, ids array<int>")
