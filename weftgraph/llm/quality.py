@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from weftgraph.llm.shared import WORD, words
+from weftgraph.llm.shared import WORD, words, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 METRICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -142,7 +142,7 @@ def thresholds(measured: DataFrame, language: str = "lang", source: str = "sourc
 
     The size of this table is that of the set of (language, source), not of the corpus.
     """
-    own = sketches(measured, (language, source))
+    own = written(sketches(measured, (language, source)), "sketches")
     a = fences(own, (language, source)).withColumnsRenamed({"docs": "docs_0", "fence": "fence_0"})
     b = fences(merged(own, (language,)), (language,)).select(F.col(language).alias("_l"), F.col("rule").alias("_r"), F.col("docs").alias("docs_1"), F.col("fence").alias("fence_1"))
     c = fences(merged(own, ()), ()).select(F.col("rule").alias("_q"), F.col("fence").alias("fence_2"))
