@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from weftgraph.llm import bpe, mixing, pii, quality, simhash
@@ -15,28 +16,31 @@ SHARE, EPOCHS, SEED = (1, 1), 4, 11
 WEIGHTS: dict[tuple, int] = {}
 
 
-def _numbered(docs):
-    """A number for each row, fixed by writing the table once."""
-    return docs.withColumn("_row", F.monotonically_increasing_id())
+def _keyed(docs):
+    """The documents with a key for each row: its file and place there, as they are read from Parquet."""
+    try:
+        return docs.select("*", F.concat_ws("#", "_metadata.file_name", "_metadata.row_index").alias("_row"))
+    except AnalysisException:  # a DataFrame of another kind is written once, which fixes its numbers
+        return written(docs.withColumn("_row", F.monotonically_increasing_id().cast("string")), "keyed")
 
 
 def quality_rules(spark, docs, sf_dir):
-    """Documents that the adaptive rules reject go."""
-    names = docs.columns
-    rows = written(quality.rates(quality.with_metrics(docs)), "quality")
+    """Documents that the adaptive rules reject go. Metrics are computed twice, so that no text is stored."""
+    rows = quality.rates(quality.with_metrics(docs))
     limits = written(quality.thresholds(rows), "fences")
-    return quality.judged(rows, limits).filter("kept").select(*names)
+    return quality.judged(rows, limits).filter("kept").select(*docs.columns)
 
 
 def near_duplicates(spark, docs, sf_dir):
     """Of each group of near duplicates the document with the smallest id stays."""
-    names = docs.columns
-    rows = written(simhash.with_fingerprint(_numbered(docs), out="_fp"), "marked")
-    groups = simhash.groups(rows, fingerprint="_fp")
-    first = rows.join(groups, rows["_fp"] == groups["fp"]).groupBy("root")
-    first = first.agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_stays"))
-    stays = written(first.select("_stays"), "stays")
-    return rows.join(stays, rows["_row"] == stays["_stays"], "left_semi").select(*names)
+    rows = _keyed(docs)
+    marked = simhash.with_fingerprint(rows.select("_row", "doc_id", "text"), out="_fp").select("_row", "doc_id", "_fp")
+    marked = written(marked, "marked")
+    groups = simhash.groups(marked, fingerprint="_fp")
+    first = marked.join(groups, marked["_fp"] == groups["fp"]).groupBy("root")
+    stays = first.agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_stays")).select("_stays")
+    stays = written(stays, "stays").hint("merge")  # a row a document left: it grows with the corpus and is never broadcast
+    return rows.join(stays, rows["_row"] == stays["_stays"], "left_semi").select(*docs.columns)
 
 
 def pseudonyms(spark, docs, sf_dir):
@@ -46,11 +50,11 @@ def pseudonyms(spark, docs, sf_dir):
 
 def mix(spark, docs, sf_dir):
     """Documents as often as the budgets of their leaves take them."""
-    names = docs.columns
-    rows = written(with_tree(_numbered(docs)), "tree")
-    chosen = mixing.mixed(rows.select("doc_id", "_row", "domain", "lang", "source", "tokens"), SHARE, WEIGHTS, SEED, EPOCHS)
-    times = chosen.select(F.col("_row").alias("_taken"))
-    return rows.join(times, rows["_row"] == F.col("_taken")).select(*names)
+    rows = _keyed(docs)
+    tree = written(with_tree(rows).select("doc_id", "_row", "domain", "lang", "source", "tokens"), "tree")
+    chosen = mixing.mixed(tree, SHARE, WEIGHTS, SEED, EPOCHS)
+    times = written(chosen.select(F.col("_row").alias("_taken")), "taken").hint("merge")
+    return rows.join(times, rows["_row"] == times["_taken"]).select(*docs.columns)
 
 
 def encode(spark, docs, sf_dir):
