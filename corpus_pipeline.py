@@ -25,10 +25,15 @@ def _keyed(docs):
 
 
 def quality_rules(spark, docs, sf_dir):
-    """Documents that the adaptive rules reject go. Metrics are computed twice, so that no text is stored."""
-    rows = quality.rates(quality.with_metrics(docs))
-    limits = written(quality.thresholds(rows), "fences")
-    return quality.judged(rows, limits).filter("kept").select(*docs.columns)
+    """Documents that the adaptive rules reject go. The metrics are written first: a filter on them must not be
+    pushed into their computation, which would repeat it for every element."""
+    rows = _keyed(docs)
+    needed = quality.rates(quality.with_metrics(rows.select("_row", "text", "lang", "source"))).drop("text")
+    measured = written(needed, "quality")
+    limits = written(quality.thresholds(measured), "fences")
+    kept = quality.judged(measured, limits).filter("kept").select(F.col("_row").alias("_kept"))
+    kept = written(kept, "kept").hint("merge")
+    return rows.join(kept, rows["_row"] == kept["_kept"], "left_semi").select(*docs.columns)
 
 
 def near_duplicates(spark, docs, sf_dir):
