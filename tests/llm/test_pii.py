@@ -46,6 +46,27 @@ def test_permutation(size, tweak):
     assert len(set(out)) == len(out) and all(0 <= y < size and y != x and p.value(y) == x for x, y in enumerate(out))
 
 
+@pytest.mark.parametrize("n", [128, 129, 172, 300, 2000, 5000])
+@pytest.mark.parametrize("chars", ["Ab1x-_.", "0123456789abcdef", "7"])
+def test_long_secrets(n, chars):
+    value = (chars * n)[:n]
+    text = f"token: {value} end"
+    masked, spans = pii.Masker(KEY).mask(text)
+    assert spans == [(0, 7 + n, "secret")] and masked[:7] == "token: " and masked[7 + n :] == " end"
+    same = sum(a == b for a, b in zip(masked[7 : 7 + n], value)) - sum(c in "-_." for c in value)
+    assert same < n / 3 and {c for c in masked[7 : 7 + n] if c in "-_."} == {c for c in value if c in "-_."}
+    assert pii.Masker(KEY, reveal=True).mask(masked)[0] == text and pii.Masker(b"other").mask(text)[0] != masked
+    other = pii.Masker(KEY).mask(text.replace(value, value[:-1] + "2"))[0]
+    assert other != masked
+
+
+def test_long_secret_before_an_address():
+    text = "token=" + "Ab1x" * 60 + "/joe.b12@mail8.example.com"
+    masked, spans = pii.Masker(KEY).mask(text)
+    assert spans == [(0, 247, "secret"), (247, 272, "email")] and "Ab1xAb1x" not in masked
+    assert pii.Masker(KEY, reveal=True).mask(masked)[0] == text
+
+
 def test_rows(spark):
     rows = [(1, "a@b.co a@b.co", 5), (None, None, None), (1, "", 5), (2, "x" * 200_000 + " 70.1.2.3", 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, pii_spans int")

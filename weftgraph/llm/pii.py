@@ -19,12 +19,15 @@ from bisect import bisect_left
 from dataclasses import dataclass
 from datetime import date, timedelta
 from functools import lru_cache
+from math import log2
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 ROUNDS = 8
+#: Bits of the widest value that is permuted as one number: what a digest holds.
+WIDE = 896
 LETTERS, UPPER, DIGITS, HEX, BASE32 = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -36,7 +39,7 @@ class Permutation:
         self.size = size
         self.half = max(1, ((size - 1).bit_length() + 1) // 2)
         self.mask = (1 << self.half) - 1
-        self.base = hashlib.blake2b(tweak.encode() + b"|" + str(size).encode(), key=key[:64], digest_size=(self.half + 7) // 8 + 8 if self.half <= 448 else 64)
+        self.base = hashlib.blake2b(tweak.encode() + b"|" + str(size).encode(), key=key[:64], digest_size=(self.half + 7) // 8 + 8)
 
     def _round(self, k: int, x: int) -> int:
         h = self.base.copy()
@@ -68,6 +71,42 @@ class Permutation:
         return self.back((self.forth(x) - 1) % self.size)
 
 
+class WidePermutation:
+    """The same for values beyond WIDE bits, as lists of digits in mixed bases: the halves are added to each other's
+    digits, hashed to any width, so time grows with the length alone."""
+
+    def __init__(self, key: bytes, tweak: str, bases: list[int]):
+        self.bases = bases
+        self.free = [k for k, b in enumerate(bases) if b > 1]
+        cut = len(self.free) // 2
+        self.halves = self.free[:cut], self.free[cut:]
+        self.base = hashlib.blake2b(tweak.encode(), key=key[:64]).digest()
+
+    def _add(self, x: list[int], k: int, sign: int) -> None:
+        from_, to = self.halves[k % 2], self.halves[1 - k % 2]
+        stream = hashlib.shake_256(self.base + bytes([k]) + bytes(x[p] for p in from_)).digest(8 * len(to))
+        for n, p in enumerate(to):
+            x[p] = (x[p] + sign * int.from_bytes(stream[8 * n : 8 * n + 8], "big")) % self.bases[p]
+
+    def _moved(self, x: list[int], step: int) -> list[int]:
+        x = list(x)
+        for k in range(ROUNDS):
+            self._add(x, k, 1)
+        for p in reversed(self.free):  # plus or minus one, with its carry
+            x[p] = (x[p] + step) % self.bases[p]
+            if x[p] != (0 if step > 0 else self.bases[p] - 1):
+                break
+        for k in reversed(range(ROUNDS)):
+            self._add(x, k, -1)
+        return x
+
+    def pseudonym(self, x: list[int]) -> list[int]:
+        return self._moved(x, 1)
+
+    def value(self, x: list[int]) -> list[int]:
+        return self._moved(x, -1)
+
+
 def luhn(digits: str) -> int:
     """The check digit that belongs behind the digits."""
     total = sum(int(c) if k % 2 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(digits)))
@@ -121,6 +160,7 @@ def _by_class(text: str) -> list[str]:
 
 
 # A reader gives (tweak, number, size, write) of a value of its kind, or None if the value isn't valid.
+# Beyond WIDE bits number and size are lists: the digits and their bases.
 
 
 def _fill(shape: str, digits: str) -> str:
@@ -266,10 +306,13 @@ def read_secret(v):
         alphabets = [HEX] * len(body)
     else:
         alphabets = [a if c in a else c for c, a in zip(body, _by_class(body), strict=True)]
+    shape = "".join(str(len(a)) + "." for a in alphabets)
+    if sum(log2(len(a)) for a in alphabets) > WIDE:
+        digits = [a.index(c) for c, a in zip(body, alphabets, strict=True)]
+        return f"secret{shape}", digits, [len(a) for a in alphabets], lambda x: head + "".join(a[k] for k, a in zip(x, alphabets, strict=True))
     n, size = _mixed(body, alphabets)
     if size < 2:
         return None
-    shape = "".join(str(len(a)) + "." for a in alphabets)
     return f"secret{shape}", n, size, lambda x: head + _unmixed(x, alphabets)
 
 
@@ -289,7 +332,7 @@ class Kind:
 #: In the order in which they are tried at a place; the first whose value is valid wins.
 KINDS = (
     Kind("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}", read_email),
-    Kind("secret", r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?i:password|passwd|secret|token|api_?key)\s{0,2}[=:]\s{0,2}[\"']?[A-Za-z0-9_./+-]{8,128})", read_secret),
+    Kind("secret", r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?i:password|passwd|secret|token|api_?key)\s{0,2}[=:]\s{0,2}[\"']?[A-Za-z0-9_./+-]{8,})", read_secret),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", read_iban),
     Kind("date", r"(?<![\d./-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}([./-])\d{1,2}\1\d{4})(?![\d/-]|\.\d)", read_date),
     Kind("ip", r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)", read_ip),
@@ -313,10 +356,10 @@ class Masker:
 
     def replace(self, kind: Kind, value: str) -> str | None:
         got = kind.read(value)
-        if got is None or got[2] < 2:
+        if got is None or not isinstance(got[2], list) and got[2] < 2:
             return None
         tweak, n, size, write = got
-        p = self.permutation(tweak, size)
+        p = WidePermutation(self.key, tweak, size) if isinstance(size, list) else self.permutation(tweak, size)
         return write(p.value(n) if self.reveal else p.pseudonym(n))
 
     def mask(self, text: str | None) -> tuple[str | None, list[tuple[int, int, str]]]:
@@ -331,7 +374,12 @@ class Masker:
             for m in pattern.finditer(text):
                 k = bisect_left(taken, (m.end(),))
                 if k and taken[k - 1][1] > m.start():
-                    continue
+                    # the run of a secret may end in an address; the part before it is a secret still
+                    k = bisect_left(taken, (m.start(),))
+                    clear = kind.name == "secret" and not (k and taken[k - 1][1] > m.start())
+                    m = pattern.match(text, m.start(), taken[k][0]) if clear else None
+                    if m is None:
+                        continue
                 new = self.replace(kind, m[0])
                 if new is not None:
                     found.append((m.start(), m.end(), kind.name, new))
