@@ -67,6 +67,24 @@ def test_long_secret_before_an_address():
     assert pii.Masker(KEY, reveal=True).mask(masked)[0] == text
 
 
+C, A, I = "4111 1111 1111 1111", "3782 822463 10005", "AT61 1904 3002 3457 3201"
+BESIDE = [
+    f"card {C} 12/27", f"card {C} 123", f"no 7 {C}", f"id 1234567890 {C} 99", f"{C} 2027-12-01", f"{C} 10.0.0.1", f"{C.replace(' ', '-')}-123",
+    f"{C} {A} {C}", f"{A} {A} 12", f"{I} EURO", f"{I} 1234 AB", f"AB12 3456 7890 {I}", f"{I} {I}", f"XK05 1212 0123 4567 8906 {I} X",
+]
+
+
+@pytest.mark.parametrize("text", BESIDE)
+def test_values_beside_others(text):
+    for key in range(40):
+        masked, spans = pii.Masker(bytes([key])).mask(text)
+        for value, kind in ((C, "card"), (C.replace(" ", "-"), "card"), (A, "card"), (I, "iban")):
+            places = [k for k in range(len(text)) if text.startswith(value, k)]
+            assert value not in masked and all(any(a <= k and k + len(value) <= b and name == kind for a, b, name in spans) for k in places)
+        again, kinds = pii.Masker(bytes([key]), reveal=True).mask(masked)
+        assert again == text and [k for *_, k in kinds] == [k for *_, k in spans]
+
+
 def test_rows(spark):
     rows = [(1, "a@b.co a@b.co", 5), (None, None, None), (1, "", 5), (2, "x" * 200_000 + " 70.1.2.3", 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, pii_spans int")

@@ -4,7 +4,9 @@ Each kind of value is checked (check digits, octets, calendar) and read as a num
 format's value set; the permutation of those numbers is written back in the same format, with the same
 separators and letter case. So equal values get equal pseudonyms in every document, different values stay
 different, and the key gets the values back. A pseudonym never equals its value: x goes to
-P^-1(P(x) + 1), a keyed permutation without fixed points.
+P^-1(P(x) + 1), a keyed permutation without fixed points. Only beside digits or letters that could belong to a
+card or an IBAN that step may be repeated, until no longer reading of the place is valid either: so the key
+always gets the value back, while such a value can get another pseudonym than it has elsewhere.
 
 Defined results: a null text stays null and has no spans; texts without findings come back unchanged;
 rows and extra columns are kept, and a column that has the name of an output is replaced. Everything is
@@ -322,21 +324,67 @@ def read_pan(v):
     return "pan", n, size, lambda x: _unmixed(x, alphabets)
 
 
+CARD_RUN, GROUP = re.compile(r"(?<![\d-])\d(?:[ -]?\d){12,}"), re.compile(r"\d+")
+IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
+IBAN_START, IBAN_SHAPE, IBAN_RUN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?= ?[A-Z0-9])"), re.compile(IBAN), re.compile(r"(?: ?[A-Z0-9])*")
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    c: n
+    for n, cs in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+        31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in cs.split()
+}
+
+
+def card_places(text):
+    """(start, end) of 13 to 19 digits between group borders; by start, the longest first."""
+    for run in CARD_RUN.finditer(text):
+        groups = [m.span() for m in GROUP.finditer(text, *run.span())]
+        for i, (a, _) in enumerate(groups):
+            digits, ends = 0, []
+            for x, y in groups[i : i + 19]:
+                digits += y - x
+                if digits > 19:
+                    break
+                if digits >= 13:
+                    ends.append(y)
+            yield from ((a, b) for b in reversed(ends))
+
+
+def iban_places(text):
+    """(start, end) of what is shaped like an IBAN, by start: the longest, then that of its country's length, or
+    all shorter ones if the country isn't known."""
+    for m in IBAN_START.finditer(text):
+        a, length, ends = m.start(), 0, []
+        stop = IBAN_RUN.match(text, a, a + 68).end()
+        for b in range(a + 1, stop + 1):
+            length += text[b - 1] != " "
+            if 15 <= length <= 34 and text[b - 1] != " " and not re.match("[A-Za-z0-9]", text[b : b + 1]) and IBAN_SHAPE.fullmatch(text, a, b):
+                ends.append((b, length))
+        known = IBAN_LENGTHS.get(text[a : a + 2])
+        yield from ((a, b) for b, n in reversed(ends) if b == ends[-1][0] or known in (None, n))
+
+
 @dataclass(frozen=True)
 class Kind:
     name: str
     pattern: str
     read: object
+    #: Where values can lie, for kinds of which one may hide in a longer or an overlapping match.
+    places: object = None
 
 
 #: In the order in which they are tried at a place; the first whose value is valid wins.
 KINDS = (
     Kind("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}", read_email),
     Kind("secret", r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?i:password|passwd|secret|token|api_?key)\s{0,2}[=:]\s{0,2}[\"']?[A-Za-z0-9_./+-]{8,})", read_secret),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", read_iban),
+    Kind("iban", rf"(?<![A-Za-z0-9]){IBAN}(?![A-Za-z0-9])", read_iban, iban_places),
     Kind("date", r"(?<![\d./-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}([./-])\d{1,2}\1\d{4})(?![\d/-]|\.\d)", read_date),
     Kind("ip", r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)", read_ip),
-    Kind("card", r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-]\d|\d)", read_card),
+    Kind("card", r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-]\d|\d)", read_card, card_places),
     Kind("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]\d|\d)", read_ssn),
     Kind("aadhaar", r"(?<![\d-])\d{4}([ -]?)\d{4}\1\d{4}(?![\d-]\d|\d)", read_aadhaar),
     Kind("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)", read_phone),
@@ -362,6 +410,29 @@ class Masker:
         p = WidePermutation(self.key, tweak, size) if isinstance(size, list) else self.permutation(tweak, size)
         return write(p.value(n) if self.reveal else p.pseudonym(n))
 
+    def placed(self, kind: Kind, text: str, taken: list) -> list[tuple[int, int, str, str]]:
+        """The first valid values of a kind with places, and their pseudonyms of equal length.
+
+        No place that was tried in vain may become valid, or the key would find another value there. Places
+        are settled one after another, and in reverse when the values are wanted back.
+        """
+        failed, found = [], []
+        for a, b in kind.places(text):
+            k = bisect_left(taken, (b,))
+            if found and a < found[-1][1] or k and taken[k - 1][1] > a:
+                continue
+            (failed if kind.read(text[a:b]) is None else found).append((a, b))
+        chars = list(text) if found else []
+        for a, b in reversed(found) if self.reveal else found:
+            near = [f for f in failed[bisect_left(failed, (a - 80,)) : bisect_left(failed, (b,))] if f[1] > a]
+            value = text[a:b]
+            while True:
+                value = self.replace(kind, value)
+                chars[a:b] = value
+                if all(kind.read("".join(chars[x:y])) is None for x, y in near):
+                    break
+        return [(a, b, kind.name, "".join(chars[a:b])) for a, b in found]
+
     def mask(self, text: str | None) -> tuple[str | None, list[tuple[int, int, str]]]:
         """The text with pseudonyms, and (start, end, kind) in code points of the original."""
         if not text or not HINT.search(text):
@@ -370,6 +441,9 @@ class Masker:
         for kind, pattern in COMPILED:
             if kind.name == "email" and "@" not in text:
                 continue
+            if kind.places:
+                taken = sorted(taken + self.placed(kind, text, taken))
+                continue
             found = []
             for m in pattern.finditer(text):
                 k = bisect_left(taken, (m.end(),))
