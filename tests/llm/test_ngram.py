@@ -10,6 +10,7 @@ import pytest
 
 from weftgraph.llm import ngram
 from weftgraph.llm.queries_ngram import op2_kneser_ney
+from weftgraph.llm.registry import LLM_CATALOG
 
 
 def toks(text):
@@ -78,6 +79,16 @@ def test_query(spark, tmp_path, monkeypatch, order, sorted_at):
         assert total == pytest.approx(1)
 
 
+def test_registered_order_and_large_counts(spark, tmp_path):
+    """The query as registered looks two words back, and counts beyond a byte are kept."""
+    texts = ["a x b"] * 300 + ["c x d"] * 290 + ["c x b", "x d", "q x b c x d"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    held = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
+    model = Brute([t for d, t in enumerate(texts) if not held(d)], 3)
+    for r in LLM_CATALOG["op2_kneser_ney"].run(spark, str(tmp_path)).collect():
+        assert r.score == pytest.approx(model.score(texts[r.doc_id]), rel=1e-9)
+
+
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert op2_kneser_ney(spark, str(tmp_path)).count() == 0

@@ -9,8 +9,8 @@ The word shards also keep plain counts. Discounts come from the counts of counts
 
 Scoring: workers map the shards and look up a batch's distinct n-grams by binary search.
 
-A model lies in the shared folder, so its size on disk is that of its n-grams (12 bytes each, 24 a
-context), while a task needs memory for one shard at most.
+A model lies in the shared folder, so its size on disk is that of its n-grams (9 bytes each, 12 a
+context, more for counts of 255 and up), while a task needs memory for one shard at most.
 
 Defined results: null and empty texts consist of the end mark; an empty training set gives the uniform
 distribution over the unknown word; repeated rows count as often as they come.
@@ -94,16 +94,45 @@ def _summed(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndar
     return [c[by][first] for c in columns], np.add.reduceat(counts[by], first)
 
 
+def _packed(values: np.ndarray, ascending: bool = False) -> bytes:
+    """Hashes without loss: differences if they ascend, else the distinct ones and places among them; byte planes,
+    compressed. The length comes first."""
+    import zstandard
+
+    planes = lambda x: zstandard.compress(x.view(np.uint8).reshape(len(x), -1).T.tobytes(), 1)
+    if ascending:
+        parts = [planes(np.diff(values, prepend=np.uint64(0)))]
+    else:
+        distinct, places = np.unique(values, return_inverse=True)
+        parts = [planes(np.diff(distinct, prepend=np.uint64(0))), planes(places.astype(np.uint32))]
+    return b"".join([np.array([len(p) for p in parts], np.int64).tobytes(), *parts])
+
+
+def _unpacked(data: bytes, at: int, ascending: bool = False) -> tuple[np.ndarray, int]:
+    """(hashes, where the next part begins)."""
+    import zstandard
+
+    sizes = np.frombuffer(data, np.int64, 1 if ascending else 2, at).tolist()
+    at += 8 * len(sizes)
+    found = []
+    for size, kind in zip(sizes, (np.uint64, np.uint32), strict=False):
+        raw = np.frombuffer(zstandard.decompress(data[at : at + size]), np.uint8)
+        found.append(np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel())
+        at += size
+    values = np.cumsum(found[0], dtype=np.uint64)
+    return (values if ascending else values[found[1]]), at
+
+
 def _blob(columns: list[np.ndarray], counts: np.ndarray) -> bytes:
     """Sorted by the first column, whose repeats are stored as run lengths when there is another."""
     import zstandard
 
     heads, runs = np.unique(columns[0], return_counts=True)
     first = np.concatenate([[0], np.cumsum(runs)[:-1]]) if len(runs) else np.zeros(0, np.int64)
-    middle = b"".join(c[first].tobytes() for c in columns[1:-1])
+    middle = b"".join(_packed(c[first]) for c in columns[1:-1])
     small = zstandard.compress(runs.astype(np.uint32).tobytes(), 1), zstandard.compress(counts.astype(np.uint32).tobytes(), 1)
     sizes = np.array([len(columns), len(heads), len(counts), len(small[0]), len(small[1])], np.int64).tobytes()
-    return b"".join([sizes, heads.tobytes(), middle, columns[-1].tobytes() if len(columns) > 1 else b"", *small])
+    return b"".join([sizes, _packed(heads, True), middle, _packed(columns[-1]) if len(columns) > 1 else b"", *small])
 
 
 def _unblob(data: bytes) -> tuple[list[np.ndarray], np.ndarray]:
@@ -111,14 +140,10 @@ def _unblob(data: bytes) -> tuple[list[np.ndarray], np.ndarray]:
 
     width, n_heads, n, a, b = np.frombuffer(data, np.int64, 5).tolist()
     at = 40
-    table = []
-    for _ in range(max(1, width - 1)):
-        table.append(np.frombuffer(data, np.uint64, n_heads, at))
-        at += 8 * n_heads
-    columns = []
-    if width > 1:
-        columns = [np.frombuffer(data, np.uint64, n, at)]
-        at += 8 * n
+    table, columns = [], []
+    for k in range(width):
+        values, at = _unpacked(data, at, k == 0)
+        (columns if 0 < k == width - 1 else table).append(values)
     runs = np.frombuffer(zstandard.decompress(data[at : at + a]), np.uint32)
     counts = np.frombuffer(zstandard.decompress(data[at + a : at + a + b]), np.uint32).astype(np.int64)
     return [*(np.repeat(t, runs) for t in table), *columns], counts
@@ -178,6 +203,26 @@ def _shard_file(folder: str, level: int, shard: int) -> str:
     return f"{folder}/order{level}-{shard:06d}.kn"
 
 
+def _small(values: np.ndarray) -> bytes:
+    """Counts in a byte each; those of 255 or more follow, with their places."""
+    large = np.flatnonzero(values >= 255)
+    return b"".join([np.array([len(large)], np.int64).tobytes(), large.astype(np.uint32).tobytes(), values[large].astype(np.uint32).tobytes(), np.minimum(values, 255).astype(np.uint8).tobytes()])
+
+
+class Small:
+    """Reads what _small wrote."""
+
+    def __init__(self, take, count: int):
+        n = int(take(np.int64, 1)[0])
+        self.places, self.large, self.low = take(np.uint32, n), take(np.uint32, n), take(np.uint8, count)
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        out = self.low[at].astype(np.int64)
+        more = np.flatnonzero(out == 255)
+        out[more] = self.large[np.searchsorted(self.places, at[more])]
+        return out
+
+
 def _with_counts(counts: np.ndarray) -> list[int]:
     return [int((counts == k).sum()) for k in (1, 2, 3, 4)] + [len(counts), int(counts.sum())]
 
@@ -204,8 +249,8 @@ def merge_level(blobs: DataFrame, level: int, folder: str, bits: int) -> DataFra
         add = lambda x: np.add.reduceat(x.astype(np.int64), first).astype(np.uint32) if len(first) else np.zeros(0, np.uint32)
         grams = fold(columns[0], columns[-1])
         by = np.argsort(grams)
-        files = [grams[by], heads, counts[by].astype(np.uint32), add(counts), add(counts == 1), add(counts == 2), runs.astype(np.uint32)]
-        put(_shard_file(folder, level, shard), b"".join([np.array([len(grams), len(heads)], np.int64).tobytes(), *(f.tobytes() for f in files)]))
+        values = [counts[by], add(counts), add(counts == 1), add(counts == 2), runs]
+        put(_shard_file(folder, level, shard), b"".join([np.array([len(grams), len(heads)], np.int64).tobytes(), grams[by].tobytes(), heads.tobytes(), *map(_small, values)]))
         found = [(-1, shard, b"", *_with_counts(counts))]
         found += [(*b, *[0] * 6) for b in _blobs(level - 1, *_summed(columns[1:], np.ones(len(counts), np.int64)), bits)]
         for other in range(level):
@@ -227,7 +272,7 @@ def merge_words(blobs: DataFrame, folder: str) -> DataFrame:
         (known,), continued = _merged(table, 1, 1)
         full = np.zeros(len(words), np.int64)
         full[np.searchsorted(words, known)] = continued
-        put(_shard_file(folder, 1, shard), b"".join([np.array([len(words), 0], np.int64).tobytes(), words.tobytes(), counts.astype(np.uint32).tobytes(), full.astype(np.uint32).tobytes()]))
+        put(_shard_file(folder, 1, shard), b"".join([np.array([len(words), 0], np.int64).tobytes(), words.tobytes(), _small(counts), _small(full)]))
         return _table([(-1, shard, b"", *_with_counts(full)), (-2, shard, b"", *_with_counts(counts))])
 
     return blobs.groupBy("shard").applyInArrow(run, f"{BLOB}, {STATS}")
@@ -291,11 +336,11 @@ class Shard:
             return out
 
         self.keys, self.heads = take(np.uint64, n), take(np.uint64, heads)
-        self.values = [take(np.uint32, n) for _ in range(2 if words else 1)]
-        self.head_values = [take(np.uint32, heads) for _ in range(0 if words else 4)]
+        self.values = [Small(take, n) for _ in range(2 if words else 1)]
+        self.head_values = [Small(take, heads) for _ in range(0 if words else 4)]
 
 
-def _find(keys: np.ndarray, values: list[np.ndarray], wanted: np.ndarray) -> list[np.ndarray]:
+def _find(keys: np.ndarray, values: list[Small], wanted: np.ndarray) -> list[np.ndarray]:
     """Values of the wanted keys; 0 for those that aren't there."""
     if not len(keys):
         return [np.zeros(len(wanted), np.int64) for _ in values]
@@ -303,7 +348,7 @@ def _find(keys: np.ndarray, values: list[np.ndarray], wanted: np.ndarray) -> lis
     at = np.empty(len(wanted), np.int64)
     at[by] = np.minimum(np.searchsorted(keys, wanted[by]), len(keys) - 1)
     there = keys[at] == wanted
-    return [np.where(there, v[at], 0).astype(np.int64) for v in values]
+    return [np.where(there, v[at], 0) for v in values]
 
 
 class Model:
