@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from weftgraph.llm import bpe, mixing, pii, quality, simhash
+from weftgraph.llm import bpe, mixing, nearcopies, pii, quality
 from weftgraph.llm.queries_mixing import with_tree
 from weftgraph.llm.queries_pii import KEY
 from weftgraph.llm.shared import shared_folder, written
@@ -37,13 +37,12 @@ def quality_rules(spark, docs, sf_dir):
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """Of each group of near duplicates the document with the smallest id stays."""
+    """Of each group of near duplicates, by five-word shingles, the document with the smallest id stays."""
     rows = _keyed(docs)
-    marked = simhash.with_fingerprint(rows.select("_row", "doc_id", "text"), out="_fp").select("_row", "doc_id", "_fp")
-    marked = written(marked, "marked")
-    groups = simhash.groups(marked, fingerprint="_fp")
-    first = marked.join(groups, marked["_fp"] == groups["fp"]).groupBy("root")
-    stays = first.agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_stays")).select("_stays")
+    marked = written(nearcopies.marked(rows), "marked")
+    groups = written(nearcopies.groups(marked, rows), "groups").hint("merge")
+    rooted = marked.join(groups, marked["key"] == groups["node"], "left").withColumn("root", F.coalesce("root", "key"))
+    stays = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_stays")).select("_stays")
     stays = written(stays, "stays").hint("merge")  # a row a document left: it grows with the corpus and is never broadcast
     return rows.join(stays, rows["_row"] == stays["_stays"], "left_semi").select(*docs.columns)
 
