@@ -1,14 +1,20 @@
 """Quality rules whose thresholds come from mergeable quantile sketches per language and source.
 
-Every document gets four rates. A sketch is a histogram over logarithmic bins with 16 bins an octave (a
-relative error of 1/16 at most), so sketches of parts of the corpus add up to the sketch of the whole, and
-those of the sources of a language to that of the language. The threshold of a group is a fence: the upper
-(lower) quartile plus (minus) a multiple of the distance between the outer quantiles of the sketch. Groups
-with too few documents use their language's sketch, then that of the whole corpus.
-
-Defined results: a null text counts as empty; null language or source form groups of their own; an empty
-table gives no thresholds and no rows; rows and extra columns pass through, and a column whose name is
-used here is replaced. Everything is DataFrame expressions; nothing is collected.
+Every document gets rates, each with a pseudo-count above and below, so that a short text doesn't look extreme and
+a source in which most texts have none of something still has a spread. A sketch is a histogram over logarithmic
+bins with 64 bins an octave (a relative error of 1/64 at most), so sketches of parts of the corpus add up to the
+sketch of the whole, and those of the sources of a language to that of the language.
+
+The quartiles of a group are drawn towards those of the group above it, as if PRIOR documents with the quartiles of
+the language had been seen in each source, and PRIOR with those of all in each language: with few documents a source
+follows its language, with many its own sketch, without a size at which it switches. The fence is the outer
+quartile plus (minus) a multiple of the distance between the quartiles; no constant bounds it.
+
+Defined results: a null or empty text has no words and fails the base rules; null language or source form groups of
+their own; a document on a fence is kept; equal texts of a source get equal verdicts, repeated rows count as often as
+they come; an empty table gives no thresholds and no rows; a group in which all fail the base rules has no fences.
+Rows and extra columns pass through, whatever their names; one named as an output is replaced. A very long text is
+handled in its row. Everything is DataFrame expressions; nothing is collected.
 """
 
 from __future__ import annotations
@@ -21,31 +27,35 @@ from pyspark.sql import Window as W
 
 from weftgraph.llm.shared import WORD, words, written
 
-SPACE = r"[\x20\x09-\x0D]+"
 METRICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A rate in thousandths; upper: too much of it is bad. A fence never gets nearer to nothing than least."""
+    """A rate in thousandths, (above + plus) over (below + base); upper: too much of it is bad. reach: how many
+    distances between the quartiles the fence lies behind the outer one."""
 
     name: str
+    above: str
+    plus: int
+    below: str
+    base: int
     upper: bool
-    reach: float
-    least: int
+    reach: int
 
 
 #: Symbols per word, repeated lines per line, repeated words per word, length of words (both sides).
 RULES = (
-    Rule("symbol_rate", True, 3.0, 100),
-    Rule("dup_line_rate", True, 3.0, 500),
-    Rule("repeat_rate", True, 3.0, 350),
-    Rule("long_word_rate", True, 3.0, 1000),
-    Rule("short_word_rate", False, 3.0, 500),
+    Rule("symbol_rate", "n_symbols", 2, "n_words", 20, True, 6),
+    Rule("dup_line_rate", "n_dup_lines", 1, "n_lines", 5, True, 6),
+    Rule("repeat_rate", "n_repeat_words", 6, "n_words", 60, True, 9),
+    Rule("long_word_rate", "word_chars", 0, "n_words", 0, True, 6),
+    Rule("short_word_rate", "word_chars", 0, "n_words", 0, False, 6),
 )
-#: Documents that a group needs for a sketch of its own.
-ENOUGH = 200
-BIN = 16
+RATES = [r.name for r in RULES]
+#: Documents that the group above counts for in a group's quartiles.
+PRIOR = 100
+BIN = 64
 
 
 def with_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -54,54 +64,42 @@ def with_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
     Repeats are found from the 64-bit hashes of the 3-word windows; only texts in which a hash comes twice
     sort them with their places.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    df = docs.withColumn("_w", words(F.col(text))).withColumn(
-        "_h",
-        F.when(F.size("_w") < 3, F.expr("CAST(array() AS array<bigint>)")).otherwise(
-            F.transform(F.sequence(F.lit(1), F.size("_w") - 2), lambda i: F.xxhash64(F.element_at("_w", i), F.element_at("_w", i + 1), F.element_at("_w", i + 2)))
+    outs = [*METRICS, "n_lines"]
+    df = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    df = df.withColumn("w", words(F.col("t"))).withColumn(
+        "h",
+        F.when(F.size("w") < 3, F.expr("CAST(array() AS array<bigint>)")).otherwise(
+            F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.xxhash64(F.element_at("w", i), F.element_at("w", i + 1), F.element_at("w", i + 2)))
         ),
     )
-    lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD))
-    df = df.withColumn("_l", lines).withColumn("_unique", F.size(F.array_distinct("_h")) == F.size("_h"))
-    placed = F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    df = df.withColumn("_s", F.when(~F.col("_unique"), placed))
-    twice = F.filter(
-        "_s",
-        lambda x, k: (F.coalesce(F.get("_s", k - 1)["h"] == x["h"], F.lit(False))) | (F.coalesce(F.get("_s", k + 1)["h"] == x["h"], F.lit(False))),
+    lines = F.filter(F.split("t", "\n", -1), lambda x: x.rlike(WORD))
+    df = df.withColumn("l", lines).withColumn("unique", F.size(F.array_distinct("h")) == F.size("h"))
+    placed = F.sort_array(F.transform("h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    df = df.withColumn("s", F.when(~F.col("unique"), placed))
+    twice = F.filter("s", lambda x, k: F.coalesce(F.get("s", k - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get("s", k + 1)["h"] == x["h"], F.lit(False)))
+    df = df.withColumn("p", F.transform(twice, lambda x: x["i"]))
+    covered = F.size(F.array_union(F.array_union("p", F.transform("p", lambda p: p + 1)), F.transform("p", lambda p: p + 2)))
+    return df.select(
+        *[F.col("row")[c].alias(c) for c in docs.columns if c not in outs],
+        F.size("w").cast("long").alias("n_words"),
+        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        (F.length("t") - F.length(F.regexp_replace("t", r"[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
+        (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
+        F.when(F.col("unique"), F.lit(0)).otherwise(covered).cast("long").alias("n_repeat_words"),
+        F.size("l").cast("long").alias("n_lines"),
     )
-    df = df.withColumn("_p", F.transform(twice, lambda x: x["i"]))
-    covered = F.size(F.array_union(F.array_union("_p", F.transform("_p", lambda p: p + 1)), F.transform("_p", lambda p: p + 2)))
-    return df.withColumns(
-        {
-            "n_words": F.size("_w").cast("long"),
-            "word_chars": F.length(F.array_join("_w", "")).cast("long"),
-            "n_symbols": (F.length(t) - F.length(F.regexp_replace(t, r"[#*$%&|<>]", ""))).cast("long"),
-            "n_lines": F.size("_l").cast("long"),
-            "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
-            "n_repeat_words": F.when(F.col("_unique"), F.lit(0)).otherwise(covered).cast("long"),
-        }
-    ).drop("_w", "_h", "_l", "_s", "_p", "_unique")
 
 
 def rates(df: DataFrame) -> DataFrame:
-    """Adds the rates of RULES, in thousandths; null where there is nothing to divide by."""
-    n, per = F.col("n_words"), lambda a, b: F.expr(f"{a} * 1000 div nullif({b}, 0)")
-    length = F.expr("word_chars * 1000 div nullif(n_words, 0)")
-    return df.withColumns(
-        {
-            "symbol_rate": per("n_symbols", "n_words"),
-            "dup_line_rate": per("n_dup_lines", "n_lines"),
-            "repeat_rate": per("n_repeat_words", "n_words"),
-            "long_word_rate": length,
-            "short_word_rate": length,
-            "base_failed": (n < 50) | (F.col("n_repeat_words") * 100 > n * 50),
-        }
-    )
+    """Adds the rates of RULES, in thousandths (null where there is nothing to divide by), and base_failed."""
+    n = F.col("n_words")
+    found = {r.name: F.expr(f"({r.above} + {r.plus}) * 1000 div nullif({r.below} + {r.base}, 0)") for r in RULES}
+    return df.withColumns(found | {"base_failed": (n < 50) | (F.col("n_repeat_words") * 100 > n * 50)})
 
 
 def to_bin(v: Column) -> Column:
-    """Bin of a non-negative whole number: itself below 32, then 16 bins an octave."""
-    shift = F.greatest(F.length(F.bin(v)) - 5, F.lit(0)).cast("int")
+    """Bin of a non-negative whole number: itself below 2 * BIN, then BIN bins an octave."""
+    shift = F.greatest(F.length(F.bin(v)) - BIN.bit_length(), F.lit(0)).cast("int")
     return F.call_function("shiftright", v, shift) + shift * BIN
 
 
@@ -123,41 +121,44 @@ def merged(sketch: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return sketch.groupBy(*keys, "rule", "bin").agg(F.sum("n").alias("n"))
 
 
-def fences(sketch: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """(keys, rule, docs, fence) from a sketch."""
+def quartiles(sketch: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, rule, docs, low, high) from a sketch."""
     by = W.partitionBy(*keys, "rule")
     at = sketch.withColumn("total", F.sum("n").over(by)).withColumn("upto", F.sum("n").over(by.orderBy("bin")))
-    quantile = lambda q: from_bin(F.min(F.when(F.col("upto") >= F.ceil(F.col("total") * q), F.col("bin"))))
-    found = at.groupBy(*keys, "rule").agg(F.max("total").alias("docs"), *[quantile(q).alias(f"q{round(q * 100)}") for q in (0.10, 0.25, 0.75, 0.90)])
-    fence = None
-    for r in RULES:
-        spread = (F.col("q90") - F.col("q10")) * r.reach
-        one = F.greatest(F.col("q75") + spread, F.col("q75") + r.least) if r.upper else F.least(F.col("q25") - spread, F.col("q25") - r.least)
-        fence = F.when(F.col("rule") == r.name, one) if fence is None else fence.when(F.col("rule") == r.name, one)
-    return found.select(*keys, "rule", "docs", fence.alias("fence"))
+    quarter = lambda k: from_bin(F.min(F.when(F.col("upto") * 4 >= F.col("total") * k, F.col("bin"))))
+    return at.groupBy(*keys, "rule").agg(F.max("total").alias("docs"), quarter(1).alias("low"), quarter(3).alias("high"))
+
 
+def drawn(own: DataFrame, above: DataFrame, keys: tuple[str, ...], prior: int) -> DataFrame:
+    """The quartiles of own with those of the group above (same keys but the last), by weight of documents."""
+    up = above.select(*[F.col(k).alias(f"up_{k}") for k in keys], F.col("rule").alias("up_rule"), F.col("low").alias("up_low"), F.col("high").alias("up_high"))
+    same = own["rule"] == up["up_rule"]
+    for k in keys:
+        same = same & own[k].eqNullSafe(up[f"up_{k}"])
+    mean = lambda c: F.expr(f"CAST((CAST(docs AS decimal(20,0)) * {c} + {prior} * up_{c}) div (CAST(docs AS decimal(20,0)) + {prior}) AS bigint)").alias(c)
+    return own.join(up, same).select(*own.columns[: -len(("low", "high"))], mean("low"), mean("high"))
 
-def thresholds(measured: DataFrame, language: str = "lang", source: str = "source", enough: int = ENOUGH) -> DataFrame:
-    """One row per language and source with a column <rule>_fence for each rule.
+
+def thresholds(measured: DataFrame, language: str = "lang", source: str = "source", prior: int = PRIOR) -> DataFrame:
+    """One row per language and source: fence_lang, fence_source, and a fence for each rule, named <rule>_fence.
 
     The size of this table is that of the set of (language, source), not of the corpus.
     """
-    own = written(sketches(measured, (language, source)), "sketches")
-    a = fences(own, (language, source)).withColumnsRenamed({"docs": "docs_0", "fence": "fence_0"})
-    b = fences(merged(own, (language,)), (language,)).select(F.col(language).alias("_l"), F.col("rule").alias("_r"), F.col("docs").alias("docs_1"), F.col("fence").alias("fence_1"))
-    c = fences(merged(own, ()), ()).select(F.col("rule").alias("_q"), F.col("fence").alias("fence_2"))
-    every = a.join(b, a[language].eqNullSafe(b["_l"]) & (a["rule"] == b["_r"])).join(c, F.col("rule") == F.col("_q"))
-    chosen = F.when(F.col("docs_0") >= enough, F.col("fence_0")).when(F.col("docs_1") >= enough, F.col("fence_1")).otherwise(F.col("fence_2"))
-    return every.groupBy(F.col(language).alias("_language"), F.col(source).alias("_source")).agg(
-        *[F.max(F.when(F.col("rule") == r.name, chosen)).alias(f"{r.name}_fence") for r in RULES]
-    )
+    named = measured.select(F.col(language).alias("fence_lang"), F.col(source).alias("fence_source"), "base_failed", *RATES)
+    own = written(sketches(named, ("fence_lang", "fence_source")), "sketches")
+    whole = quartiles(merged(own, ()), ())
+    languages = drawn(quartiles(merged(own, ("fence_lang",)), ("fence_lang",)), whole, (), prior)
+    sources = drawn(quartiles(own, ("fence_lang", "fence_source")), languages, ("fence_lang",), prior)
+    fence = lambda r: F.expr(f"high + {r.reach} * (high - low)" if r.upper else f"low - {r.reach} * (high - low)")
+    return sources.groupBy("fence_lang", "fence_source").agg(*[F.max(F.when(F.col("rule") == r.name, fence(r))).alias(f"{r.name}_fence") for r in RULES])
 
 
 def judged(measured: DataFrame, limits: DataFrame, language: str = "lang", source: str = "source") -> DataFrame:
     """Joins the fences to the documents; adds kept. A group without fences has only the base rules."""
-    df = measured.join(limits, measured[language].eqNullSafe(limits["_language"]) & measured[source].eqNullSafe(limits["_source"]), "left")
-    ok = ~F.col("base_failed")
+    rows = measured.select(F.struct("*").alias("row"), F.col(language).alias("own_lang"), F.col(source).alias("own_source"))
+    df = rows.join(limits, F.col("own_lang").eqNullSafe(F.col("fence_lang")) & F.col("own_source").eqNullSafe(F.col("fence_source")), "left")
+    ok = ~F.col("row.base_failed")
     for r in RULES:
-        beyond = F.col(r.name) > F.col(f"{r.name}_fence") if r.upper else F.col(r.name) < F.col(f"{r.name}_fence")
+        beyond = F.col(f"row.{r.name}") > F.col(f"{r.name}_fence") if r.upper else F.col(f"row.{r.name}") < F.col(f"{r.name}_fence")
         ok = ok & ~F.coalesce(beyond, F.lit(False))
-    return df.withColumn("kept", ok).drop("_language", "_source")
+    return df.select(*[F.col("row")[c].alias(c) for c in measured.columns if c != "kept"], ok.alias("kept"))
