@@ -7,8 +7,10 @@ merged span is verified: the share of the template's runs that it holds must rea
 phrases are templates of one run each, so each of their hits is a place.
 
 Defined results: a null or empty text has no words and no labels; null and repeated ids are allowed, as rows
-are told apart by `key`, which must be unique; an empty table gives no rows. DataFrame expressions only;
-the templates are a fixed list, a few hundred rows, and only hits are shuffled, by row.
+are told apart by `key`, which must be unique; equal texts get equal results, and of spans with equal scores it
+doesn't matter which is best; an empty table gives no rows; columns pass through marked() whatever their names, but
+for n_words and candidates, which are replaced. A very long text is cut in its row, and only its hits leave it.
+DataFrame expressions only; the templates are a fixed list, a few hundred rows, and only hits are shuffled, by row.
 """
 
 from __future__ import annotations
@@ -75,22 +77,30 @@ def template_places(spark: SparkSession) -> DataFrame:
     return df.select(F.when(F.col("k") == 2, F.xxhash64("a", "b")).otherwise(F.xxhash64("a", "b", "c")).alias("h"), "template", "place", "runs", "k")
 
 
-def hits(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, place, template, at, runs, k) for every run of a text that a template has.
+def marked(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows with n_words and candidates: place and hash of the runs whose hash some template has.
 
-    Runs of two words matter only for two of the phrases, both of which end in license; texts without
-    that string have none.
+    The words of a text are cut once. Runs of two words matter only for two of the phrases, both of which end
+    in license; texts without that string have none.
     """
-    df = docs.select(F.col(key).alias("key"), words(F.col(text)).alias("_w"), F.lower(F.col(text)).contains("license").alias("_l"))
-    df = df.withColumn("_a", runs("_w", 3)).withColumn("_b", F.when(F.col("_l"), runs("_w", 2)).otherwise(F.expr("CAST(array() AS array<bigint>)")))
-    df = df.select("key", F.size("_a").alias("_n"), F.posexplode(F.concat("_a", "_b")).alias("_p", "h"))
-    places = F.broadcast(template_places(docs.sparkSession))  # a fixed list of this module: its size is checked there
-    place = F.when(F.col("_p") < F.col("_n"), F.col("_p")).otherwise(F.col("_p") - F.col("_n"))
-    return df.withColumn("start", place).join(places, "h").select("key", "start", "template", F.col("place").alias("at"), "runs", "k")
+    known = [r.h for r in template_places(docs.sparkSession).select("h").distinct().collect()]  # bounded by MOST_PLACES
+    none = F.expr("CAST(array() AS array<bigint>)")
+    df = docs.select(F.struct("*").alias("row"), words(F.col(text)).alias("w"), F.lower(F.col(text)).contains("license").alias("l"))
+    df = df.select("row", F.size("w").cast("long").alias("n"), runs("w", 3).alias("a"), F.when(F.col("l"), runs("w", 2)).otherwise(none).alias("b"))
+    found = [F.filter(F.transform(c, lambda h, i: F.struct(i.alias("start"), h.alias("h"))), lambda x: x["h"].isin(known)) for c in ("a", "b")]
+    kept = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("n_words", "candidates")]
+    return df.select(*kept, F.col("n").alias("n_words"), F.concat(*found).alias("candidates"))
+
+
+def hits(rows: DataFrame, key: str) -> DataFrame:
+    """(key, start, template, at, runs, k) for every run of a text that a template has; rows are those of marked()."""
+    places = F.broadcast(template_places(rows.sparkSession))  # a fixed list of this module: its size is checked there
+    runs_of = rows.select(F.col(key).alias("key"), F.explode("candidates").alias("c")).select("key", "c.start", "c.h")
+    return runs_of.join(places, "h").select("key", "start", "template", F.col("place").alias("at"), "runs", "k")
 
 
 def spans(found: DataFrame, slack: int = SLACK, coverage: float = COVERAGE) -> DataFrame:
-    """(key, template, first, last, share): verified spans, in words of the text."""
+    """(key, template, first, last, share, votes): verified spans, in words of the text; votes are distinct runs."""
     votes = found.groupBy("key", "template", "runs", "k", (F.col("start") - F.col("at")).alias("diagonal")).agg(
         F.collect_set("at").alias("ats"), F.min("start").alias("first"), F.max("start").alias("last")
     )
@@ -100,11 +110,15 @@ def spans(found: DataFrame, slack: int = SLACK, coverage: float = COVERAGE) -> D
     merged = votes.withColumn("_new", new).withColumn("cluster", F.sum("_new").over(near))
     out = merged.groupBy("key", "template", "runs", "k", "cluster").agg(F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"), F.min("first").alias("first"), F.max("last").alias("last"))
     share = F.size("ats") / F.col("runs")
-    return out.select("key", "template", "first", (F.col("last") + F.col("k") - 1).alias("last"), share.alias("share")).filter(F.col("share") >= coverage)
+    return out.select("key", "template", "first", (F.col("last") + F.col("k") - 1).alias("last"), share.alias("share"), F.size("ats").alias("votes")).filter(F.col("share") >= coverage)
 
 
 def by_row(found: DataFrame) -> DataFrame:
-    """(key, n_base, first_word, last_word, base_labels, labels, score) of the rows that have spans."""
+    """(key, n_base, first_word, last_word, base_labels, labels, score) of the rows that have spans.
+
+    A span's score is its share of the template, less for few votes: one run makes half of it, each further
+    run halves what is missing. A row has that of its best span.
+    """
     is_base = F.col("template").startswith("=")
     label = F.when(is_base, F.substring("template", 2, 100)).otherwise(F.col("template"))
     base = F.when(is_base, label)
@@ -114,5 +128,5 @@ def by_row(found: DataFrame) -> DataFrame:
         F.max(F.when(is_base, F.col("first"))).cast("long").alias("last_word"),
         F.array_join(F.sort_array(F.collect_set(base)), ",").alias("base_labels"),
         F.array_join(F.sort_array(F.collect_set(label)), ",").alias("labels"),
-        F.max("share").alias("score"),
+        F.max(F.col("share") * (1 - F.pow(F.lit(0.5), F.col("votes")))).alias("score"),
     )
