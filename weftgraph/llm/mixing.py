@@ -11,9 +11,11 @@ document's `taken_tokens` says how many of its tokens count).
 
 Defined results: documents without words (null or empty text) have no tokens and are never selected;
 null domains, languages and sources form nodes of their own, and weights that the tree doesn't name are
-1; a weight of 0 excludes a subtree; an empty table gives no rows; extra columns pass through, one named
-as an output is replaced. DataFrame expressions only. A hot leaf is cut by its order hash, so no task gets more of
-it than a bucket.
+1; a weight of 0 excludes a subtree; an empty table gives no rows; extra columns pass through whatever their names,
+one named as an output is replaced. Rows with equal ids (null ones too) and token counts follow a digest of the
+whole row; rows that are equal in all columns are counted and come together. A very long text is one document: the
+prefix ends inside it if its tokens reach the budget. DataFrame expressions only. The end of a leaf's prefix is found
+from sums of at most 256 buckets at a time, so a hot leaf is never one task.
 """
 
 from __future__ import annotations
@@ -27,8 +29,10 @@ from pyspark.sql import Window as W
 from weftgraph.llm.shared import WORD, written
 
 LEVELS = ("domain", "lang", "source")
-#: Documents of a leaf that share a bucket of the order hash, about.
-BUCKET_DOCS = 2000
+#: Documents of a leaf among which the end of its prefix is looked for row by row.
+EDGE_DOCS = 500
+#: Bytes of a row's place in the order.
+DEPTHS = 24
 WIDE = "decimal(38,0)"
 
 
@@ -82,41 +86,46 @@ def budgets(leaves: DataFrame, total: int, weights: Mapping[tuple, int], epochs:
     return above.select(*levels, F.col("given").alias("budget"))
 
 
-def mixed(docs: DataFrame, share: tuple[int, int], weights: Mapping[tuple, int], seed: int, epochs: int = 4, doc_id: str = "doc_id", levels: tuple[str, ...] = LEVELS) -> DataFrame:
+def mixed(docs: DataFrame, share: tuple[int, int], weights: Mapping[tuple, int], seed: int, epochs: int = 4, doc_id: str = "doc_id", levels: tuple[str, ...] = LEVELS, edge_docs: int = EDGE_DOCS) -> DataFrame:
     """Selects documents to the weights; share is (a, b) for a budget of a/b of all tokens.
 
     docs must have `tokens` and the levels and should be a written table, as it is read more than once.
     Adds epoch (from 0) and taken_tokens; one row for each time that a document is taken.
     """
     inputs = [c for c in docs.columns if c not in ("epoch", "taken_tokens")]
-    some = docs.select(*inputs).filter("tokens > 0")
-    leaves = written(some.groupBy(*levels).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")), "leaves")
-    total, most = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.max("docs"), F.lit(0))).first()
-    given = budgets(leaves, total * share[0] // share[1], weights, epochs, levels)
-    own = [F.col(c).alias(f"_{c}") for c in levels]
-    plan = leaves.join(given.select(*own, "budget"), [leaves[c].eqNullSafe(F.col(f"_{c}")) for c in levels]).select(
-        *own, F.expr("budget div tokens").alias("_full"), F.expr("budget % tokens").alias("_rest")
-    )
+    some = docs.filter(F.col("tokens") > 0)
+    leaves = written(some.groupBy(*levels).agg(F.sum("tokens").alias("tokens")), "leaves")
+    total = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    given = budgets(leaves, total * share[0] // share[1], weights, epochs, levels).select(*[F.col(c).alias(f"up_{c}") for c in levels], "budget")
+    plan = leaves.join(given, [leaves[c].eqNullSafe(given[f"up_{c}"]) for c in levels])
+    plan = plan.select(*[F.col(c).alias(f"leaf_{c}") for c in levels], F.expr("budget div tokens").alias("full"), F.expr("budget % tokens").alias("rest"), F.monotonically_increasing_id().alias("leaf"))
     plan = written(plan, "plan")
-    on = lambda left, right: [left[c].eqNullSafe(right[f"_{c}"]) for c in levels]
-    bits = max(0, min(28, (most // BUCKET_DOCS).bit_length()))
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_full").cast("string"), F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), F.col("tokens").cast("string")))
-    placed = some.join(plan, on(some, plan)).withColumn("_order", key)
-    bucket = F.conv(F.substring("_order", 1, 7), 16, 10).cast("long")
-    placed = placed.withColumn("_bucket", F.shiftright(bucket, 28 - bits))
-    names = [f"_{c}" for c in levels]
-    sums = placed.groupBy(*names, "_rest", "_bucket").agg(F.sum("tokens").alias("t"))
-    upto = sums.withColumn("upto", F.sum("t").over(W.partitionBy(*names).orderBy("_bucket")))
-    border = upto.filter("upto > _rest").groupBy(*names).agg(F.min("_bucket").alias("b"), F.min_by(F.col("upto") - F.col("t"), "_bucket").alias("_before"))
-    border = written(border.select(*[F.col(c).alias(f"_{c}") for c in names], F.col("b").alias("_border"), "_before"), "border")
-    at = placed.join(border, [placed[c].eqNullSafe(border[f"_{c}"]) for c in names]).drop(*[f"_{c}" for c in names])
-    tie = W.partitionBy(*names).orderBy("_order").rowsBetween(W.unboundedPreceding, -1)
-    edge = at.filter("_bucket = _border").withColumn("_start", F.col("_before") + F.coalesce(F.sum("tokens").over(tie), F.lit(0)))
-    last = F.least(F.col("tokens"), F.col("_rest") - F.col("_start"))
-    prefix = at.filter("_bucket < _border").select(*inputs, F.col("_full").alias("epoch"), F.col("tokens").alias("taken_tokens"))
-    prefix = prefix.unionByName(edge.filter("_start < _rest").select(*inputs, F.col("_full").alias("epoch"), last.alias("taken_tokens")))
-    whole = some.join(plan, on(some, plan)).filter("_full > 0").select(*inputs, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_full") - 1)).alias("epoch"), F.col("tokens").alias("taken_tokens"))
-    return whole.unionByName(prefix)
+    rows = some.select(F.struct(*inputs).alias("row"), F.col("tokens").alias("t"), *[F.col(c).alias(f"own_{c}") for c in levels], F.col(doc_id).cast("string").alias("id"))
+    rows = rows.join(plan, [rows[f"own_{c}"].eqNullSafe(plan[f"leaf_{c}"]) for c in levels])
+    order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("full").cast("string"), F.coalesce("id", F.lit("-")), F.col("t").cast("string")))
+    rows = rows.select("row", "t", "leaf", "full", "rest", F.concat(order, F.lpad(F.hex(F.xxhash64("row")), 16, "0")).alias("place"))  # digests without ties
+    output = [F.col("row")[c].alias(c) for c in inputs]
+    head = lambda n: F.substring("place", 1, 2 * n)
+    border = plan.filter("rest > 0").select("leaf", F.lit("").alias("prefix"), F.lit(0).cast("long").alias("before"))
+    for depth in range(1, DEPTHS + 1):
+        # the bucket in which the prefix ends, one more byte of the order at a time: never over 256 sums a leaf
+        inside = rows.join(border, "leaf").filter(head(depth - 1) == F.col("prefix"))
+        sums = inside.groupBy("leaf", "rest", "before", head(depth).alias("bucket")).agg(F.sum("t").alias("t"), F.count("*").alias("n"))
+        upto = sums.withColumn("upto", F.col("before") + F.sum("t").over(W.partitionBy("leaf").orderBy("bucket")))
+        last = upto.filter("upto > rest").groupBy("leaf").agg(F.min("bucket").alias("prefix"), F.min_by(F.col("upto") - F.col("t"), "bucket").alias("before"), F.min_by("n", "bucket").alias("n"))
+        found = written(last, "border")
+        border = found.select("leaf", "prefix", "before")
+        if (found.agg(F.max("n")).first()[0] or 0) <= edge_docs:
+            break
+    at = rows.join(border, "leaf")
+    prefix = at.filter(head(depth) < F.col("prefix")).select(*output, F.col("full").alias("epoch"), F.col("t").alias("taken_tokens"))
+    edge = at.filter(head(depth) == F.col("prefix")).groupBy("leaf", "full", "rest", "before", "place", "t").agg(F.first("row").alias("row"), F.count("*").alias("n"))
+    upto = F.sum(F.col("t") * F.col("n")).over(W.partitionBy("leaf").orderBy("place"))
+    edge = edge.withColumn("start", F.col("before") + upto - F.col("t") * F.col("n")).filter("start < rest")
+    edge = edge.withColumn("k", F.explode(F.expr("sequence(0L, least(n, (rest - start + t - 1) div t) - 1)")))  # equal rows were counted as one
+    edge = edge.select(*output, F.col("full").alias("epoch"), F.expr("least(t, rest - start - k * t)").alias("taken_tokens"))
+    whole = rows.filter("full > 0").select("row", "t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full") - 1)).alias("e"))
+    return whole.select(*output, F.col("e").alias("epoch"), F.col("t").alias("taken_tokens")).unionByName(prefix).unionByName(edge)
 
 
 def tree_sql(source: str, total: str, weights: Mapping[tuple, int], epochs: int, levels: tuple[str, ...] = LEVELS) -> str:
