@@ -11,9 +11,10 @@ come to the driver (RANGES of them, then a few times that at most). They bound t
 places of all cuts; blocks in which a cut may fall are cut finer, until each of them is one group. Then the
 search is exact.
 
-Defined results: a null text is the empty text, of size 8; repeated rows stay together; null ids are
-allowed; an empty table gives no rows; with fewer groups than shards some shards stay empty. Columns
-other than id and text are not read.
+Defined results: a null text is the empty text, of size 8; repeated rows stay together, and rows that agree in id,
+text and size take slots in any order; null ids are allowed, even for all rows; an empty table gives no rows; with
+fewer groups than shards some shards stay empty; groups of equal size follow their digests. Columns other than id
+and text are not read, whatever their names. Of a very long text only size and digests are kept.
 """
 
 from __future__ import annotations
@@ -172,23 +173,23 @@ def shard_of(giants: list[tuple[int, int]], cuts: list[tuple[int, int]]) -> Colu
 
 
 def with_slots(rows: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """Adds slot: numbers from 0 without gaps in each shard. rows should be a written table.
+    """Adds slot: numbers from 0 without gaps in each shard. rows should be a written table, numbered by n.
 
-    A shard is dealt into as many buckets as the root of its rows; rows are numbered inside a bucket, and
-    buckets by their sums.
+    A shard is dealt into as many buckets as the root of its rows; rows are numbered inside a bucket by id,
+    digest and size, and buckets by their sums. Rows without an id are dealt by their number, rather than together.
     """
     most = rows.groupBy("shard").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-    dealt = rows.withColumn("_sub", F.pmod(F.xxhash64(doc_id, F.lit(3)), F.lit(max(1, isqrt(most)))))
+    dealt = rows.withColumn("_sub", F.pmod(F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("row"), F.col("n"))), F.lit(3)), F.lit(max(1, isqrt(most)))))
     counts = dealt.groupBy(F.col("shard").alias("_shard"), F.col("_sub").alias("_bucket")).agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.sum("_n").over(W.partitionBy("_shard").orderBy("_bucket")) - F.col("_n"))
-    inside = dealt.withColumn("_in", F.row_number().over(W.partitionBy("shard", "_sub").orderBy(doc_id)) - 1)
+    inside = dealt.withColumn("_in", F.row_number().over(W.partitionBy("shard", "_sub").orderBy(doc_id, "text_crc32", "size", "n")) - 1)
     at = inside.join(before, (F.col("shard") == F.col("_shard")) & (F.col("_sub") == F.col("_bucket")))
-    return at.withColumn("slot", F.col("_before") + F.col("_in")).drop("_shard", "_bucket", "_sub", "_n", "_before", "_in")
+    return at.withColumn("slot", F.col("_before") + F.col("_in")).drop("_shard", "_bucket", "_sub", "_n", "_before", "_in", "n")
 
 
 def sharded(docs: DataFrame, shards: int, ranges: int = RANGES) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) of all documents."""
-    rows = written(keyed(docs), "keyed")
+    rows = written(keyed(docs).withColumn("n", F.monotonically_increasing_id()), "keyed")
     groups = written(rows.groupBy("k1", "k2").agg(F.sum("size").alias("size")), "groups")
     giants, cuts = plan(groups, shards, ranges)
     return with_slots(rows.withColumn("shard", shard_of(giants, cuts)).drop("k1", "k2"))
