@@ -8,9 +8,10 @@ P^-1(P(x) + 1), a keyed permutation without fixed points. Only beside digits or
 card or an IBAN that step may be repeated, until no longer reading of the place is valid either: so the key
 always gets the value back, while such a value can get another pseudonym than it has elsewhere.
 
-Defined results: a null text stays null and has no spans; texts without findings come back unchanged;
-rows and extra columns are kept, and a column that has the name of an output is replaced. Everything is
-local to a row: no shuffle, and memory for one batch of texts.
+Defined results: a null or empty text stays as it is and has no spans, as do texts without findings; where kinds
+overlap, the first in KINDS wins; rows, repeated ones too, and extra columns are kept whatever their names, and a
+column that has the name of an output is replaced; an empty table gives no rows. Everything is local to a row: no
+shuffle, and memory for a few megabytes of texts or a longer one alone.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from weftgraph.llm.shared import pieces
+
 ROUNDS = 8
 #: Bits of the widest value that is permuted as one number: what a digest holds.
 WIDE = 896
@@ -220,22 +223,29 @@ def read_ip(v):
     return "ip", n, 2**32, lambda x: ".".join(map(str, x.to_bytes(4, "big")))
 
 
+#: Country codes of one and two digits; all others have three.
+SHORT_CODES = {"1", "7", *"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()}
+
+
 def read_phone(v):
-    """North American numbers keep area and exchange at 200 or more; others keep country code and length."""
+    """North American numbers keep area and exchange at 200 or more; others keep country code and length.
+
+    The code follows from the digits, not from how they are grouped, and North American numbers are read alike with
+    their code and without, so a number has one pseudonym however it is written.
+    """
     d = re.sub(r"\D", "", v)
     if not 7 <= len(d) <= 15:
         return None
-    code = re.match(r"\+\d{1,3}(?=[ .(-])", v)
-    code = code[0][1:] if code else d[:2] if v[0] == "+" else ""
+    code = next((d[:n] for n in (1, 2) if d[:n] in SHORT_CODES), d[:3]) if v[0] == "+" else ""
     own = d[len(code) :]
-    if len(own) < 5:
+    if len(own) < 5 or code == "1" and len(own) != 10:
         return None
-    if code in ("", "1") and len(own) == 10 and own[0] > "1" and own[3] > "1":
+    if code in ("", "1") and own[0] > "1" and own[3] > "1" and len(own) == 10:
         alphabets = ["23456789", DIGITS, DIGITS, "23456789", *[DIGITS] * 6]
     else:
         alphabets = [DIGITS[1:] if own[0] != "0" else "0", *[DIGITS] * (len(own) - 1)]
     n, size = _mixed(own, alphabets)
-    return f"phone{'' if len(own) == 10 else code + own[0] * (own[0] == '0')}", n, size, lambda x: _fill(v, code + _unmixed(x, alphabets))
+    return f"phone{'' if code in ('', '1') else code}{own[0] * (own[0] == '0')}{len(own)}", n, size, lambda x: _fill(v, code + _unmixed(x, alphabets))
 
 
 def read_iban(v):
@@ -368,6 +378,19 @@ def iban_places(text):
         yield from ((a, b) for b, n in reversed(ends) if b == ends[-1][0] or known in (None, n))
 
 
+PHONE = re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)")
+
+
+def phone_places(text):
+    """(start, end) of what is shaped like a phone number; behind a country code also what is left of it at each
+    group border, the longest first."""
+    for m in PHONE.finditer(text):
+        yield m.span()
+        if text[m.start()] == "+":
+            ends = [g.end() for g in GROUP.finditer(text, *m.span())][2:-1]
+            yield from ((m.start(), b) for b in reversed(ends))
+
+
 @dataclass(frozen=True)
 class Kind:
     name: str
@@ -387,7 +410,7 @@ KINDS = (
     Kind("card", r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-]\d|\d)", read_card, card_places),
     Kind("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]\d|\d)", read_ssn),
     Kind("aadhaar", r"(?<![\d-])\d{4}([ -]?)\d{4}\1\d{4}(?![\d-]\d|\d)", read_aadhaar),
-    Kind("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)", read_phone),
+    Kind("phone", PHONE.pattern, read_phone, phone_places),
     Kind("pan", r"(?<![A-Za-z0-9])[A-Z]{5}\d{4}[A-Z](?![A-Za-z0-9])", read_pan),
 )
 COMPILED = [(k, re.compile(k.pattern)) for k in KINDS]
@@ -477,8 +500,7 @@ def pseudonymised(docs: DataFrame, key: bytes, text: str = "text", spans: str =
     def run(batches):
         masker = Masker(key, reveal)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for part in pieces(batch, text):
                 found = [masker.mask(t) for t in part.column(text).to_pylist()]
                 columns = [pa.array([f[0] for f in found], part.schema.field(text).type) if c == text else part.column(c) for c in kept]
                 marks = pa.array([[{"start": a, "end": b, "kind": k} for a, b, k in f[1]] for f in found], ARROW_SPANS)
