@@ -13,13 +13,14 @@ A model lies in the shared folder, so its size on disk is that of its n-grams (9
 context, more for counts of 255 and up), while a task needs memory for one shard at most.
 
 Defined results: null and empty texts consist of the end mark; an empty training set gives the uniform
-distribution over the unknown word; repeated rows count as often as they come.
+distribution over the unknown word; repeated rows count as often as they come; equal texts get equal scores; an
+empty table gives no rows; extra columns pass through, one named as an output is replaced. A very long text is
+scored alone, in memory in proportion to it.
 """
 
 from __future__ import annotations
 
 import json
-import os
 import tempfile
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.shared import get, local_path, put, shared_folder, written
+from weftgraph.llm.shared import get, local_path, pieces, put, shared_folder, written
 
 START, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Bytes of text for each shard, about.
@@ -178,8 +179,8 @@ def events(texts: DataFrame, order: int, bits: int) -> DataFrame:
         held: dict[int, list] = {k: [] for k in range(order + 1)}
         n = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS):
-                words, bounds = tokens(batch.column("text").slice(at, TEXTS))
+            for part in pieces(batch, "text", TEXTS):
+                words, bounds = tokens(part.column("text"))
                 before = contexts(words, bounds, order)
                 held[0].append([words])
                 whole = before[-1] != 0 if before else np.ones(len(words), bool)
@@ -313,13 +314,15 @@ def train(texts: DataFrame, order: int, folder: str | None = None, shard_bytes:
 
 
 def mapped(url: str) -> np.ndarray:
-    """The bytes of a shard, mapped; a shard in a remote store is copied to the worker's own folder first."""
+    """The bytes of a shard, mapped; a shard in a remote store is copied to the worker's disk first, where its file
+    has no name, so that the space is free again with the last reader."""
     path = local_path(url)
-    if path is None:
-        path = os.path.join(tempfile.mkdtemp(prefix="ngrams-"), os.path.basename(url))
-        with open(path, "wb") as f:
-            f.write(get(url))
-    return np.memmap(path, np.uint8, "r")
+    if path is not None:
+        return np.memmap(path, np.uint8, "r")
+    with tempfile.TemporaryFile(prefix="ngrams-") as f:
+        f.write(get(url))
+        f.flush()
+        return np.memmap(f, np.uint8, "r")
 
 
 class Shard:
@@ -429,8 +432,7 @@ def scored(docs: DataFrame, folder: str, text: str = "text") -> DataFrame:
     def run(batches):
         model = Model(folder)
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS):
-                part = batch.slice(at, TEXTS)
+            for part in pieces(batch, text, TEXTS):
                 got = model.score(part.column(text))
                 got["perplexity"] = 10 ** (-got["score"] / got["n_tokens"])
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *(pa.array(got[o]) for o in outs)], names=[*kept, *outs])
