@@ -7,8 +7,9 @@ and are skipped when they come up, so n bytes take O(n log n) however long a pre
 all pre-tokens that a batch of texts brings for the first time, with gaps between them.
 
 Defined results: a null text is the empty text and has no ids; ids that are null or not in the
-vocabulary decode to nothing. Rows, order of columns and repeated rows are kept; a column that has the
-name of an output is replaced.
+vocabulary decode to nothing, as does a null list. Rows, order of columns and repeated rows are kept, so equal
+texts get equal ids; an empty table gives no rows; a column that has the name of an output is replaced. A very
+long text is worked on alone, in memory in proportion to it.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from weftgraph.llm.shared import pieces
+
 #: Bits of a word of the lower bitmap level; the upper level has one bit for each word.
 WORD_BITS = 8
 #: Entries of a worker's cache before it starts over; bounds its memory, not the result.
@@ -214,24 +217,40 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
     def run(batches):
         encoder = Encoder(read_ranks(ranks_path), pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, TOGETHER):
-                part = batch.slice(at, TOGETHER)
+            for part in pieces(batch, text, TOGETHER):
                 ends, flat = encoder.batch(part.column(text))
                 yield _with(part, ids, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)))
 
     return df.mapInArrow(run, _schema(df, ids, T.ArrayType(T.IntegerType())))
 
 
+class Decoder:
+    """The vocabulary as one Arrow array; ids that it hasn't got stand for nothing."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.none = max(ranks.values()) + 1
+        tokens = [b""] * (self.none + 1)
+        for token, rank in ranks.items():
+            tokens[rank] = token
+        self.tokens = pa.array(tokens, pa.binary())
+
+    def batch(self, lists: pa.Array) -> pa.Array:
+        """The bytes of each list of ids: tokens are taken in one step, and their bytes already lie in order."""
+        ids = pc.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False)
+        taken = self.tokens.take(pa.array(np.where((ids >= 0) & (ids < self.none), ids, self.none)))
+        _, offsets, data = taken.buffers()
+        places = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
+        bounds = np.frombuffer(offsets, np.int32, len(taken) + 1)[places]
+        return pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(bounds.tobytes()), data])
+
+
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Adds the bytes that the ids stand for."""
 
     def run(batches):
-        vocabulary = {rank: token for token, rank in read_ranks(ranks_path).items()}
-        get = vocabulary.get
+        decoder = Decoder(read_ranks(ranks_path))
         for batch in batches:
-            for at in range(0, batch.num_rows, TOGETHER):
-                part = batch.slice(at, TOGETHER)
-                values = part.column(ids).to_pylist()
-                yield _with(part, out, pa.array([b"".join([get(i, b"") for i in v or ()]) for v in values], pa.binary()))
+            for part in pieces(batch, ids, TOGETHER):
+                yield _with(part, out, decoder.batch(part.column(ids)))
 
     return df.mapInArrow(run, _schema(df, out, T.BinaryType()))
