@@ -44,3 +44,24 @@ def test_all_stages(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], TABLE).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_clashing_names_equal_file_names_and_repeated_rows(spark, tmp_path):
+    names = ["_row", "row", "_taken", "_stays", "_spans", "pii_spans", "_bucket", "kept", "n_words", "domain", "tokens", "key", "leaf", "path"]
+    schema = f"{TABLE}, {', '.join(f'{n} string' for n in names)}"
+    for k in range(2):
+        rows = [(i + 30 * k, prose(i + 30 * k), "en", f"src{i % 3}", 1, *names) for i in range(12)] + [(7, prose(3), None, None, None, *names)] * 2
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/new/{k}")
+        (tmp_path / "documents" / f"p={k}").mkdir(parents=True)
+        next((tmp_path / "new" / str(k)).glob("part-*.parquet")).rename(tmp_path / "documents" / f"p={k}" / "part-0.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents")
+    want = {"quality rules": 28, "near duplicates": 24, "pseudonyms": 24, "mixing": 24}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        if name in want:
+            assert out.columns == docs.columns
+            out.write.parquet(f"{tmp_path}/{k}")
+            docs = spark.read.schema(out.schema).parquet(f"{tmp_path}/{k}")
+            got = docs.collect()
+            assert all(r[n] == n for r in got for n in names) and len(got) == want[name] or name == "mixing"
+        assert out.count() > 0

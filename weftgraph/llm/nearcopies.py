@@ -1,14 +1,17 @@
 """Groups of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Two such texts differ in about ten of 64 SimHash bits, more than a trie join can allow, so the fingerprint
-here is one of BANDS hashes, each of ROWS minima over the shingles: texts that share one are candidates, which a
-pair of similarity 0.8 misses with a chance of (1 - 0.8^5)^20, or 0.0004. Candidates are compared by their whole
+Candidates come from two sides. The trie join of SimHash fingerprints (over the same shingles) gives the closest
+copies, within three bits. Texts of similarity 0.8 differ in about ten of 64 bits, more than a trie join can
+allow, so the others share one of BANDS hashes, each of ROWS minima over the shingles, which a
+pair of similarity 0.8 misses with a chance of (1 - 0.8^5)^20, or 0.0004. All candidates are compared by their whole
 shingle sets. First each member of a bucket is compared with the smallest one, then, where that leaves a bucket
-in several groups, those outside its largest group with all members of other groups: so every pair of a
-bucket is compared or connected already, and a dense cloud of near copies costs rows in proportion to it.
+in several groups, those outside its largest group with all members of other groups whose sets are not too large or
+small for that similarity: so every pair of a bucket is compared, ruled out by size or connected already, and a dense
+cloud of near copies costs rows in proportion to it.
 
 Defined results: null or empty texts and texts without words have the empty set, which equals itself alone; a text
-of fewer than five words is one shingle; equal sets are one node.
+of fewer than five words is one shingle; equal sets are one node; null and repeated ids don't matter, as rows go by
+`_row`; an empty table gives no groups. A very long text is handled alone, in memory in proportion to it.
 """
 
 from __future__ import annotations
@@ -18,8 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.llm import simhash
 from weftgraph.llm.components import components
-from weftgraph.llm.shared import written
+from weftgraph.llm.shared import pieces, written
 
 SHINGLE, SEED = 5, 42
 BANDS, ROWS = 20, 5
@@ -31,15 +35,7 @@ BLOCK = 4096
 
 def grams(text: str | None) -> np.ndarray:
     """The sorted set of shingle hashes."""
-    from xxhash import xxh64_intdigest
-
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    line, starts = b" ".join(words), [0]
-    for w in words:
-        starts.append(starts[-1] + len(w) + 1)
-    return np.unique(np.array([xxh64_intdigest(line[a : b - 1], SEED) for a, b in zip(starts, starts[min(SHINGLE, len(words)) :])], np.uint64))
+    return np.unique(np.array(simhash.shingle_hashes(text, SHINGLE, SEED), np.uint64))
 
 
 def bands(found: np.ndarray) -> np.ndarray:
@@ -64,22 +60,23 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def marked(rows: DataFrame) -> DataFrame:
-    """(_row, doc_id) with the hash of the shingle set, key, and its bands."""
+    """(_row, doc_id) with the hash of the shingle set, key, its size, its bands, and the fingerprint."""
 
     def run(batches):
         from xxhash import xxh64_intdigest
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                sets = [grams(t) for t in part.column("text").to_pylist()]
+            for part in pieces(batch, "text", 500):
+                hashes = [simhash.shingle_hashes(t, SHINGLE, SEED) for t in part.column("text").to_pylist()]
+                sets = [np.unique(np.array(h, np.uint64)) for h in hashes]
                 keys = np.array([xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
                 flat = np.concatenate([bands(s) for s in sets]).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([part.column("_row"), part.column("doc_id"), pa.array(keys), lists], names=["_row", "doc_id", "key", "bands"])
+                columns = [part.column("_row"), part.column("doc_id"), pa.array(keys), pa.array([len(s) for s in sets], pa.int64()), lists, pa.array(simhash.voted(hashes).view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["_row", "doc_id", "key", "size", "bands", "fingerprint"])
 
     kept = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("_row", "doc_id"))
-    return rows.select("_row", "doc_id", "text").mapInArrow(run, f"{kept}, key bigint, bands array<bigint>")
+    return rows.select("_row", "doc_id", "text").mapInArrow(run, f"{kept}, key bigint, size bigint, bands array<bigint>, fingerprint bigint")
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -87,8 +84,7 @@ def _sets(texts: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in pieces(batch, "text", 500):
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([grams(t).tobytes() for t in part.column("text").to_pylist()], pa.binary())], names=["key", "grams"])
 
     return texts.select("key", "text").mapInArrow(run, "key bigint, grams binary")
@@ -107,25 +103,39 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one("b"), "b").join(one("a"), "a").select("a", "b", "grams_a", "grams_b").mapInArrow(run, "a bigint, b bigint")
 
 
+def _close(distinct: DataFrame) -> DataFrame:
+    """(a, b) of keys whose fingerprints are equal or linked by the trie join, each linked to one key of a fingerprint."""
+    held = distinct.select("key", F.col("fingerprint").alias("fp"))
+    first = written(held.groupBy("fp").agg(F.min("key").alias("least")), "fingerprints")
+    same = held.join(first.hint("merge"), "fp").filter("key <> least").select(F.col("key").alias("x"), F.col("least").alias("y"))
+    of = lambda s: first.select(F.col("fp").alias(s), F.col("least").alias(f"key_{s}")).hint("merge")
+    near = simhash.links(first.select("fp")).join(of("a"), "a").join(of("b"), "b").select(F.col("key_a").alias("x"), F.col("key_b").alias("y"))
+    return same.union(near).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+
+
 def groups(marks: DataFrame, rows: DataFrame) -> DataFrame:
     """(node, root) of the keys that are alike others; marks is a written table of marked(rows)."""
-    distinct = written(marks.groupBy("key").agg(F.min("_row").alias("_of"), F.any_value("bands").alias("bands")), "distinct")
-    held = distinct.select("key", F.explode("bands").alias("band"))
+    distinct = marks.groupBy("key").agg(F.min("_row").alias("_of"), *[F.any_value(c).alias(c) for c in ("size", "bands", "fingerprint")])
+    distinct = written(distinct, "distinct")
+    held = distinct.select("key", "size", F.explode("bands").alias("band"))
     least = held.groupBy("band").agg(F.min("key").alias("least"), F.count("*").alias("n")).filter("n > 1").select(F.col("band").alias("bucket"), "least")
     least = written(least, "least").hint("merge")
-    members = written(held.join(least, F.col("band") == F.col("bucket")).select("bucket", "least", "key"), "members")
-    stars = written(members.filter("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b")).distinct(), "stars")
-    needed = written(members.select(F.col("key").alias("k")).distinct().join(distinct.select("key", "_of"), F.col("k") == F.col("key")).select("key", "_of"), "needed")
+    members = written(held.join(least, F.col("band") == F.col("bucket")).select("bucket", "least", "key", "size"), "members")
+    stars = members.filter("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b"))
+    stars = written(stars.union(_close(distinct)).distinct(), "stars")
+    asked = members.select(F.col("key").alias("k")).union(stars.select("a")).union(stars.select("b")).distinct()
+    needed = written(asked.join(distinct.select("key", "_of").hint("merge"), F.col("k") == F.col("key")).select("key", "_of"), "needed")
     sets = written(_sets(rows.select("_row", "text").join(needed.hint("merge"), F.col("_row") == F.col("_of"))), "sets")
     found = written(_links(stars, sets), "links")
     roots = written(components(found), "roots").hint("merge")
-    placed = members.join(roots, F.col("key") == F.col("node"), "left").select("bucket", "key", F.coalesce("root", "key").alias("root"))
+    placed = members.join(roots, F.col("key") == F.col("node"), "left").select("bucket", "key", "size", F.coalesce("root", "key").alias("root"))
     placed = written(placed, "placed")
     sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("roots")).filter("roots > 1")
     main = written(main.select(F.col("bucket").alias("mixed"), "main"), "main").hint("merge")
-    mixed = written(placed.join(main, F.col("bucket") == F.col("mixed")).select("bucket", "key", "root", "main"), "mixed")
-    outside = mixed.filter("root <> main").select("bucket", F.col("key").alias("x"), F.col("root").alias("root_x"))
-    pairs = outside.join(mixed.hint("merge"), "bucket").filter("root <> root_x").select(F.greatest("x", "key").alias("a"), F.least("x", "key").alias("b")).distinct()
+    mixed = written(placed.join(main, F.col("bucket") == F.col("mixed")).select("bucket", "key", "size", "root", "main"), "mixed")
+    outside = mixed.filter("root <> main").select("bucket", F.col("key").alias("x"), F.col("size").alias("size_x"), F.col("root").alias("root_x"))
+    fits = (F.col("root") != F.col("root_x")) & (F.least("size", "size_x") * 5 >= F.greatest("size", "size_x") * 4)
+    pairs = outside.join(mixed.hint("merge"), "bucket").filter(fits).select(F.greatest("x", "key").alias("a"), F.least("x", "key").alias("b")).distinct()
     pairs = written(pairs.join(stars.hint("merge"), ["a", "b"], "left_anti"), "pairs")
     return components(found.unionByName(written(_links(pairs, sets), "more")))
