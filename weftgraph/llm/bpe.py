@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from weftgraph.llm.shared import pieces
+from weftgraph.llm.shared import pieces, strings
 
 #: Bits of a word of the lower bitmap level; the upper level has one bit for each word.
 WORD_BITS = 8
@@ -172,7 +172,7 @@ class Encoder:
         parts = pc.split_pattern(texts.fill_null(""), " ")
         bounds = parts.offsets.to_numpy().astype(np.int64) - parts.offsets[0].as_py()
         coded = parts.flatten().dictionary_encode()
-        which, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        which, distinct = coded.indices.to_numpy().astype(np.int64), strings(coded.dictionary)
         unclean = np.array([not p or p[0].isspace() or p[-1].isspace() for p in distinct], bool)
         meets = unclean[which]
         heads = [distinct[k] for k in which[bounds[:-1]]]

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.shared import get, local_path, pieces, put, shared_folder, written
+from weftgraph.llm.shared import get, local_path, pieces, put, shared_folder, strings, written
 
 START, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Bytes of text for each shard, about.
@@ -63,7 +63,7 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     some = pc.not_equal(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
     kept = np.concatenate([[0], np.cumsum(some)])[bounds]
     coded = flat.filter(pa.array(some)).dictionary_encode()
-    table = np.array([xxh64_intdigest(w, 0) for w in coded.dictionary.to_pylist()], np.uint64)
+    table = np.array([xxh64_intdigest(w, 0) for w in strings(coded.dictionary)], np.uint64)
     words = table[coded.indices.to_numpy()] if len(table) else np.zeros(0, np.uint64)
     return np.insert(words, kept[1:], END), kept + np.arange(len(kept))
 

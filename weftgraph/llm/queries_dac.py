@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
 from weftgraph.catalog import Catalog
 from weftgraph.llm import dac
 
@@ -19,24 +16,4 @@ def op5_addressable_codes(spark, sf_dir):
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     files = dac.stored(docs, P.path("word_bpe_49k.json"), END)
-    rows = digests(dac.read(files.repartition(max(1, files.count()))))
-    at = rows.join(dac.starts(files), rows["file"] == F.col("_file"))
-    return at.select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
-
-
-def digests(rows):
-    """crc32 of the ids as little-endian unsigned 32-bit integers."""
-
-    def run(batches):
-        import zlib
-
-        import numpy as np
-        import pyarrow as pa
-
-        for batch in batches:
-            column = batch.column("ids")
-            offsets, flat = column.offsets.to_numpy(), column.values.to_numpy().astype("<u4")
-            crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:])]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("file", "doc_id", "at")), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], names=["file", "doc_id", "at", "n_tokens", "ids_crc32"])
-
-    return rows.mapInArrow(run, T.StructType([T.StructField(c, T.LongType()) for c in ("file", "doc_id", "at", "n_tokens", "ids_crc32")]))
+    return dac.digests(dac.starts(files).repartition(max(1, min(10_000, files.count())), "file"))
