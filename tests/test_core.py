@@ -176,3 +176,26 @@ def test_files(spark, tmp_path):
     (tmp_path / "g.graphml").write_text('<graphml><graph><node id="n1"><data key="k">v</data></node><node id="n2"/><edge source="n1" target="n2"/></graph></graphml>')
     nodes, edges = readers.graphml(spark, f"{tmp_path}/g.graphml")
     assert rows(nodes, "id") == [("n1",), ("n2",)] and rows(edges, "source", "target") == [("n1", "n2")]
+
+
+def test_approximate_vectors_reach_the_recall(spark):
+    import random
+
+    from weftgraph.operators import search
+
+    rng = random.Random(2)
+    rows = [(k, [rng.gauss(0, 1) for _ in range(64)]) for k in range(400)]
+    vectors = spark.createDataFrame(rows, "id long, vector array<float>")
+    queries = vectors.filter("id % 50 = 0").withColumnRenamed("id", "query_id")
+    exact = {(r.query_id, r.id) for r in search.cosine_top(queries, vectors, 5).collect()}
+    found = {(r.query_id, r.id) for r in search.lsh_top(queries, vectors, 5, 6, 64).collect()}
+    assert len(exact & found) >= 0.9 * len(exact)
+
+
+def test_keywords_as_labels(spark):
+    from weftgraph.lang import Session
+    from weftgraph.operators.graph import graph_of_tables
+
+    s = Session(spark, graph_of_tables(spark, "/root/testdata/sf0.001"))
+    rows = s.run("MATCH NODE Order WHERE NOT (o_totalprice > 50000) RETURN Order.id AS id, o_totalprice ORDER BY o_totalprice LIMIT 3")
+    assert rows.columns == ["id", "o_totalprice"] and rows.count() == 3

@@ -21,10 +21,32 @@ def name_likeness(a: Column, b: Column) -> Column:
 def entity_matches(new: DataFrame, known: DataFrame, merge: float = 0.9, alias: float = 0.4) -> DataFrame:
     """(id, known_id, likeness, action) of the best known entity of the same label; tables (id, label, name).
 
-    Names meet by a shared word, so a pair costs a row only where there is something to compare."""
-    words = lambda df, p: df.select(*[F.col(c).alias(f"{p}{c}") for c in ("id", "label", "name")], F.explode(F.array_distinct(F.split(X.key_of(F.col("name")), r"\s+"))).alias("w"))
-    a, b = words(new, "a_"), words(known, "b_")
-    pairs = a.join(b, (a["w"] == b["w"]) & (F.col("a_label") == F.col("b_label"))).select("a_id", "b_id", name_likeness(F.col("a_name"), F.col("b_name")).alias("s")).filter(F.col("s") >= alias)
+    A name that is part of another shares all its trigrams with it, so it meets only the names that have its rarest
+    one. Names too short for a trigram are met as a whole by names that are short enough to be like them."""
+    short = int(2 / alias)
+
+    def keyed(df):
+        named = df.select(F.struct("id", "name").alias("of"), F.col("label"), X.key_of(F.col("name")).alias("key")).filter(F.col("key").isNotNull())
+        return named.withColumn("n", F.length("key"))
+
+    def all_grams(df):
+        parts = lambda size: F.when(F.col("n") >= size, F.transform(F.sequence(F.lit(1), F.greatest(F.col("n") - size + 1, F.lit(1))), lambda i: F.substring(F.col("key"), i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+        small = F.when(F.col("n") <= short, F.array_union(parts(1), parts(2))).otherwise(F.array().cast("array<string>"))
+        return df.select("of", "label", "key", "n", F.explode(F.array_union(F.array_union(X.trigrams(F.col("key")), parts(3)), small)).alias("gram"))
+
+    def inside(small, large):
+        """Pairs (s, l) of names of which the first is part of the second."""
+        grams = all_grams(large)
+        own = small.select("of", "label", "key", "n", F.explode(F.array_distinct(X.trigrams(F.col("key")))).alias("gram"))
+        rare = own.join(grams.groupBy("label", "gram").agg(F.count("*").alias("df")), ["label", "gram"], "left")
+        rare = rare.groupBy("of", "label", "key", "n").agg(F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)), "gram")).alias("gram"))
+        part = (F.col("n") >= F.col("n_s")) & (F.col("n_s") >= F.col("n") * alias) & F.col("key").contains(F.col("key_s"))
+        one = rare.select(*[F.col(c).alias(f"{c}_s") for c in ("of", "label", "key", "n", "gram")])
+        return one.join(grams, (F.col("label") == F.col("label_s")) & (F.col("gram") == F.col("gram_s")) & part).select(F.col("of_s").alias("s"), F.col("of").alias("l")).distinct()
+
+    a, b = keyed(new), keyed(known)
+    pairs = inside(a, b).union(inside(b, a).select("l", "s")).toDF("a", "b")
+    pairs = pairs.select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), name_likeness(F.col("a.name"), F.col("b.name")).alias("s")).filter(F.col("s") >= alias)
     best = pairs.groupBy("a_id").agg(F.max_by(F.struct("b_id", "s"), F.struct("s", F.col("b_id"))).alias("r"))
     return best.select(F.col("a_id").alias("id"), F.col("r.b_id").alias("known_id"), F.col("r.s").alias("likeness"), F.when(F.col("r.s") >= merge, "merge").otherwise("alias").alias("action"))
 
@@ -62,7 +84,10 @@ def star_groups(nodes: DataFrame, least: float = 0.85) -> DataFrame:
 
 
 def within_budget(df: DataFrame, key: str, budget: int) -> DataFrame:
-    """(key, id, place): by score, ids break ties, each item that still fits; those that don't are passed over."""
+    """(key, id, place): by score, ids break ties, each item that still fits; those that don't are passed over.
+
+    Of a key's items of one cost no more than budget / cost can fit, and these are its first ones; only they are
+    gathered, at most budget x ln(budget) for whole costs, however many items a key has. Costs are above 0."""
 
     def choose(pdf):
         import pandas as pd
@@ -75,7 +100,9 @@ def within_budget(df: DataFrame, key: str, budget: int) -> DataFrame:
         return pd.DataFrame({key: [pdf[key].iloc[0]] * len(out), "id": out, "place": range(1, len(out) + 1)})
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, "id", "score", "cost").groupBy(key).applyInPandas(choose, f"{key} {kind}, id long, place int")
+    place = F.row_number().over(W.partitionBy(key, "cost").orderBy(F.desc("score"), "id"))
+    some = df.select(key, "id", "score", "cost").filter(F.col("cost") <= budget).withColumn("_n", place).filter((F.col("_n") <= budget) & (F.col("_n") * F.col("cost") <= budget))
+    return some.drop("_n").groupBy(key).applyInPandas(choose, f"{key} {kind}, id long, place int")
 
 
 def scoped(role: Column, recency: Column, relevance: Column, stale: Column, superseded: Column) -> Column:
@@ -127,7 +154,9 @@ def conflicts(facts: DataFrame, low: float = 0.6, high: float = 0.9) -> DataFram
     """(a, b, ratio, severity) of facts on the same subject whose wording is alike but not equal (sequence matching)."""
     x = facts.select("subject", F.col("id").alias("a"), F.col("text").alias("ta"))
     y = facts.select("subject", F.col("id").alias("b"), F.col("text").alias("tb"))
-    pairs = x.join(y, "subject").filter("a < b").select("a", "b", "ta", "tb")
+    # the ratio is at most twice the shorter length over both
+    fits = 2 * F.least(F.length("ta"), F.length("tb")) >= low * (F.length("ta") + F.length("tb"))
+    pairs = x.join(y, "subject").filter((F.col("a") < F.col("b")) & fits).select("a", "b", "ta", "tb")
 
     def compare(batches):
         from difflib import SequenceMatcher

@@ -6,6 +6,8 @@ as texts or as a table of (query_id, text), so that many are answered by one pla
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -16,16 +18,20 @@ K1, B, RRF_K = 1.5, 0.75, 60
 # Weights of the fields of a node.
 FIELD_WEIGHTS = {"name": 2.0, "title": 2.0, "statement": 1.5, "content": 1.0, "description": 1.0, "text": 1.0}
 BIGRAM_FACTOR = 1.5
+#: Tables of random planes of the approximate index.
+TABLES = 12
 
 
 def postings(docs: DataFrame, fields: list[str], id: str = "id") -> DataFrame:
-    """(term, id, tf): stems weighted by field, and pairs of neighbouring stems at half as much again."""
+    """(term, id, tf): stems weighted by field, and pairs of neighbouring stems at half as much again.
+
+    A field is cut into stems once; they and their pairs leave the row together."""
     parts = []
     for f in fields:
         w = FIELD_WEIGHTS.get(f, 1.0)
         held = docs.select(F.col(id).alias("id"), X.tokens(F.col(f)).alias("t"))
-        parts.append(held.select("id", F.explode("t").alias("term"), F.lit(w).alias("w")))
-        parts.append(held.select("id", F.explode(X.pairs_of(F.col("t"))).alias("term"), F.lit(w * BIGRAM_FACTOR).alias("w")))
+        both = F.concat(F.transform("t", lambda t: F.struct(t.alias("term"), F.lit(w).alias("w"))), F.transform(X.pairs_of(F.col("t")), lambda t: F.struct(t.alias("term"), F.lit(w * BIGRAM_FACTOR).alias("w"))))
+        parts.append(held.select("id", F.inline(both)))
     every = parts[0]
     for p in parts[1:]:
         every = every.unionAll(p)
@@ -126,26 +132,25 @@ def planes(bits: int, width: int, seed: int = 42) -> list[list[float]]:
     return [[rng.gauss(0, 1) for _ in range(width)] for _ in range(bits)]
 
 
-def sign_hash(vector: Column, flat: list[list[float]]) -> Column:
-    """A bit for the side of each plane on which the vector lies."""
-    bits = [F.when(X.dot(vector, F.array(*[F.lit(x) for x in p])) >= 0, 1 << k).otherwise(0) for k, p in enumerate(flat)]
-    out = bits[0]
-    for b in bits[1:]:
-        out = out + b
-    return out
+def sign_hashes(vector: Column, flat: list[list[float]], bits: int) -> Column:
+    """For each run of so many planes a number whose bits tell the side on which the vector lies."""
+    held = F.from_json(F.lit(json.dumps(flat)), "array<array<double>>")  # one literal, folded by the optimizer
+    sides = F.transform(held, lambda p: (X.dot(vector, p) >= 0).cast("int"))
+    return F.transform(F.sequence(F.lit(1), F.lit(len(flat) - bits + 1), F.lit(bits)), lambda k: F.aggregate(F.slice(sides, k, F.lit(bits)), F.lit(0), lambda h, s: h * 2 + s))
 
 
-def lsh_candidates(queries: DataFrame, vectors: DataFrame, bits: int, width: int, seed: int = 42) -> DataFrame:
-    """(query_id, id): vectors in the query's bucket or one that differs in a bit."""
-    flat = planes(bits, width, seed)
+def lsh_candidates(queries: DataFrame, vectors: DataFrame, bits: int, width: int, tables: int = TABLES, seed: int = 42) -> DataFrame:
+    """(query_id, id): vectors that in one of the tables are in the query's bucket or one that differs in a bit."""
+    flat = planes(bits * tables, width, seed)
+    hashes = lambda v: sign_hashes(v, flat, bits)
     near = F.explode(F.array(F.lit(0), *[F.lit(1 << k) for k in range(bits)]))
-    q = queries.withColumn("h", sign_hash(F.col("vector"), flat)).select("query_id", "h", near.alias("m")).select("query_id", F.col("h").bitwiseXOR(F.col("m")).alias("h"))
-    return vectors.select("id", sign_hash(F.col("vector"), flat).alias("h")).join(q, "h").select("query_id", "id")
+    q = queries.select("query_id", F.posexplode(hashes(F.col("vector"))).alias("t", "h")).select("query_id", "t", "h", near.alias("m")).select("query_id", "t", F.col("h").bitwiseXOR(F.col("m")).alias("h"))
+    return vectors.select("id", F.posexplode(hashes(F.col("vector"))).alias("t", "h")).join(q, ["t", "h"]).select("query_id", "id").distinct()
 
 
-def lsh_top(queries: DataFrame, vectors: DataFrame, k: int, bits: int, width: int, seed: int = 42) -> DataFrame:
+def lsh_top(queries: DataFrame, vectors: DataFrame, k: int, bits: int, width: int, tables: int = TABLES, seed: int = 42) -> DataFrame:
     """The k best by cosine among the candidates."""
-    pairs = lsh_candidates(queries, vectors, bits, width, seed).join(vectors.withColumnRenamed("vector", "v"), "id").join(queries.withColumnRenamed("vector", "q"), "query_id")
+    pairs = lsh_candidates(queries, vectors, bits, width, tables, seed).join(vectors.withColumnRenamed("vector", "v"), "id").join(queries.withColumnRenamed("vector", "q"), "query_id")
     return top(pairs.select("query_id", "id", X.cosine(F.col("v"), F.col("q")).alias("score")), k)
 
 

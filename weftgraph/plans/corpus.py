@@ -50,12 +50,12 @@ def dedup_simhash(spark, d):
 
 @q(
     "dedup_jaccard",
-    "WITH w AS (SELECT turn AS t, conv_id AS id, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: length(x) > 3)) AS k FROM conversations WHERE turn = 0), x AS (SELECT id, unnest(k) AS g, len(k) AS n FROM w), s AS (SELECT a.id AS a, b.id AS b, count(*) AS c, max(a.n) + max(b.n) - count(*) AS u FROM x a JOIN x b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2) SELECT a, b, round(c / u, 6) AS jaccard FROM s WHERE c / u >= 0.5",
+    "WITH w AS (SELECT conv_id * 1000 + turn AS id, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: length(x) > 3)) AS k FROM conversations), x AS (SELECT id, unnest(k) AS g, len(k) AS n FROM w), s AS (SELECT a.id AS a, b.id AS b, count(*) AS c, max(a.n) + max(b.n) - count(*) AS u FROM x a JOIN x b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2) SELECT a, b, round(c / u, 6) AS jaccard FROM s WHERE c / u >= 0.5",
     "C13 J16 U2 R25",
 )
 def dedup_jaccard(spark, d):
     """Texts are blocked on their rarest words: two sets with a likeness of a half share one of each other's prefix."""
-    w = table(spark, d, "conversations").filter("turn = 0").select(F.col("conv_id").alias("id"), F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: F.length(x) > 3)).alias("k"))
+    w = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: F.length(x) > 3)).alias("k"))
     flat = w.select("id", F.explode("k").alias("g"))
     df = flat.groupBy("g").agg(F.count("*").alias("df"))
     ordered = flat.join(df, "g").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "g"))), lambda s: s["g"]).alias("k"))
@@ -69,7 +69,7 @@ def dedup_jaccard(spark, d):
 @q(
     "semantic_bands",
     "SELECT band, count(*) AS n FROM (SELECT CASE WHEN s >= 0.95 THEN 'duplicate' WHEN s >= 0.85 THEN 'related' ELSE 'new' END AS band FROM (SELECT b.vec_id, max(list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE)) / (sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(b.embedding, lambda x: x::DOUBLE * x::DOUBLE))))) AS s FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0 AND a.vec_id <> b.vec_id GROUP BY 1)) GROUP BY 1",
-    "C14 J17",
+    "J17",
 )
 def semantic_bands(spark, d):
     from weftgraph.operators import search as R

@@ -7,17 +7,24 @@ from pyspark.sql import functions as F
 from weftgraph.catalog import Catalog
 from weftgraph.operators import resolve as E
 from weftgraph.operators import search as R
-from weftgraph.plans.graphs import corpus
+from weftgraph.plans.graphs import corpus, index
 from weftgraph.session import table
 
 CATALOG = Catalog()
 q = CATALOG.add
 
 
-@q("entity_resolution", "SELECT n_nationkey AS id, n_nationkey AS known_id, 1.0::DOUBLE AS likeness, 'merge' AS action FROM nation", "C16 J16")
+@q(
+    "entity_resolution",
+    "WITH a AS (SELECT p_partkey AS id, lower(trim(substr(p_name, 3))) AS x FROM part), b AS (SELECT n_nationkey AS id, lower(trim(n_name)) AS x FROM nation UNION ALL SELECT 100 + p_partkey, lower(trim(p_name)) FROM part), s AS (SELECT a.id, b.id AS known_id, least(length(a.x), length(b.x))::DOUBLE / greatest(length(a.x), length(b.x)) AS likeness FROM a JOIN b ON contains(a.x, b.x) OR contains(b.x, a.x)) SELECT id, known_id, round(likeness, 9) AS likeness, CASE WHEN likeness >= 0.9 THEN 'merge' ELSE 'alias' END AS action FROM s WHERE likeness >= 0.4 QUALIFY row_number() OVER (PARTITION BY id ORDER BY likeness DESC, known_id DESC) = 1",
+    "C16 J16",
+)
 def entity_resolution(spark, d):
-    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.lit("Nation").alias("label"), F.col("n_name").alias("name"))
-    return E.entity_matches(n.withColumn("name", F.upper("name")), n)
+    """Names of parts without their first two letters, so inside of words, against the whole names and those of nations."""
+    one = lambda df, id, name: df.select(id.alias("id"), F.lit("Thing").alias("label"), name.alias("name"))
+    p, n = table(spark, d, "part"), table(spark, d, "nation")
+    known = one(n, F.col("n_nationkey").cast("long"), F.col("n_name")).unionByName(one(p, F.col("p_partkey") + 100, F.col("p_name")))
+    return E.entity_matches(one(p, F.col("p_partkey"), F.expr("substring(p_name, 3)")), known).withColumn("likeness", F.round("likeness", 9))
 
 
 @q("canonical_names", "SELECT c_custkey AS id, min(c_custkey) OVER (PARTITION BY lower(c_mktsegment)) AS survivor, sum(2) OVER (PARTITION BY lower(c_mktsegment))::BIGINT AS mention_count FROM customer", "C17")
@@ -34,7 +41,7 @@ def star_merge(spark, d):
 
 @q("budget_selection", None, "C37")
 def budget_selection(spark, d):
-    e = table(spark, d, "events").filter("user_id < 20").select("user_id", F.col("event_id").alias("id"), F.col("value").alias("score"), (F.col("event_id") % 50 + 1).alias("cost"))
+    e = table(spark, d, "events").select("user_id", F.col("event_id").alias("id"), F.col("value").alias("score"), (F.col("event_id") % 50 + 1).alias("cost"))
     return E.within_budget(e, "user_id", 120)
 
 
@@ -52,22 +59,24 @@ def quality_gate(spark, d):
 @q("query_expansion", None, "R19 R18")
 def query_expansion(spark, d):
     docs, queries = corpus(spark, d)
-    best = R.top(R.bm25(queries, R.postings(docs, ["text"]), docs), 10)
+    best = R.top(R.bm25(queries, index(docs), docs), 10)
     return E.expansion_terms(best, docs, R.query_terms(queries)).groupBy("query_id").agg(F.count("*").alias("n"))
 
 
-@q("hybrid_index_search", None, "R17")
+@q("hybrid_index_search", None, "")
 def hybrid_index_search(spark, d):
     docs, queries = corpus(spark, d)
-    named = docs.select("id", F.substring("text", 1, 80).alias("name"))
-    first = R.top(R.bm25(queries, R.postings(docs, ["text"]), docs), 5).join(named, "id")
+    named = docs.select("id", F.col("id").cast("string").alias("name"))
+    first = R.top(R.bm25(queries, index(docs), docs), 5).join(named, "id")
     fuzzy = R.top(R.fuzzy(queries, docs, 0.7).withColumnRenamed("similarity", "score"), 5).join(named, "id")
     return E.with_priority([first, fuzzy]).select("query_id", "id", F.round("score", 5).alias("score"))
 
 
 @q("fact_conflicts", None, "E22")
 def fact_conflicts(spark, d):
-    c = table(spark, d, "conversations").filter("turn = 0").select(F.col("conv_id").alias("id"), (F.col("conv_id") % 25).alias("subject"), F.substring("text", 1, 200).alias("text"))
+    """What all parts of a brand, type and size are said to be, in whole texts."""
+    said = F.concat_ws(" ", "p_name", F.lit("of size"), "p_size", F.lit("costs"), "p_retailprice")
+    c = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws("/", "p_brand", "p_type", "p_size").alias("subject"), said.alias("text"))
     return E.conflicts(c).withColumn("ratio", F.round("ratio", 6))
 
 

@@ -132,12 +132,13 @@ def cross_threshold(spark, d):
 
 @q(
     "positional_align",
-    "WITH a AS (SELECT value, row_number() OVER (ORDER BY ts, event_id) AS n FROM events WHERE user_id = 5), b AS (SELECT value, row_number() OVER (ORDER BY ts, event_id) AS n FROM events WHERE user_id = 6) SELECT a.n, a.value AS x, b.value AS y FROM a JOIN b ON a.n = b.n",
+    "WITH a AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) SELECT a.user_id, a.n, a.value AS x, b.value AS y FROM a JOIN a b ON b.user_id = a.user_id + 1 AND b.n = a.n",
     "J21",
 )
 def positional_align(spark, d):
-    one = lambda u, name: events(spark, d).filter(F.col("user_id") == u).select(F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).cast("long").alias("n"), F.col("value").alias(name))
-    return one(5, "x").join(one(6, "y"), "n")
+    """Each user's sequence beside that of the next one."""
+    own = events(spark, d).select("user_id", F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).cast("long").alias("n"), F.col("value").alias("x"))
+    return own.join(own.select((F.col("user_id") - 1).alias("user_id"), "n", F.col("x").alias("y")), ["user_id", "n"])
 
 
 @q(
@@ -284,9 +285,9 @@ def activity_buckets(spark, d):
     return events(spark, d).groupBy(shown(A.minute_bucket(F.col("ts"), 15)).alias("bucket")).agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
 
 
-@q("activity_by_agent", "SELECT user_id, event_id, event_type FROM events WHERE user_id IN (3, 4) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) <= 10", "E7 T9 S25")
+@q("activity_by_agent", "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) <= 10", "E7 T9 S25")
 def activity_by_agent(spark, d):
-    return A.capped(events(spark, d).filter("user_id IN (3, 4)"), "user_id", [F.desc("ts"), "event_id"], 10).select("user_id", "event_id", "event_type")
+    return A.capped(events(spark, d), "user_id", [F.desc("ts"), "event_id"], 10).select("user_id", "event_id", "event_type")
 
 
 @q("freshness_class", f"SELECT c, count(*) AS n FROM (SELECT CASE WHEN d <= 2 THEN 'fresh' WHEN d <= 7 THEN 'recent' WHEN d <= 30 THEN 'aging' WHEN d <= 90 THEN 'stale' ELSE 'historical' END AS c FROM (SELECT date_diff('day', ts::DATE, DATE '2024-02-01') AS d FROM events)) GROUP BY 1", "C23")
