@@ -2,7 +2,10 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
+from weftgraph.llm import nearcopies
 
 TABLE = "doc_id long, text string"
 
@@ -44,6 +47,11 @@ def test_edited_copies_go(spark, tmp_path):
     # a dense cloud, and a chain whose ends are not alike
     cloud = [f"c{k}" for k in range(300)]
     texts += [" ".join(edited(rng, cloud, 130)) for _ in range(60)]
+    # a cloud of texts that are less alike, and some of them nearly twice
+    loose = [f"l{k}" for k in range(200)]
+    for _ in range(40):
+        words = edited(rng, loose, 12)
+        texts += [" ".join(words), " ".join(edited(rng, words, 60))][: rng.randrange(1, 3)]
     chain = [f"d{k}" for k in range(400)]
     texts += [" ".join(chain[k : k + 300]) for k in range(0, 100, 10)]
     rng.shuffle(texts)
@@ -51,3 +59,13 @@ def test_edited_copies_go(spark, tmp_path):
     spark.createDataFrame(rows, TABLE).repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()) == survivors(rows)
+
+
+def test_bounds_rule_out_no_pair():
+    rng = np.random.default_rng(7)
+    for _ in range(300):
+        base = rng.integers(0, 2**64, int(rng.integers(1, 400)), dtype=np.uint64)
+        a, b = (np.unique(np.concatenate([base[rng.random(len(base)) < 0.95], rng.integers(0, 2**64, int(rng.integers(0, 8)), dtype=np.uint64)])) for _ in range(2))
+        if nearcopies.alike(a, b):
+            apart = int(np.bitwise_count(nearcopies.parities(a).view(np.uint64) ^ nearcopies.parities(b).view(np.uint64)).sum())
+            assert 9 * apart <= len(a) + len(b) and apart <= len(np.setxor1d(a, b))

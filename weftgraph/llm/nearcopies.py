@@ -5,9 +5,11 @@ copies, within three bits. Texts of similarity 0.8 differ in about ten of 64 bit
 allow, so the others share one of BANDS hashes, each of ROWS minima over the shingles, which a
 pair of similarity 0.8 misses with a chance of (1 - 0.8^5)^20, or 0.0004. All candidates are compared by their whole
 shingle sets. First each member of a bucket is compared with the smallest one, then, where that leaves a bucket
-in several groups, those outside its largest group with all members of other groups whose sets are not too large or
-small for that similarity: so every pair of a bucket is compared, ruled out by size or connected already, and a dense
-cloud of near copies costs rows in proportion to it.
+in several groups, those outside its largest group with members of other groups, but for pairs that three exact bounds
+rule out: the sizes of the sets; the shingles that no other such member has, which no pair can share (a text with more
+than a fifth of these is out before it meets another); and 256 parity bits of each set, of which a pair differs in no
+more than in shingles. So every pair of a bucket is compared, ruled out or connected already, and a dense cloud of near
+copies costs rows in proportion to it, while of a cloud of texts that are less alike hardly a pair becomes a row.
 
 Defined results: null or empty texts and texts without words have the empty set, which equals itself alone; a text
 of fewer than five words is one shingle; equal sets are one node; null and repeated ids don't matter, as rows go by
@@ -29,6 +31,8 @@ SHINGLE, SEED = 5, 42
 BANDS, ROWS = 20, 5
 _RANDOM = np.random.default_rng(SEED)
 TIMES, FLIPS = (_RANDOM.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)), _RANDOM.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64)
+#: 64-bit words of the parity bits of a set, and the shift of a hash that leaves a number of one of them.
+PARITY_WORDS, PARITY_SHIFT = 4, 56
 #: Shingles that are hashed for all minima at once; bounds memory.
 BLOCK = 4096
 
@@ -79,15 +83,37 @@ def marked(rows: DataFrame) -> DataFrame:
     return rows.select("_row", "doc_id", "text").mapInArrow(run, f"{kept}, key bigint, size bigint, bands array<bigint>, fingerprint bigint")
 
 
+def parities(found: np.ndarray) -> np.ndarray:
+    """256 bits: for each residue whether an odd number of the shingle hashes has it."""
+    odd = np.bincount((found >> np.uint64(PARITY_SHIFT)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sets(texts: DataFrame) -> DataFrame:
-    """(key, shingle set as bytes) of (key, text)."""
+    """(key, shingle set as bytes, p0, ..: its parity bits) of (key, text)."""
+    names = [f"p{k}" for k in range(PARITY_WORDS)]
 
     def run(batches):
         for batch in batches:
             for part in pieces(batch, "text", 500):
-                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([grams(t).tobytes() for t in part.column("text").to_pylist()], pa.binary())], names=["key", "grams"])
+                found = [grams(t) for t in part.column("text").to_pylist()]
+                bits = np.stack([parities(g) for g in found], axis=1)
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([g.tobytes() for g in found], pa.binary()), *map(pa.array, bits)], names=["key", "grams", *names])
+
+    return texts.select("key", "text").mapInArrow(run, f"key bigint, grams binary, {', '.join(f'{n} bigint' for n in names)}")
+
 
-    return texts.select("key", "text").mapInArrow(run, "key bigint, grams binary")
+def _shingles(sets: DataFrame) -> DataFrame:
+    """(key, h): a row for each shingle of each set."""
+
+    def run(batches):
+        for batch in batches:
+            for part in pieces(batch, "grams", 500):
+                found = [np.frombuffer(g.as_buffer(), np.int64) if g.as_buffer() is not None else np.zeros(0, np.int64) for g in part.column("grams")]
+                keys = np.repeat(part.column("key").to_numpy(), [len(f) for f in found])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.concatenate(found))], names=["key", "h"])
+
+    return sets.select("key", "grams").mapInArrow(run, "key bigint, h bigint")
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -113,6 +139,23 @@ def _close(distinct: DataFrame) -> DataFrame:
     return same.union(near).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
 
 
+PARITIES = [f"p{k}" for k in range(PARITY_WORDS)]
+
+
+def _able(mixed: DataFrame, sets: DataFrame) -> DataFrame:
+    """The members that may be alike others in their buckets, with `most`, the shingles that they can share, and parity bits.
+
+    A shingle that only one of all these members has is shared by no pair of a bucket.
+    """
+    asked = written(mixed.select(F.col("key").alias("k"), "size").distinct(), "asked").hint("merge")
+    own = sets.join(asked, F.col("key") == F.col("k")).select("key", "size", "grams", *PARITIES)
+    lone = _shingles(own).groupBy("h").agg(F.count("*").alias("n"), F.min("key").alias("of")).filter("n = 1")
+    lone = written(lone.groupBy("of").agg(F.count("*").alias("lone")), "lone").hint("merge")
+    able = own.join(lone, F.col("key") == F.col("of"), "left").withColumn("most", F.col("size") - F.coalesce("lone", F.lit(0)))
+    able = able.filter(F.col("most") * 5 >= F.col("size") * 4).select(F.col("key").alias("k"), "most", *PARITIES)
+    return mixed.join(written(able, "able").hint("merge"), F.col("key") == F.col("k")).select(*mixed.columns, "most", *PARITIES)
+
+
 def groups(marks: DataFrame, rows: DataFrame) -> DataFrame:
     """(node, root) of the keys that are alike others; marks is a written table of marked(rows)."""
     distinct = marks.groupBy("key").agg(F.min("_row").alias("_of"), *[F.any_value(c).alias(c) for c in ("size", "bands", "fingerprint")])
@@ -134,8 +177,12 @@ def groups(marks: DataFrame, rows: DataFrame) -> DataFrame:
     main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("roots")).filter("roots > 1")
     main = written(main.select(F.col("bucket").alias("mixed"), "main"), "main").hint("merge")
     mixed = written(placed.join(main, F.col("bucket") == F.col("mixed")).select("bucket", "key", "size", "root", "main"), "mixed")
-    outside = mixed.filter("root <> main").select("bucket", F.col("key").alias("x"), F.col("size").alias("size_x"), F.col("root").alias("root_x"))
-    fits = (F.col("root") != F.col("root_x")) & (F.least("size", "size_x") * 5 >= F.greatest("size", "size_x") * 4)
-    pairs = outside.join(mixed.hint("merge"), "bucket").filter(fits).select(F.greatest("x", "key").alias("a"), F.least("x", "key").alias("b")).distinct()
+    live = written(_able(mixed, sets), "live")
+    outside = live.filter("root <> main").select("bucket", *[F.col(c).alias(f"{c}_x") for c in ("key", "size", "root", "most", *PARITIES)])
+    apart = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"{p}_x"))) for p in PARITIES), F.lit(0))
+    both = F.col("size") + F.col("size_x")
+    fits = (outside["bucket"] == live["bucket"]) & (F.col("root") != F.col("root_x")) & (F.least("size", "size_x") * 5 >= F.greatest("size", "size_x") * 4)
+    fits = fits & (F.least("most", "most_x") * 9 >= both * 4) & (apart * 9 <= both)
+    pairs = outside.join(live.hint("merge"), fits).select(F.greatest("key_x", "key").alias("a"), F.least("key_x", "key").alias("b")).distinct()
     pairs = written(pairs.join(stars.hint("merge"), ["a", "b"], "left_anti"), "pairs")
     return components(found.unionByName(written(_links(pairs, sets), "more")))
