@@ -156,3 +156,27 @@ def save_checkpoint(df: DataFrame, root: str, name: str) -> str:
 
 def restore_checkpoint(spark, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root.rstrip('/')}/{name}")
+
+
+def restore_version(versions: DataFrame, entity: str, number: str, wanted: int) -> DataFrame:
+    """The history with the wanted version of each entity appended as its newest one; entities without it stay as they are."""
+    last = versions.groupBy(F.col(entity).alias("_e")).agg((F.max(number) + 1).alias("_n"))
+    again = versions.filter(F.col(number) == wanted).join(last, F.col(entity) == F.col("_e")).withColumn(number, F.col("_n")).drop("_e", "_n")
+    return versions.unionByName(again)
+
+
+def expired(edges: DataFrame, label: str, at: str, days: int, now) -> DataFrame:
+    """The edges without those of a label that were computed more than so many days before now; undated ones stay."""
+    old = (F.col("label") == label) & (F.col(at) < now - F.expr(f"INTERVAL {days} DAYS"))
+    return edges.filter(~F.coalesce(old, F.lit(False)))
+
+
+def indicator_over_time(values: DataFrame, name: Column, wanted: str, at: str, since) -> DataFrame:
+    """Rows from an instant on whose indicator's name holds the wanted one in any case, with their date."""
+    return values.filter(F.lower(name).contains(wanted.lower()) & (F.col(at) >= since)).withColumn("date", F.to_date(at))
+
+
+def of_domain(nodes: DataFrame, domain: str) -> DataFrame:
+    """Nodes of a domain, read from the first of domain, _domain and _schema that they have."""
+    held = [c for c in ("domain", "_domain", "_schema") if c in nodes.columns]
+    return nodes.filter(F.coalesce(*held) == domain) if held else nodes.limit(0)

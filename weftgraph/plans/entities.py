@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from weftgraph.catalog import Catalog
 from weftgraph.operators import resolve as E
 from weftgraph.operators import search as R
+from weftgraph.operators import versions as V
 from weftgraph.plans.graphs import corpus, index
 from weftgraph.session import table
 
@@ -90,3 +92,49 @@ def memory_recall(spark, d):
 def replay_fork(spark, d):
     c = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("run"), F.col("turn").alias("step"), "role")
     return E.forked(c, "3", 2, "again")
+
+
+@q("restore_version", "WITH v AS (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS version FROM orders) SELECT * FROM v UNION ALL SELECT o_custkey, o_orderkey, o_totalprice, (SELECT max(version) + 1 FROM v w WHERE w.o_custkey = v.o_custkey) FROM v WHERE version = 2", "E6")
+def restore_version(spark, d):
+    o = table(spark, d, "orders")
+    versions = o.select("o_custkey", "o_orderkey", "o_totalprice", F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).alias("version"))
+    return V.restore_version(versions, "o_custkey", "version", 2).withColumn("version", F.col("version").cast("long"))
+
+
+@q("correlation_expiry", "SELECT event_id, event_type AS label FROM events WHERE NOT (event_type = 'view' AND ts < TIMESTAMP '2024-01-20')", "E24")
+def correlation_expiry(spark, d):
+    e = table(spark, d, "events").select("event_id", F.col("event_type").alias("label"), F.col("ts").cast("timestamp").alias("computed_at"))
+    return V.expired(e, "view", "computed_at", 10, F.lit("2024-01-30").cast("timestamp")).select("event_id", "label")
+
+
+@q("indicator_over_time", "SELECT strftime(ts, '%Y-%m-%d') AS date, event_id, user_id, value FROM events WHERE contains(lower(event_type), 'purch') AND ts >= TIMESTAMP '2024-01-10'", "E13")
+def indicator_over_time(spark, d):
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = V.indicator_over_time(e, F.col("event_type"), "PURCH", "ts", F.lit("2024-01-10").cast("timestamp"))
+    return out.select(F.col("date").cast("string").alias("date"), "event_id", "user_id", "value")
+
+
+@q("domain_filter", "SELECT c_custkey FROM customer WHERE coalesce(CASE WHEN c_acctbal > 5000 THEN 'rich' END, CASE WHEN c_acctbal < 0 THEN 'debt' END, lower(c_mktsegment)) = 'machinery'", "P18")
+def domain_filter(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", F.expr("CASE WHEN c_acctbal > 5000 THEN 'rich' END AS domain"), F.expr("CASE WHEN c_acctbal < 0 THEN 'debt' END AS _domain"), F.lower("c_mktsegment").alias("_schema"))
+    return V.of_domain(c, "machinery").select("c_custkey")
+
+
+@q("columnar_select", "SELECT p_partkey, p_name FROM part WHERE p_size = 10", "P19")
+def columnar_select(spark, d):
+    """Two columns by an equality: both reach the Parquet scan."""
+    return table(spark, d, "part").filter("p_size = 10").select("p_partkey", "p_name")
+
+
+@q("case_insensitive_filter", "SELECT c_custkey FROM customer WHERE lower(c_mktsegment) = 'building'", "P14")
+def case_insensitive_filter(spark, d):
+    return table(spark, d, "customer").filter(F.lower("c_mktsegment") == "bUiLdInG".lower()).select("c_custkey")
+
+
+@q("entity_boost", "WITH w AS (SELECT DISTINCT user_id % 5 AS query_id, event_type AS name FROM events WHERE value > 2 * (SELECT avg(value) FROM events)) SELECT e.user_id % 5 AS query_id, e.event_id AS id, round(e.value * CASE WHEN w.name IS NULL THEN 1.0 ELSE 1.5 END, 6) AS score FROM events e LEFT JOIN w ON w.query_id = e.user_id % 5 AND w.name = e.event_type", "R22")
+def entity_boost(spark, d):
+    e = table(spark, d, "events").withColumn("query_id", F.col("user_id") % 5)
+    ranked = e.select("query_id", F.col("event_id").alias("id"), F.col("value").alias("score"))
+    mean = e.agg(F.avg("value").alias("mean"))
+    wanted = e.join(F.broadcast(mean), F.col("value") > 2 * F.col("mean")).select("query_id", F.col("event_type").alias("name")).distinct()  # one row
+    return E.entity_boost(ranked, e.select(F.col("event_id").alias("id"), F.col("event_type").alias("name")), wanted).withColumn("score", F.round("score", 6))
