@@ -421,3 +421,10 @@ def sql_passthrough(spark, d):
 def defined_function(spark, d):
     Session(spark, graph_of_tables(spark, d)).run("DEFINE FUNCTION shout(x) AS RETURN \"concat(upper(x), '!')\"")
     return table(spark, d, "customer").selectExpr("c_custkey", "shout(c_mktsegment) AS shout")
+
+
+@q("explain_statement", "SELECT 'Customer' AS label, true AS columnar_scan, true AS filter_reaches_scan", "P29")
+def explain_statement(spark, d):
+    """What EXPLAIN tells of a statement that it doesn't run."""
+    plan = Session(spark, graph_of_tables(spark, d)).run("EXPLAIN SELECT id FROM Customer WHERE c_custkey < 50")
+    return spark.createDataFrame([("Customer", "Scan parquet" in plan, "PushedFilters: [" in plan and "LessThan(c_custkey,50)" in plan)], "label string, columnar_scan boolean, filter_reaches_scan boolean")
