@@ -199,3 +199,46 @@ def test_keywords_as_labels(spark):
     s = Session(spark, graph_of_tables(spark, "/root/testdata/sf0.001"))
     rows = s.run("MATCH NODE Order WHERE NOT (o_totalprice > 50000) RETURN Order.id AS id, o_totalprice ORDER BY o_totalprice LIMIT 3")
     assert rows.columns == ["id", "o_totalprice"] and rows.count() == 3
+
+
+def test_near_pairs_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(5)
+    prints = [rng.getrandbits(64) for _ in range(60)] + [0, 2**64 - 1]
+    for f in prints[:60]:
+        for _ in range(4):
+            for b in rng.sample(range(64), rng.randrange(1, 9)):
+                f ^= 1 << b
+            prints.append(f)
+    rows = [(k, f >> 32, f & 0xFFFFFFFF) for k, f in enumerate(prints)]
+    first = {f: k for k, f in reversed(list(enumerate(prints)))}
+    want = sorted((a, b, (prints[a] ^ prints[b]).bit_count()) for a in first.values() for b in first.values() if a < b and (prints[a] ^ prints[b]).bit_count() <= 6)
+    assert rows_of(T.near_pairs(spark.createDataFrame(rows, "id long, hi long, lo long"))) == want
+
+
+def rows_of(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def test_tiers_against_percent_rank(spark):
+    from pyspark.sql import Window as W
+
+    held = [(k, None if k % 23 == 0 else float((k * k) % 37), "a word " * 60) for k in range(300)]
+    for some in (held, held[:1], held[1:2], []):
+        df = spark.createDataFrame(some, "id long, s double, text string")
+        r = F.percent_rank().over(W.orderBy("s"))
+        want = df.select("id", F.when(r >= 0.7, "full").when(r >= 0.4, "summary").when(r >= 0.1, "reference").otherwise("dropped"))
+        got = T.compressed(df, "s", "text")
+        assert rows_of(got.select("id", "tier")) == rows_of(want)
+        assert got.columns == ["id", "s", "text", "tier", "summary"]
+
+
+def test_streams_to_files(spark, tmp_path):
+    from weftgraph.streaming import streams
+
+    for n, part in enumerate([[("a", 1), ("b", 2)], [("a", 3)]]):
+        spark.createDataFrame(part, "k string, v long").coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    source = spark.readStream.schema("k string, v long").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    assert rows_of(streams.to_table(source.groupBy("k").agg(F.sum("v").alias("v")), f"{tmp_path}/sums")) == [("a", 4), ("b", 2)]
+    assert rows_of(streams.to_table(source, f"{tmp_path}/all", "append")) == [("a", 1), ("a", 3), ("b", 2)]

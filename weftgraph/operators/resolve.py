@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from weftgraph.functions import text as X
+from weftgraph.operators.lineage import cut
 
 
 def name_likeness(a: Column, b: Column) -> Column:
@@ -61,26 +62,28 @@ def canonical(nodes: DataFrame) -> DataFrame:
 
 def star_groups(nodes: DataFrame, least: float = 0.85) -> DataFrame:
     """(id, survivor): equal names of a label first, then each remaining name joins the first whose words are at
-    least so alike; joined names aren't compared again. One label is decided in one task, so labels should be small."""
-
-    def group(pdf):
-        import pandas as pd
-
-        rows = sorted(zip(pdf.id, pdf.name.fillna("").str.lower().str.strip()))
-        survivor, exact = {}, {}
-        for i, n in rows:
-            survivor[i] = exact.setdefault(n, i)
-        singles = [(i, frozenset(n.split())) for n, i in sorted(exact.items(), key=lambda x: x[1])]
-        taken = set()
-        for k, (i, words) in enumerate(singles):
-            if i not in taken:
-                for j, other in singles[k + 1 :]:
-                    if j not in taken and words | other and len(words & other) / len(words | other) >= least:
-                        taken.add(j)
-                        survivor.update({x: i for x, s in survivor.items() if s == j})
-        return pd.DataFrame({"id": list(survivor), "survivor": list(survivor.values())})
-
-    return nodes.select("id", "label", "name").groupBy("label").applyInPandas(group, "id string, survivor string")
+    least so alike; joined names aren't compared again. Ids decide what comes first; names without words stay alone.
+
+    Two such names share one of each other's rarest words, so a name meets others by those words only, and
+    who leads is decided by rounds over the links, so a label may be of any size."""
+    from weftgraph.operators.textops import first_come
+
+    words = F.array_distinct(F.filter(F.split(F.col("key"), r"\s+"), lambda w: w != ""))
+    label = F.struct(F.col("label").isNull().alias("none"), F.coalesce("label", F.lit("")).alias("of"))  # nodes without a label are one group
+    keyed = nodes.select("id", label.alias("label"), F.coalesce(X.key_of(F.col("name")), F.lit("")).alias("key"))
+    firsts = cut(keyed.groupBy("label", "key").agg(F.min("id").alias("first")))
+    flat = firsts.select("label", F.col("first").alias("id"), F.explode(words).alias("w"))
+    ordered = flat.join(flat.groupBy("label", "w").agg(F.count("*").alias("df")), ["label", "w"])
+    sets = ordered.groupBy("label", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "w"))), lambda s: s["w"]).alias("ws"))
+    rarest = F.slice("ws", 1, F.size("ws") - F.ceil(F.size("ws") * F.lit(least) - 1e-9).cast("int") + 1)
+    one = sets.select("label", "id", "ws", F.explode(rarest).alias("w"))
+    other = one.select("label", F.col("id").alias("b"), F.col("ws").alias("wb"), "w")
+    pairs = one.join(other, ["label", "w"]).filter((F.col("id") < F.col("b")) & (X.jaccard(F.col("ws"), F.col("wb")) >= least)).select(F.col("id").alias("a"), "b").distinct()
+    pairs = cut(pairs)
+    leaders = first_come(firsts.select(F.col("first").alias("id")), pairs).filter("kept").select(F.col("id").alias("a"))
+    joined = pairs.join(leaders, "a").groupBy("b").agg(F.min("a").alias("lead"))
+    lead = firsts.join(joined, F.col("first") == F.col("b"), "left").select("label", "key", F.coalesce("lead", "first").alias("survivor"))
+    return keyed.join(lead, ["label", "key"]).select("id", "survivor")
 
 
 def within_budget(df: DataFrame, key: str, budget: int) -> DataFrame:

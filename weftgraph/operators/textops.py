@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -107,28 +109,29 @@ def with_simhash(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumns({"hi": bits("_sh"), "lo": bits("_sl")}).drop("_p", "_n", "_g", "_hi", "_lo", "_sh", "_sl")
 
 
+#: Bands of a key of near_pairs, all of which must be equal; with `most` more of them one key at least is equal.
+JOINED = 3
+
+
 def near_pairs(marked: DataFrame, most: int = 6) -> DataFrame:
-    """(a, b, distance), a < b, from (id, hi, lo): one of most + 1 bands of bits is equal in such a pair.
+    """(a, b, distance), a < b, from (id, hi, lo): of most + JOINED bands of bits JOINED are equal in such a pair.
 
-    Equal fingerprints meet once, as one row; the pairs are between distinct fingerprints' smallest ids."""
+    Each choice of JOINED bands is a key, so six bits give 84 keys of about 21 bits for a fingerprint, and chance meets
+    few others in a key. A pair counts in the first key that it shares. Equal fingerprints meet once, as one row; the
+    pairs are between distinct fingerprints' smallest ids."""
     reps = marked.groupBy("hi", "lo").agg(F.min("id").alias("id"))
-    n = most + 1
+    n = most + JOINED
     cuts = [round(64 * k / n) for k in range(n + 1)]
-
-    def band(a, b):
-        """bits a to b of the 64, low ones first, as text"""
-        parts = []
-        if a < 32:
-            parts.append(F.shiftright("lo", a).bitwiseAND(F.lit((1 << (min(b, 32) - a)) - 1)))
-        if b > 32:
-            s = max(a, 32) - 32
-            parts.append(F.shiftright("hi", s).bitwiseAND(F.lit((1 << (b - 32 - s)) - 1)))
-        return F.concat_ws(":", *[p.cast("string") for p in parts])
-
-    keyed = reps.select("id", "hi", "lo", F.posexplode(F.array(*[band(a, b) for a, b in zip(cuts, cuts[1:])])).alias("band", "key"))
-    other = keyed.select(F.col("id").alias("b"), F.col("hi").alias("hi_b"), F.col("lo").alias("lo_b"), "band", "key")
-    d = F.bit_count(F.col("hi").bitwiseXOR(F.col("hi_b"))) + F.bit_count(F.col("lo").bitwiseXOR(F.col("lo_b")))
-    return keyed.join(other, ["band", "key"]).filter("id < b").select(F.col("id").alias("a"), "b", d.alias("distance")).filter(F.col("distance") <= most).distinct()
+    whole = lambda hi, lo: F.shiftleft(hi, 32).bitwiseOR(lo)  # noqa: E731  halves have 32 bits
+    masks = [((1 << b) - (1 << a)) - (1 << 64 if b == 64 else 0) for a, b in zip(cuts, cuts[1:])]
+    keys = [sum(masks[k] for k in chosen) for chosen in combinations(range(n), JOINED)]
+    held = reps.select("id", whole(F.col("hi"), F.col("lo")).alias("f"))
+    keyed = held.select("id", "f", F.posexplode(F.array(*[F.col("f").bitwiseAND(F.lit(m)) for m in keys])).alias("key", "bits"))
+    other = keyed.select(F.col("id").alias("b"), F.col("f").alias("g"), "key", "bits")
+    apart = F.col("f").bitwiseXOR(F.col("g"))
+    first = F.array_position(F.transform(F.array(*map(F.lit, keys)), lambda m: apart.bitwiseAND(m) == 0), True) - 1
+    met = keyed.join(other, ["key", "bits"]).filter("id < b").withColumn("distance", F.bit_count(apart)).filter(F.col("distance") <= most)
+    return met.filter(F.col("key") == first).select(F.col("id").alias("a"), "b", "distance")
 
 
 def first_come(ids: DataFrame, pairs: DataFrame, most: int = 50) -> DataFrame:
@@ -306,13 +309,34 @@ def node_quality(df: DataFrame) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(100), points))
 
 
+def rank_bounds(df: DataFrame, score: str, shares: list[float]) -> DataFrame:
+    """One row (b0, b1, ..): for each share the smallest score whose percent rank over the whole table is that much or more.
+
+    Scores are counted, dealt by range and summed within their range, so no task sorts the table; only one count a
+    range is summed in one place."""
+    from weftgraph.operators.lineage import cut
+
+    counts = df.groupBy(F.col(score).alias("s")).agg(F.count("*").alias("n"))
+    ranged = cut(counts.repartitionByRange("s").withColumn("part", F.spark_partition_id()))
+    parts = ranged.groupBy("part").agg(F.sum("n").alias("m"))
+    earlier = parts.select("part", (F.sum("m").over(W.orderBy("part")) - F.col("m")).alias("before"), F.sum("m").over(W.partitionBy()).alias("total"))
+    inside = F.coalesce(F.sum("n").over(W.partitionBy("part").orderBy("s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranks = ranged.withColumn("inside", inside).join(F.broadcast(earlier), "part")  # a row for each range
+    rank = F.when(F.col("total") > 1, (F.col("before") + F.col("inside")) / (F.col("total") - 1)).otherwise(0.0)
+    return ranks.agg(*[F.min(F.when(rank >= x, F.col("s"))).alias(f"b{k}") for k, x in enumerate(shares)])
+
+
 def compressed(df: DataFrame, score: str, text: str, high: float = 0.7, mid: float = 0.4, low: float = 0.1, length: int = 300) -> DataFrame:
-    """Adds tier by percentile of the score, and summary: cut at the last blank before `length` characters."""
-    rank = F.percent_rank().over(W.orderBy(score))
+    """Adds tier by percentile of the score, and summary: cut at the last blank before `length` characters.
+
+    Null scores rank lowest, equal ones alike."""
     cut = F.substring(F.col(text), 1, length)
     short = F.when(F.length(text) <= length, F.col(text)).otherwise(F.concat(F.regexp_replace(cut, r"\s+\S*$", ""), F.lit("...")))
-    tier = F.when(rank >= high, "full").when(rank >= mid, "summary").when(rank >= low, "reference").otherwise("dropped")
-    return df.withColumns({"tier": tier, "summary": short})
+    shares = [high, mid, low]
+    reached = [F.coalesce(F.col(score) >= F.col(f"_bound.b{k}"), F.lit(x <= 0)) for k, x in enumerate(shares)]
+    tier = F.when(reached[0], "full").when(reached[1], "summary").when(reached[2], "reference").otherwise("dropped")
+    bounds = rank_bounds(df, score, shares).select(F.struct("*").alias("_bound"))
+    return df.join(F.broadcast(bounds)).withColumns({"tier": tier, "summary": short}).drop("_bound")  # one row
 
 
 # -- chunks ------------------------------------------------------------------------------------------------

@@ -313,27 +313,26 @@ def counts():
 
 @q("stream_tumbling", "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1, 2", "X10 X14 E3")
 def stream_tumbling(spark, d):
-    out = streams.to_table(streams.tumbling(stream(spark, d), "ts", "1 hour", "2 hours", ["event_type"], counts()), "stream_tumbling_out")
+    out = streams.to_table(streams.tumbling(stream(spark, d), "ts", "1 hour", "2 hours", ["event_type"], counts()), scratch(spark))
     return out.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", "total")
 
 
 @q("stream_sliding", "SELECT strftime(s, '%Y-%m-%d %H:%M') AS start, count(*) AS n, round(sum(value), 3) AS total FROM (SELECT value, unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR]) AS s FROM events) GROUP BY 1", "X9")
 def stream_sliding(spark, d):
-    out = streams.to_table(streams.sliding(stream(spark, d), "ts", "2 hours", "1 hour", "2 hours", [], counts()), "stream_sliding_out")
+    out = streams.to_table(streams.sliding(stream(spark, d), "ts", "2 hours", "1 hour", "2 hours", [], counts()), scratch(spark))
     return out.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("start"), "n", "total")
 
 
 @q("stream_session", "SELECT user_id, count(*) AS sessions, sum(n)::BIGINT AS n FROM (SELECT user_id, s, count(*) AS n FROM (SELECT user_id, sum(CASE WHEN gap IS NULL OR gap >= 14400000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS gap FROM events)) GROUP BY 1, 2) GROUP BY 1", "X7 X8 X16")
 def stream_session(spark, d):
-    name = "stream_session_out"
     rows = streams.sessions(stream(spark, d), "ts", "4 hours", "40 days", ["user_id"], [F.count("*").alias("n")])
-    out = streams.to_table(rows, name)
+    out = streams.to_table(rows, scratch(spark))
     return out.groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("n"))
 
 
 @q("stream_dedup", "SELECT count(DISTINCT (user_id, event_type)) AS n FROM events", "X6")
 def stream_dedup(spark, d):
-    out = streams.to_table(streams.deduplicated(stream(spark, d), "ts", "60 days", ["user_id", "event_type"]).select("user_id", "event_type"), "stream_dedup_out", "append")
+    out = streams.to_table(streams.deduplicated(stream(spark, d), "ts", "60 days", ["user_id", "event_type"]).select("user_id", "event_type"), scratch(spark), "append")
     return out.agg(F.count("*").alias("n"))
 
 
@@ -341,7 +340,7 @@ def stream_dedup(spark, d):
 def stream_interval_join(spark, d):
     a = stream(spark, d).filter("event_type = 'purchase'").select(F.col("event_id").alias("purchase"), "user_id", F.col("ts").alias("ta"))
     b = stream(spark, d).filter("event_type = 'error'").select(F.col("event_id").alias("error"), "user_id", F.col("ts").alias("tb"))
-    return streams.to_table(streams.aligned(a, b, "ta", "tb", "1 HOUR", "1 hour", "user_id").select("purchase", "error"), "stream_join_out", "append")
+    return streams.to_table(streams.aligned(a, b, "ta", "tb", "1 HOUR", "1 hour", "user_id").select("purchase", "error"), scratch(spark), "append")
 
 
 @q("stream_changes", "SELECT event_id, event_type FROM events WHERE event_type IN ('signup', 'purchase')", "X3 X4 X5 X1 X13 X15")
