@@ -242,3 +242,15 @@ def test_streams_to_files(spark, tmp_path):
     source = spark.readStream.schema("k string, v long").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     assert rows_of(streams.to_table(source.groupBy("k").agg(F.sum("v").alias("v")), f"{tmp_path}/sums")) == [("a", 4), ("b", 2)]
     assert rows_of(streams.to_table(source, f"{tmp_path}/all", "append")) == [("a", 1), ("a", 3), ("b", 2)]
+
+
+def test_whole_files(spark, tmp_path):
+    """A file is one row however many lines it has."""
+    from weftgraph.sources import readers
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("one\ntwo\n")
+    (tmp_path / "in" / "b.txt").write_text("three")
+    assert sorted(r.text for r in readers.read_folder(spark, f"{tmp_path}/in").collect()) == ["one\ntwo\n", "three"]
+    (tmp_path / "x.jsonld").write_text('[\n{"@id": "a", "knows": {"@id": "b"},\n "name": "A"},\n{}]')
+    assert rows_of(readers.jsonld(spark, f"{tmp_path}/x.jsonld")) == [("a", "knows", "b"), ("a", "name", "A")]

@@ -363,7 +363,7 @@ def scratch(spark) -> str:
     return f"{root.rstrip('/')}/files-{uuid4().hex}"
 
 
-@q("load_csv", "SELECT n_nationkey, n_name FROM nation", "S8 S9 S14")
+@q("load_csv", "SELECT n_nationkey, n_name FROM nation", "S8 S9")
 def load_csv(spark, d):
     path = scratch(spark)
     table(spark, d, "nation").coalesce(1).write.csv(path, header=True, sep=";")
@@ -378,13 +378,74 @@ def load_json(spark, d):
     return readers.read_json(spark, path, flat=True, schema="x struct<r_regionkey: int, r: struct<r_name: string>>").select(F.col("x_r_regionkey").alias("r_regionkey"), F.col("x_r_r_name").alias("r_name"))
 
 
-@q("load_xml", "SELECT r_regionkey::BIGINT AS r_regionkey, r_name FROM region", "S8 S16")
+@q("load_xml", "SELECT r_regionkey::BIGINT AS r_regionkey, r_name FROM region", "S8")
 def load_xml(spark, d):
     path = scratch(spark)
     table(spark, d, "region").coalesce(1).write.option("rowTag", "row").format("xml").save(path)
     return readers.read_xml(spark, path, "row").select(F.col("r_regionkey").cast("long").alias("r_regionkey"), "r_name")
 
 
+def written_text(df, path: str) -> str:
+    """A file of the lines of a small table, in order of k, below a new folder."""
+    df.coalesce(1).sortWithinPartitions("k").select("value").write.text(path)
+    return path
+
+
+def xml_of(nodes, edges):
+    """GraphML lines (k, value) of nodes (id, name) and edges (source, target)."""
+    node = nodes.select(F.lit(1).alias("k"), F.format_string('<node id="%s"><data key="name">%s</data></node>', "id", "name").alias("value"))
+    edge = edges.select(F.lit(2).alias("k"), F.format_string('<edge source="%s" target="%s"><data key="kind">IN_REGION</data></edge>', "source", "target").alias("value"))
+    ends = nodes.sparkSession.createDataFrame([(0, "<graphml><graph>"), (3, "</graph></graphml>")], "k int, value string")
+    return ends.unionByName(node).unionByName(edge)
+
+
+@q("load_graphml", "SELECT 'N:' || n_nationkey AS id, n_name AS name, 'R:' || n_regionkey AS target FROM nation UNION ALL SELECT 'R:' || r_regionkey, r_name, NULL FROM region", "S16")
+def load_graphml(spark, d):
+    """Nations and regions written as GraphML, read back, each nation with the end of its edge."""
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
+    id_of = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    nodes = n.select(id_of("N:", "n_nationkey").alias("id"), F.col("n_name").alias("name")).unionByName(r.select(id_of("R:", "r_regionkey").alias("id"), F.col("r_name").alias("name")))
+    edges = n.select(id_of("N:", "n_nationkey").alias("source"), id_of("R:", "n_regionkey").alias("target"))
+    found, links = readers.graphml(spark, written_text(xml_of(nodes, edges), scratch(spark)))
+    return found.join(links.select(F.col("source").alias("id"), "target"), "id", "left").select("id", F.col("data")["name"].alias("name"), "target")
+
+
+@q("load_triples", "SELECT 'urn:part:' || p_partkey AS subject, 'urn:brand' AS predicate, 'urn:' || p_brand AS object, NULL AS literal FROM part UNION ALL SELECT 'urn:part:' || p_partkey, 'urn:name', NULL, p_name FROM part", "S16")
+def load_triples(spark, d):
+    """All parts as N-Triples, a link and a literal each, read back."""
+    p = table(spark, d, "part")
+    one = lambda end, *c: p.select(F.format_string(f"<urn:part:%d> {end} .", "p_partkey", *c).alias("value"))
+    path = scratch(spark)
+    one("<urn:brand> <urn:%s>", "p_brand").unionByName(one('<urn:name> "%s"', "p_name")).write.text(path)
+    return readers.triples(spark, path)
+
+
+@q("load_jsonld", "SELECT 'urn:nation:' || n_nationkey AS subject, 'region' AS predicate, 'urn:region:' || n_regionkey AS object FROM nation UNION ALL SELECT 'urn:nation:' || n_nationkey, 'name', n_name FROM nation", "S16")
+def load_jsonld(spark, d):
+    """Nations as one JSON-LD array, links by @id, read back."""
+    n = table(spark, d, "nation")
+    record = F.to_json(F.struct(F.concat(F.lit("urn:nation:"), F.col("n_nationkey").cast("string")).alias("@id"), F.struct(F.concat(F.lit("urn:region:"), F.col("n_regionkey").cast("string")).alias("@id")).alias("region"), F.col("n_name").alias("name")))
+    lines = n.select(F.lit(1).alias("k"), F.concat(record, F.lit(",")).alias("value"))
+    ends = spark.createDataFrame([(0, "["), (2, "{}]")], "k int, value string")
+    path = written_text(lines.unionByName(ends), scratch(spark))
+    return readers.jsonld(spark, path)
+
+
+@q("parse_records", "SELECT event_id, user_id, value FROM events", "S14")
+def parse_records(spark, d):
+    """Events as JSON lines, parsed by a schema."""
+    lines = table(spark, d, "events").select(F.to_json(F.struct("event_id", "user_id", "value")).alias("value"))
+    return readers.parse_records(lines, "event_id bigint, user_id bigint, value double")
+
+
+@q("chat_turns", "SELECT conv_id AS chat_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::BIGINT AS turn, role, md5(text) AS h FROM conversations", "S15")
+def chat_turns(spark, d):
+    """Conversations as exported chats, a row with its messages each, taken apart into turns again."""
+    m = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
+    chats = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("chat_id")).agg(m.alias("messages"))
+    return readers.turns(chats).select("chat_id", F.col("turn").cast("long").alias("turn"), "role", F.md5(F.col("text").cast("binary")).alias("h"))
+
+
 @q("parquet_roundtrip", "SELECT 'N:' || n_nationkey AS id, n_name AS name, 'Nation' AS label FROM nation UNION ALL SELECT 'R:' || r_regionkey, r_name, 'Region' FROM region", "S17 S19 S27 M16")
 def parquet_roundtrip(spark, d):
     from weftgraph.operators.graph import PropertyGraph

@@ -53,7 +53,7 @@ def read_xml(spark: SparkSession, path: str, row: str) -> DataFrame:
 
 def read_folder(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(path, text) of all text files below a folder."""
-    df = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("wholetext", "true").text(path)
+    df = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path, wholetext=True)
     return df.select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
@@ -111,7 +111,7 @@ def triples(spark: SparkSession, path: str) -> DataFrame:
 
 def jsonld(spark: SparkSession, path: str) -> DataFrame:
     """(subject, predicate, object): links by @id of the records of a JSON-LD array."""
-    rows = spark.read.option("wholetext", "true").text(path)
+    rows = spark.read.text(path, wholetext=True)
     records = rows.select(F.explode(F.from_json("value", "array<map<string,string>>")).alias("r"))
     flat = records.select(F.col("r")["@id"].alias("subject"), F.explode("r").alias("predicate", "v")).filter(~F.col("predicate").startswith("@"))
     return flat.select("subject", "predicate", F.coalesce(F.get_json_object("v", "$.@id"), "v").alias("object"))
