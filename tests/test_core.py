@@ -99,6 +99,29 @@ def test_bm25_by_hand(spark):
     assert got == {i: pytest.approx(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * 2 / mean))) for i, tf in ((1, 1), (2, 2))}
 
 
+
+def test_camel_case_by_groups(spark):
+    import re
+
+    texts = ["aBcD", "ABcDEf", "XMLHttpRequest", "aBC", "ABC", "abC dEF GHi", "éB Éa", "A", "aAaAAaa", None]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", X.tokens(F.col("t")).alias("w")).collect()
+    for r in got:
+        apart = re.sub(r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", " ", texts[r.i] or "").lower().split()
+        assert [w for w in apart if len(w) > 1 and w not in X.STOP_WORDS] == r.w
+
+
+def test_bm25_scan_is_bm25(spark):
+    docs = [(1, "Apple Pie", "apple banana pie"), (2, "", "apple apple cherry"), (3, None, None), (4, "cherry apple", "nothing here")]
+    docs = spark.createDataFrame(docs, "id long, title string, text string")
+    queries = spark.createDataFrame([(0, "apple pie"), (1, "cherry"), (2, "unknown"), (3, None)], "query_id long, text string")
+    kept = {(r.query_id, r.id): r.score for r in R.bm25(queries, R.postings(docs, ["title", "text"]), docs).collect()}
+    scanned = {(r.query_id, r.id): r.score for r in R.bm25_scan(queries, docs, ["title", "text"]).collect()}
+    assert kept and scanned == {k: pytest.approx(v) for k, v in kept.items()}
+    words = {(r.query_id, r.id): r.score for r in R.keyword_score(queries, docs, {"title": 2.0, "text": 1.0}).collect()}
+    assert words == {(0, 1): 6.0 * 4 / 2, (0, 2): 1.0 / 2, (0, 4): 2.0 / 2, (1, 2): 1.0, (1, 4): 2.0}
+    assert R.bm25_scan(queries, docs.limit(0), ["text"]).count() == 0 and R.keyword_score(queries.limit(0), docs, {"text": 1.0}).count() == 0
+
+
 def test_rrf_mmr_metrics(spark):
     one = spark.createDataFrame([(0, 1, 1), (0, 2, 2)], "query_id long, id long, rank int")
     two = spark.createDataFrame([(0, 2, 1)], "query_id long, id long, rank int")

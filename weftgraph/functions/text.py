@@ -12,7 +12,8 @@ STOP_WORDS = (
     "said also one two who what when where how all each every both few more most other some such only own same so very just about "
     "https http www com org html htm"
 ).split()
-CAMEL = r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
+#: Places where a word ends inside camel case; no two overlap, and groups are found faster than by look-around.
+CAMELS = ("([a-z])([A-Z])", "([A-Z])([A-Z][a-z])")
 BREAKS = r"""[\s\-_/.,;:!?()\[\]{}"|]+"""
 
 
@@ -32,7 +33,10 @@ def stem(word: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Stems of a text in order; null and empty texts have none."""
-    parts = F.split(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), CAMEL, " ")), BREAKS)
+    apart = F.coalesce(text, F.lit(""))
+    for camel in CAMELS:
+        apart = F.regexp_replace(apart, camel, "$1 $2")
+    parts = F.split(F.lower(apart), BREAKS)
     good = lambda t: F.length(t).between(2, 100) & ~t.isin(STOP_WORDS)
     return F.filter(F.transform(F.filter(parts, good), stem), good)
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from weftgraph.functions import text as X
+from weftgraph.operators.lineage import cut
 
 K1, B, RRF_K = 1.5, 0.75, 60
 # Weights of the fields of a node.
@@ -20,22 +21,38 @@ FIELD_WEIGHTS = {"name": 2.0, "title": 2.0, "statement": 1.5, "content": 1.0, "d
 BIGRAM_FACTOR = 1.5
 #: Tables of random planes of the approximate index.
 TABLES = 12
+#: Rows up to which a side of terms or words is broadcast.
+SMALL = 200_000
+
+
+def stemmed(docs: DataFrame, fields: list[str], id: str = "id") -> DataFrame:
+    """(id, terms, t0, t1, ..): the stems of each field, and how many distinct ones the document has."""
+    names = [f"t{k}" for k in range(len(fields))]
+    held = docs.select(F.col(id).alias("id"), *[X.tokens(F.col(f)).alias(n) for f, n in zip(fields, names, strict=True)])
+    return held.withColumn("terms", F.size(F.array_distinct(F.concat(*names))))
+
+
+def _occurrences(held: DataFrame, fields: list[str]) -> DataFrame:
+    """(id, terms, term, w): a row for each stem and each pair of neighbouring stems; stems have no underscores."""
+    every = None
+    for k, f in enumerate(fields):
+        w = FIELD_WEIGHTS.get(f, 1.0)
+        one = held.select("id", "terms", F.explode(F.concat(f"t{k}", X.pairs_of(F.col(f"t{k}")))).alias("term"))
+        one = one.withColumn("w", F.when(F.col("term").contains("__"), w * BIGRAM_FACTOR).otherwise(w))
+        every = one if every is None else every.unionAll(one)
+    return every
 
 
 def postings(docs: DataFrame, fields: list[str], id: str = "id") -> DataFrame:
     """(term, id, tf): stems weighted by field, and pairs of neighbouring stems at half as much again.
 
     A field is cut into stems once; they and their pairs leave the row together."""
-    parts = []
-    for f in fields:
-        w = FIELD_WEIGHTS.get(f, 1.0)
-        held = docs.select(F.col(id).alias("id"), X.tokens(F.col(f)).alias("t"))
-        both = F.concat(F.transform("t", lambda t: F.struct(t.alias("term"), F.lit(w).alias("w"))), F.transform(X.pairs_of(F.col("t")), lambda t: F.struct(t.alias("term"), F.lit(w * BIGRAM_FACTOR).alias("w"))))
-        parts.append(held.select("id", F.inline(both)))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionAll(p)
-    return every.groupBy("term", "id").agg(F.sum("w").alias("tf"))
+    return _occurrences(stemmed(docs, fields, id), fields).groupBy("term", "id").agg(F.sum("w").alias("tf"))
+
+
+def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
+    """Marked for broadcast if it has no more rows than that, else left to a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def lengths(post: DataFrame) -> DataFrame:
@@ -43,9 +60,9 @@ def lengths(post: DataFrame) -> DataFrame:
     return post.filter(~F.col("term").contains("__")).groupBy("id").agg(F.count("*").alias("terms"))
 
 
-def corpus_stats(docs: DataFrame, post: DataFrame) -> DataFrame:
-    """One row: documents, mean length."""
-    return docs.agg(F.count("*").alias("n_docs")).crossJoin(lengths(post).agg(F.sum("terms").alias("n_terms"))).select("n_docs", F.greatest(F.coalesce("n_terms", F.lit(0)) / F.greatest("n_docs", F.lit(1)), F.lit(1.0)).alias("mean_terms"))
+def corpus_stats(docs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """One row: documents, mean length; sizes has the length of each document in terms."""
+    return docs.agg(F.count("*").alias("n_docs")).crossJoin(sizes.agg(F.sum("terms").alias("n_terms"))).select("n_docs", F.greatest(F.coalesce("n_terms", F.lit(0)) / F.greatest("n_docs", F.lit(1)), F.lit(1.0)).alias("mean_terms"))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -58,28 +75,48 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return q.select("query_id", F.explode(F.array_distinct(F.concat("t", X.pairs_of(F.col("t"))))).alias("term"))
 
 
-def bm25(queries: DataFrame, post: DataFrame, docs: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, id, score) for all documents that share a term with a query."""
-    terms = query_terms(queries)
-    wanted = post.join(terms.select("term").distinct(), "term", "left_semi")
-    stats = corpus_stats(docs, post)
+def _bm25(terms: DataFrame, wanted: DataFrame, stats: DataFrame, k1: float, b: float) -> DataFrame:
+    """Scores from wanted (term, id, tf, terms), the postings of the query terms with their documents' lengths."""
     weights = wanted.groupBy("term").agg(F.count("*").alias("df")).crossJoin(stats).select("term", idf(F.col("n_docs"), F.col("df")).alias("idf"), "mean_terms")
-    hits = wanted.join(weights, "term").join(lengths(post), "id")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("terms") / F.col("mean_terms")))
-    return hits.select("term", "id", part.alias("part")).join(terms, "term").groupBy("query_id", "id").agg(F.sum("part").alias("score"))
+    return wanted.join(small(weights), "term").select("term", "id", part.alias("part")).join(small(terms), "term").groupBy("query_id", "id").agg(F.sum("part").alias("score"))
+
+
+def bm25(queries: DataFrame, post: DataFrame, docs: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """(query_id, id, score) for all documents that share a term with a query, from kept postings."""
+    terms = query_terms(queries)
+    sizes = lengths(post)
+    wanted = post.join(terms.select("term").distinct(), "term", "left_semi").join(sizes, "id")
+    return _bm25(terms, wanted, corpus_stats(docs, sizes), k1, b)
+
+
+def bm25_scan(queries: DataFrame, docs: DataFrame, fields: list[str], k1: float = K1, b: float = B) -> DataFrame:
+    """The scores of bm25 without an index: for a batch of queries against documents (one row an id) that have none.
+
+    The stems are kept, and only occurrences of the queries' terms leave a document, dealt by id: the counts and the
+    scores of a document then need no other shuffle."""
+    terms = cut(query_terms(queries))
+    held = cut(stemmed(docs, fields))
+    asked = small(terms.select("term").distinct())
+    found = _occurrences(held, fields).join(asked, "term", "left_semi").repartition("id")
+    wanted = cut(found.groupBy("id", "term").agg(F.sum("w").alias("tf"), F.max("terms").alias("terms")))
+    return _bm25(terms, wanted, corpus_stats(docs, held.select("terms")), k1, b)
 
 
 def keyword_score(queries: DataFrame, docs: DataFrame, weights: dict[str, float], id: str = "id") -> DataFrame:
-    """(query_id, id, score): field weights of the hits, times hits squared over the number of terms.
+    """(query_id, id, score): field weights of the hits, times hits squared over the number of terms; one row an id.
 
-    Terms are words split at white space, lower case, of two characters or more."""
+    Terms are words split at white space, lower case, of two characters or more. A document's words meet the queries
+    where it is read, so that its hits are summed before they are shuffled."""
     plain = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"\s+"), lambda t: F.length(t) >= 2))
     parts = [docs.select(F.col(id).alias("id"), F.explode(plain(F.col(f))).alias("term"), F.lit(w).alias("w")) for f, w in weights.items()]
     every = parts[0]
-    for p in parts[1:]:
-        every = every.unionAll(p)
+    if len(parts) > 1:
+        for p in parts[1:]:
+            every = every.unionAll(p)
+        every = every.groupBy("id", "term").agg(F.sum("w").alias("w"))
     q = queries.withColumn("t", plain(F.col("text"))).select("query_id", F.size("t").alias("n"), F.explode("t").alias("term"))
-    found = every.join(q, "term").groupBy("query_id", "id").agg(F.sum("w").alias("w"), F.count_distinct("term").alias("hits"), F.max("n").alias("n"))
+    found = every.join(small(cut(q)), "term").groupBy("query_id", "id").agg(F.sum("w").alias("w"), F.count("*").alias("hits"), F.max("n").alias("n"))
     return found.select("query_id", "id", (F.col("w") * F.col("hits") * F.col("hits") / F.col("n")).alias("score"))
 
 
@@ -88,7 +125,7 @@ def fuzzy(queries: DataFrame, docs: DataFrame, least: float = 0.5) -> DataFrame:
     q = queries.select("query_id", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
     q = q.withColumn("grams", F.array_distinct(X.trigrams(F.col("term")))).select("query_id", "term", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
     d = docs.select("id", F.explode(X.tokens(F.col("text"))).alias("t")).distinct().select("id", F.explode(X.trigrams(F.col("t"))).alias("gram")).distinct()
-    one = q.join(d, "gram").groupBy("query_id", "term", "n", "id").agg(F.count("*").alias("shared"))
+    one = d.join(small(q), "gram").groupBy("query_id", "term", "n", "id").agg(F.count("*").alias("shared"))
     one = one.withColumn("similarity", F.col("shared") / F.col("n")).filter(F.col("similarity") >= least)
     return one.groupBy("query_id", "id").agg(F.max("similarity").alias("similarity"))
 
@@ -228,7 +265,7 @@ def ranked(docs: DataFrame, query: str, strategy: str = "hybrid", weights: dict[
     queries = docs.sparkSession.createDataFrame([(0, query)], "query_id long, text string")
     one = {
         "keyword": lambda: keyword_score(queries, docs, {"text": 1.0}),
-        "sparse": lambda: bm25(queries, postings(docs, ["text"]), docs),
+        "sparse": lambda: bm25_scan(queries, docs, ["text"]),
         "similarity": lambda: fuzzy(queries, docs).withColumnRenamed("similarity", "score"),
     }
     if strategy in one:

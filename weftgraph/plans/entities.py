@@ -9,7 +9,7 @@ from weftgraph.catalog import Catalog
 from weftgraph.operators import resolve as E
 from weftgraph.operators import search as R
 from weftgraph.operators import versions as V
-from weftgraph.plans.graphs import corpus, index
+from weftgraph.plans.graphs import corpus
 from weftgraph.session import table
 
 CATALOG = Catalog()
@@ -61,7 +61,7 @@ def quality_gate(spark, d):
 @q("query_expansion", None, "R19 R18")
 def query_expansion(spark, d):
     docs, queries = corpus(spark, d)
-    best = R.top(R.bm25(queries, index(docs), docs), 10)
+    best = R.top(R.bm25_scan(queries, docs, ["text"]), 10)
     return E.expansion_terms(best, docs, R.query_terms(queries)).groupBy("query_id").agg(F.count("*").alias("n"))
 
 
@@ -69,7 +69,7 @@ def query_expansion(spark, d):
 def hybrid_index_search(spark, d):
     docs, queries = corpus(spark, d)
     named = docs.select("id", F.col("id").cast("string").alias("name"))
-    first = R.top(R.bm25(queries, index(docs), docs), 5).join(named, "id")
+    first = R.top(R.bm25_scan(queries, docs, ["text"]), 5).join(named, "id")
     fuzzy = R.top(R.fuzzy(queries, docs, 0.7).withColumnRenamed("similarity", "score"), 5).join(named, "id")
     return E.with_priority([first, fuzzy]).select("query_id", "id", F.round("score", 5).alias("score"))
 

@@ -195,18 +195,13 @@ def corpus(spark, d):
 
 @q("inverted_index_stats", f"WITH {POSTINGS_SQL} SELECT term, count(*) AS df, round(sum(tf), 4) AS tf FROM post GROUP BY 1", "R1 R2 R4 R5 R7 A30")
 def inverted_index_stats(spark, d):
-    return index(corpus(spark, d)[0]).groupBy("term").agg(F.count("*").alias("df"), F.round(F.sum("tf"), 4).alias("tf"))
-
-
-def index(docs):
-    """Postings of the texts, kept: scoring reads them three times."""
-    return cut(R.postings(docs, ["text"]))
+    return R.postings(corpus(spark, d)[0], ["text"]).groupBy("term").agg(F.count("*").alias("df"), F.round(F.sum("tf"), 4).alias("tf"))
 
 
 @q("bm25", f"WITH {BM25_SQL} SELECT query_id, count(*) AS n, round(max(score), 6) AS best, round(sum(score), 4) AS total FROM bm GROUP BY 1", "R6 R13 T4")
 def bm25(spark, d):
     docs, queries = corpus(spark, d)
-    return R.bm25(queries, index(docs), docs).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.max("score"), 6).alias("best"), F.round(F.sum("score"), 4).alias("total"))
+    return R.bm25_scan(queries, docs, ["text"]).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.max("score"), 6).alias("best"), F.round(F.sum("score"), 4).alias("total"))
 
 
 PLAIN = "list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: length(x) >= 2))"
@@ -223,7 +218,7 @@ def keyword_score(spark, d):
 def rrf_hybrid(spark, d):
     docs, queries = corpus(spark, d)
     exact = lambda df: df.withColumn("score", F.round("score", 7))  # noqa: E731  sums in another order differ in the last digits
-    one = {"bm25": R.top(exact(R.bm25(queries, index(docs), docs)), 10), "keyword": R.top(exact(R.keyword_score(queries, docs, {"text": 1.0})), 10)}
+    one = {"bm25": R.top(exact(R.bm25_scan(queries, docs, ["text"])), 10), "keyword": R.top(exact(R.keyword_score(queries, docs, {"text": 1.0})), 10)}
     return R.rrf(one, {"bm25": 1.0, "keyword": 1.0}).withColumn("score", F.round("score", 8))
 
 
@@ -283,7 +278,7 @@ def keyword_rerank(spark, d):
 @q("mmr", None, "R21")
 def mmr(spark, d):
     docs, queries = corpus(spark, d)
-    best = R.top(R.bm25(queries, index(docs), docs), 20)
+    best = R.top(R.bm25_scan(queries, docs, ["text"]), 20)
     return R.mmr(best.join(docs, "id").withColumn("id", F.col("id").cast("string")), 5)
 
 
