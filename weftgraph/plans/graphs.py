@@ -56,9 +56,13 @@ def shortest_path(spark, d):
     return path.agg(F.max("step").cast("long").alias("steps"))
 
 
-@q("statement_shortest_path", None, "G5 G14")
+@q(
+    "statement_shortest_path",
+    "WITH p AS (SELECT a.n_regionkey AS r FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey WHERE a.n_nationkey = 0 AND b.n_nationkey = 5) SELECT 0 AS step, 'N:0' AS id FROM p UNION ALL SELECT 1, 'R:' || r FROM p UNION ALL SELECT 2, 'N:5' FROM p",
+    "G5 G14",
+)
 def statement_shortest_path(spark, d):
-    return Session(spark, graph_of_tables(spark, d)).run("SHORTEST_PATH FROM 'C:5' TO 'C:6' VIA EDGES (LIVES_IN, IN_REGION) MAX_DEPTH 6")
+    return Session(spark, graph_of_tables(spark, d)).run("SHORTEST_PATH FROM 'N:0' TO 'N:5' VIA EDGES (LIVES_IN, IN_REGION) MAX_DEPTH 6")
 
 
 def _pagerank_sql(rounds: int) -> str:
@@ -183,12 +187,17 @@ def _tokens_sql(name: str, source: str, key: str) -> str:
 
 
 POSTINGS_SQL = f"{_tokens_sql('d', 'documents', 'doc_id')}, g AS (SELECT id, t || '__' || lead(t) OVER (PARTITION BY id ORDER BY p) AS t FROM d_t), post AS (SELECT t AS term, id, sum(w) AS tf FROM (SELECT t, id, 1.0 AS w FROM d_t UNION ALL SELECT t, id, 1.5 FROM g WHERE t IS NOT NULL) GROUP BY 1, 2)"
-BM25_SQL = f"""{POSTINGS_SQL}, {_tokens_sql('q', 'benchmark', 'item_id')}, q1 AS (SELECT id, t, min(p) AS p FROM q_t GROUP BY 1, 2), q2 AS (SELECT id, t FROM q1 UNION SELECT id, t FROM (SELECT id, t || '__' || lead(t) OVER (PARTITION BY id ORDER BY p) AS t FROM q1) WHERE t IS NOT NULL),
+def _bm25_sql(queries: str) -> str:
+    return f"""{POSTINGS_SQL}, {_tokens_sql('q', queries, 'item_id')}, q1 AS (SELECT id, t, min(p) AS p FROM q_t GROUP BY 1, 2), q2 AS (SELECT id, t FROM q1 UNION SELECT id, t FROM (SELECT id, t || '__' || lead(t) OVER (PARTITION BY id ORDER BY p) AS t FROM q1) WHERE t IS NOT NULL),
  dl AS (SELECT id, count(*) AS dl FROM post WHERE NOT contains(term, '__') GROUP BY 1), st AS (SELECT (SELECT count(*) FROM documents) AS n, greatest(1.0, (SELECT sum(dl) FROM dl) / greatest(1, (SELECT count(*) FROM documents))) AS m),
  df AS (SELECT term, greatest(0.0, ln((n - count(*) + 0.5) / (count(*) + 0.5) + 1.0)) AS idf FROM post, st GROUP BY term, n),
  bm AS (SELECT q2.id AS query_id, post.id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / m))) AS score FROM q2 JOIN post ON post.term = q2.t JOIN df ON df.term = post.term JOIN dl ON dl.id = post.id, st GROUP BY 1, 2)"""
 
 
+BM25_SQL = _bm25_sql("benchmark")
+SEARCHED = "thtion of the sea"
+
+
 def corpus(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
@@ -204,6 +213,11 @@ def bm25(spark, d):
     return R.bm25_scan(queries, docs, ["text"]).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.max("score"), 6).alias("best"), F.round(F.sum("score"), 4).alias("total"))
 
 
+@q("sparse_search", f"WITH {_bm25_sql(f"(SELECT 0 AS item_id, '{SEARCHED}' AS text)")} SELECT 'D:' || id AS id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, 'D:' || bm.id LIMIT 15", "R6 R13 R18")
+def sparse_search(spark, d):
+    return Session(spark, graph_of_tables(spark, d)).run(f"SPARSE SEARCH '{SEARCHED}' IN Document LIMIT 15").withColumn("score", F.round("score", 6))
+
+
 PLAIN = "list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: length(x) >= 2))"
 KEYWORD_SQL = f"ks AS (SELECT q.query_id, w.id, count(*) * count(*)::DOUBLE * count(*) / max(q.n) AS score FROM (SELECT doc_id AS id, unnest({PLAIN}) AS t FROM documents) w JOIN (SELECT item_id AS query_id, len({PLAIN}) AS n, unnest({PLAIN}) AS t FROM benchmark) q USING (t) GROUP BY 1, 2)"
 
@@ -222,7 +236,12 @@ def rrf_hybrid(spark, d):
     return R.rrf(one, {"bm25": 1.0, "keyword": 1.0}).withColumn("score", F.round("score", 8))
 
 
-@q("fuzzy_trigram", None, "R3 R11")
+GRAMS_SQL = "unnest(CASE WHEN length(t) < 3 THEN [t] ELSE list_transform(range(1, length(t) - 1), lambda i: t[i:i + 2]) END) AS g"
+FUZZY_SQL = f"""{_tokens_sql('d', 'documents', 'doc_id')}, {_tokens_sql('q', 'benchmark', 'item_id')}, qg AS (SELECT DISTINCT id, t, {GRAMS_SQL} FROM (SELECT DISTINCT id, t FROM q_t)), qn AS (SELECT id, t, count(*) AS n FROM qg GROUP BY 1, 2),
+ dg AS (SELECT DISTINCT id, {GRAMS_SQL} FROM (SELECT DISTINCT id, t FROM d_t)), fz AS (SELECT qg.id AS query_id, dg.id, qg.t, count(*)::DOUBLE / max(n) AS s FROM qg JOIN qn ON qn.id = qg.id AND qn.t = qg.t JOIN dg ON dg.g = qg.g GROUP BY 1, 2, 3)"""
+
+
+@q("fuzzy_trigram", f"WITH {FUZZY_SQL} SELECT query_id, count(*) AS n, round(max(best), 6) AS best FROM (SELECT query_id, id, max(s) AS best FROM fz WHERE s >= 0.6 GROUP BY 1, 2) GROUP BY 1", "R3 R11")
 def fuzzy_trigram(spark, d):
     docs, queries = corpus(spark, d)
     return R.fuzzy(queries, docs, 0.6).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.max("similarity"), 6).alias("best"))
