@@ -418,7 +418,7 @@ def score_timeline(spark, d):
     return j.groupBy(F.date_format("p", "yyyy-MM-dd").alias("point")).agg(F.round(F.sum(A.silence_decay(F.col("value"), h, F.lit("medium"))), 5).alias("score"))
 
 
-@q("learned_weights", None, "A35")
+@q("learned_weights", "SELECT user_id, round(list_reduce(list_prepend(0.5::DOUBLE, v), lambda s, a: greatest(0.05, least(1.0, s * 0.8 + a * 0.2))), 6) AS weight, round(list_sum(list_transform(v, lambda a: abs(a - 0.5))) / len(v), 6) AS error, round(least(1.0, len(v) / 30.0), 6)::DOUBLE AS confidence FROM (SELECT user_id, list((value / 100)::DOUBLE ORDER BY ts, event_id) AS v FROM events GROUP BY 1)", "A35")
 def learned_weights(spark, d):
     out = A.learned_weight(events(spark, d).withColumn("a", F.col("value") / 100).withColumn("o", F.struct("ts", "event_id")), "user_id", "o", "a")
     return out.withColumns({c: F.round(c, 6) for c in ("weight", "error", "confidence")})

@@ -89,12 +89,20 @@ def components(spark, d):
     return G.components(*geo(spark, d))
 
 
-@q("label_propagation", None, "G12")
+def _labels_sql(rounds: int) -> str:
+    parts = ["u AS (SELECT DISTINCT s, t FROM e)", "l0 AS (SELECT DISTINCT id, id AS c FROM n)"]
+    for k in range(rounds):
+        parts.append(f"v{k} AS (SELECT u.t AS id, l.c, count(*) AS votes FROM u JOIN l{k} l ON u.s = l.id GROUP BY 1, 2), b{k} AS (SELECT id, c FROM v{k} QUALIFY row_number() OVER (PARTITION BY id ORDER BY votes DESC, c) = 1)")
+        parts.append(f"l{k + 1} AS (SELECT l.id, coalesce(b.c, l.c) AS c FROM l{k} l LEFT JOIN b{k} b ON b.id = l.id)")
+    return f"WITH {UND}, {GEO_NODES}, {', '.join(parts)} SELECT id, c AS community FROM l{rounds}"
+
+
+@q("label_propagation", _labels_sql(4), "G12")
 def label_propagation(spark, d):
     return G.label_propagation(*geo(spark, d), rounds=4)
 
 
-@q("closeness", None, "G11")
+@q("closeness", "SELECT 'N:' || n_nationkey AS id, round(c / (1.0 + 2 * (c - 1)), 8) AS closeness FROM (SELECT n_nationkey, count(*) OVER (PARTITION BY n_regionkey)::DOUBLE AS c FROM nation)", "G11")
 def closeness(spark, d):
     g = graph_of_tables(spark, d)
     edges = g.all_edges(["IN_REGION"])
