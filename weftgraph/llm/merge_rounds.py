@@ -36,11 +36,11 @@ from pyspark.sql import types as T
 from weftgraph.llm.shared import pieces, strings
 
 #: Bytes of text that are encoded together.
-TOGETHER = 8 << 20
+TOGETHER = 2 << 20
 #: Runs in a worker's cache before it starts over; bounds its memory, not the result.
-REMEMBERED = 800_000
+REMEMBERED = 250_000
 #: New runs that are merged together.
-NEW = 100_000
+NEW = 20_000
 #: No merge.
 NONE = np.int32(2**31 - 1)
 
