@@ -4,14 +4,16 @@ A text, with a space before it, is cut into segments before runs of white space,
 token of either vocabulary has something visible in front of one (checked when a worker starts). So no merge crosses a
 cut, and the tokens of a text are those of its segments in order. Distinct segments are tokenised and aligned once:
 
-1. Texts become blocks (a few thousand texts or some megabytes, one long text alone). A block is a dictionary of its
-   distinct segments and, for each document, the numbers of its segments. Blocks are a written table.
-2. The dictionaries' segments, distinct over the whole corpus, are tokenised and aligned, one row each, written.
-3. Alignments are joined back to the dictionaries, and each block composes its documents from them.
+1. Texts become blocks of some megabytes (a longer text is one alone). A block is a list of its distinct segments, which
+   go on as rows, and a file in the shared folder with the numbers of each document's segments.
+2. The blocks' segments are dealt out and sorted by segment. Each distinct one is tokenised and aligned once, and its
+   alignment goes back to the blocks that asked for it. A block keeps them in a second file beside the first.
+3. The count of a pair needs the documents that hold it: blocks count their documents by pair, the counts are added and
+   go back to the blocks, which compose their documents: sums over links are sums over segments, as a cut between
+   segments is one between groups.
 
-Sums over links are sums over segments, as a cut between segments is a cut between groups. The count of a pair needs the
-documents that hold it: blocks count their documents by pair, then the counts are added. A pair that many segments hold
-is scored by a broadcast of at most HOT pairs, the others by a join.
+Only distinct segments and pairs of a block are shuffled, never a row for each word. The commonest segment or pair has one
+row for each block that holds it. A file has its task attempt's number, so a task that runs again leaves others alone.
 
 Defined results: no tokens, zeros and an empty alignment for a text that is null or empty, or whose tokens' bytes aren't
 those of the space and the text (the second vocabulary reads U+2581 as a space). Strings of special tokens are plain
@@ -23,22 +25,25 @@ memory in proportion to it.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from weftgraph.llm.merge_rounds import byte_symbols
-from weftgraph.llm.shared import pieces, written
-
-#: Documents and bytes of text of a block.
-BLOCK_DOCS, BLOCK_BYTES = 8192, 8 << 20
-#: Segments that are tokenised together.
-TOGETHER = 4096
-#: At most so many pairs are broadcast: those that more than one in HOT links of distinct segments has.
-HOT = 1000
+from weftgraph.llm.shared import get, pieces, put, shared_folder, written
+
+#: Bytes of text of a block, and bits of its number that count the blocks of a task.
+BLOCK_BYTES, BLOCK_BITS = 16 << 20, 20
+#: Documents and bytes of text of a block that are worked on together.
+SLICE_DOCS, SLICE_BYTES = 8192, 4 << 20
+#: Rows of segments that are aligned together.
+TOGETHER = 8192
 #: White space before which a text may be cut, if the vocabularies allow it.
 CUTS = " \n\t\r\v\f"
 SPACE = "▁"
@@ -61,6 +66,7 @@ class Two:
         names = [self.b.id_to_piece(i) for i in kinds]
         self.b_bytes = [bytes([int(names[i][3:5], 16)]) if self.b.is_byte(i) else names[i].replace(SPACE, " ").encode() for i in kinds]
         self.b_space = self.b.piece_to_id(SPACE)
+        self.a_size, self.b_size = (np.array([len(t) for t in some], np.int64) for some in (self.a_bytes, self.b_bytes))
         # no token may hold w behind something visible; the second vocabulary puts a space before what it reads, so w can't stand behind that either
         texts = [t.decode("utf-8", "replace") for t in self.a_bytes] + [p.replace(SPACE, " ") for p in names]
         self.cuts = "".join(w for w in CUTS if not any(re.search(rf"\S{re.escape(w)}", t) for t in texts) and (w == " " or not any(f"{SPACE}{w}" in p for p in names)))
@@ -69,36 +75,96 @@ class Two:
         # white space and what is visible up to the next place to cut at
         self.segments = re.compile(rf"\s*\S+(?:[^\S{re.escape(self.cuts)}]\s*\S*)*|\s+").findall
 
-    def ids(self, segments: list[str]) -> list[tuple[list[int], list[int]]]:
-        """Ids of each segment by both; a segment starts with white space of `cuts`."""
-        first = [e.ids for e in self.a.encode_batch_fast(segments, add_special_tokens=False)]
+    def _ids(self, text: str) -> tuple[list[int], list[int]]:
+        """Ids of a text that starts with white space of `cuts`, by both."""
+        first = self.a.encode(text, add_special_tokens=False).ids
+        if text == " ":
+            return first, [self.b_space]
         # the space that the second vocabulary would add is there already, or is taken off again
-        second = self.b.encode([s[1:] if s[0] == " " else s for s in segments], num_threads=1)
-        for k, s in enumerate(segments):
-            if s == " ":
-                second[k] = [self.b_space]
-            elif s[0] != " ":
-                second[k] = second[k][1:]
-        return list(zip(first, second, strict=True))
-
-    def align(self, segment: str, a: list[int], b: list[int]) -> list[tuple[list[int], list[int]]] | None:
-        """The groups between byte offsets where tokens of both end; None if the bytes aren't the segment's."""
-        raw = segment.encode("utf-8", "surrogatepass")
-        left, right = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(left) != raw or b"".join(right) != raw:
-            return None
-        groups, i, j, at_a, at_b, from_a, from_b = [], 0, 0, 0, 0, 0, 0
-        while i < len(a) or j < len(b):
-            if at_a <= at_b and i < len(a):
-                at_a += len(left[i])
-                i += 1
-            else:
-                at_b += len(right[j])
-                j += 1
-            if at_a == at_b:
-                groups.append((a[from_a:i], b[from_b:j]))
-                from_a, from_b = i, j
-        return groups
+        return first, self.b.encode(text[1:]) if text[0] == " " else self.b.encode(text)[1:]
+
+    def aligned(self, segments: list[str]) -> list[bytes]:
+        """The alignment of each segment as packed by `_pack`; nothing where the bytes aren't the segment's."""
+        at = [k for k, s in enumerate(segments) if not s[-1].isspace()]  # these may follow one another
+        done = dict(zip(at, self._together([segments[k] for k in at]), strict=True)) if at else {}
+        return [done[k] if k in done else self._together([s])[0] for k, s in enumerate(segments)]
+
+    def _together(self, segments: list[str]) -> list[bytes]:
+        text = "".join(segments)
+        raw, (a, b) = text.encode("utf-8", "surrogatepass"), self._ids(text)
+        if b"".join(map(self.a_bytes.__getitem__, a)) != raw or b"".join(map(self.b_bytes.__getitem__, b)) != raw:
+            if len(segments) == 1:
+                return [b""]
+            half = len(segments) // 2
+            return self._together(segments[:half]) + self._together(segments[half:])
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        ends = np.cumsum([len(s.encode("utf-8", "surrogatepass")) for s in segments])
+        a_ends, b_ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        cuts = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        return _pack(ends, a, a_ends, b, b_ends, cuts)
+
+
+def _places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, .. for each start as many as its size."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def _pack(ends, a, a_ends, b, b_ends, cuts) -> list[bytes]:
+    """For each segment, as 32-bit integers: how many ids of a, ids of b and groups it has; the ids of a, those of b; how
+    many ids of a each group has, and how many of b."""
+    upto_a, upto_b, upto_g = (np.searchsorted(x, ends, "right") for x in (a_ends, b_ends, cuts))
+    n_a, n_b, n_g = (np.diff(x, prepend=0) for x in (upto_a, upto_b, upto_g))
+    sizes = 3 + n_a + n_b + 2 * n_g
+    start = np.cumsum(sizes) - sizes
+    out = np.zeros(int(sizes.sum()), np.int32)
+    for k, n in enumerate((n_a, n_b, n_g)):
+        out[start + k] = n
+    out[_places(start + 3, n_a)] = a
+    out[_places(start + 3 + n_a, n_b)] = b
+    out[_places(start + 3 + n_a + n_b, n_g)] = np.diff(np.searchsorted(a_ends, cuts, "right"), prepend=0)
+    out[_places(start + 3 + n_a + n_b + n_g, n_g)] = np.diff(np.searchsorted(b_ends, cuts, "right"), prepend=0)
+    raw, bounds = out.astype("<i4").tobytes(), (4 * np.append(start, len(out))).tolist()
+    return [raw[x:y] for x, y in zip(bounds, bounds[1:], strict=False)]
+
+
+class Parts:
+    """The alignments of a block's segments, by number, out of their packed forms."""
+
+    def __init__(self, packed: pa.Array):
+        sizes = pc.binary_length(packed).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+        flat = np.frombuffer(b"".join(packed.to_pylist()), "<i4")
+        self.valid = sizes > 0
+        start = (np.cumsum(sizes) - sizes)[self.valid]
+        counts = [np.zeros(len(sizes), np.int64) for _ in range(3)]
+        for k, c in enumerate(counts):
+            c[self.valid] = flat[start + k]
+        self.n_a, self.n_b, self.n_g = counts
+        n_a, n_b, n_g = (c[self.valid] for c in counts)
+        self.a, self.b = flat[_places(start + 3, n_a)].astype(np.int64), flat[_places(start + 3 + n_a, n_b)].astype(np.int64)
+        self.in_a, self.in_b = (flat[_places(start + 3 + n_a + n_b + k * n_g, n_g)].astype(np.int64) for k in (0, 1))
+        per_group = self.in_a * self.in_b
+        upto = np.concatenate([[0], np.cumsum(per_group)])
+        groups = np.cumsum(self.n_g)
+        self.n_links = upto[groups] - upto[groups - self.n_g]
+        k = np.arange(int(upto[-1])) - np.repeat(upto[:-1], per_group)
+        width = np.repeat(self.in_b, per_group)
+        first_a, first_b = (np.repeat(np.cumsum(x) - x, per_group) for x in (self.in_a, self.in_b))
+        #: (id of a) << 32 | id of b of all links, in order; those of segment k are n_links[k] of them.
+        self.links = self.a[first_a + k // width] << 32 | self.b[first_b + k % width]
+
+    def shown(self) -> pa.Array:
+        """a1,a2|b1;a3|b2,b3; of each segment, with the mark behind its last group."""
+        order = np.argsort(np.concatenate([np.repeat(2 * np.arange(len(self.in_a)), self.in_a), np.repeat(2 * np.arange(len(self.in_b)) + 1, self.in_b)]), kind="stable")
+        most = int(max(self.a.max(initial=0), self.b.max(initial=0))) + 1
+        last = [np.zeros(len(x), np.int64) for x in (self.a, self.b)]
+        for mark, x in zip(last, (self.in_a, self.in_b), strict=True):
+            mark[np.cumsum(x) - 1] = 1
+        which = np.concatenate([self.a + most * last[0], self.b + most * 2 * last[1]])[order]
+        texts = pa.array([f"{i}{mark}" for mark in ",|;" for i in range(most)], pa.large_binary()).take(pa.array(which))
+        offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1)
+        places = np.concatenate([[0], np.cumsum(self.n_a + self.n_b)])
+        return pa.Array.from_buffers(pa.large_binary(), len(self.n_a), [None, pa.py_buffer(offsets[places].tobytes()), texts.buffers()[2]])
 
 
 @lru_cache(1)
@@ -115,133 +181,151 @@ class Numbering(dict):
         return number
 
 
-def blocks(docs: DataFrame, byte_level: str, piece_model: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(block, doc_id, codes, segments), written: a row with codes for each document, one with segments for each block."""
+def _put(url: str, batches: list[pa.RecordBatch]) -> None:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_file(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        for batch in batches:
+            out.write_batch(batch)
+    put(url, sink.getvalue())
+
+
+def _get(url: str) -> Iterator[pa.RecordBatch]:
+    with pa.ipc.open_file(pa.py_buffer(get(url))) as f:
+        for k in range(f.num_record_batches):
+            yield f.get_batch(k)
+
+
+def blocks(docs: DataFrame, two: tuple[str, str], folder: str, size: int = BLOCK_BYTES) -> DataFrame:
+    """(block, segments), written: the distinct segments of each block. Its documents are in the folder, by its number."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        find, block = both(byte_level, piece_model).segments, TaskContext.get().partitionId() << 32
+        find, block = both(*two).segments, TaskContext.get().taskAttemptId() << BLOCK_BITS
+        known, held, upto = Numbering(), [], 0
+
+        def close():
+            nonlocal known, held, upto, block
+            _put(f"{folder}/{block}.docs", held)
+            out = pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([list(known)], pa.list_(pa.string()))], names=["block", "segments"])
+            known, held, upto, block = Numbering(), [], 0, block + 1
+            return out
+
         for batch in batches:
-            for part in pieces(batch, "text", BLOCK_DOCS, BLOCK_BYTES):
-                known = Numbering()
+            for part in pieces(batch, "text", SLICE_DOCS, SLICE_BYTES):
                 number = known.__getitem__
                 codes = [np.array(list(map(number, find(" " + t))), np.int32) if t else np.zeros(0, np.int32) for t in part.column("text").to_pylist()]
                 ends = np.concatenate([[0], np.cumsum([len(c) for c in codes])]).astype(np.int32)
-                n = len(codes)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(codes)))
-                ids = part.column("doc_id")
-                yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), ids, lists, pa.nulls(n, pa.list_(pa.string()))], names=["block", "doc_id", "codes", "segments"])
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int32())), pa.array([list(known)], pa.list_(pa.string()))], names=["block", "doc_id", "codes", "segments"])
-                block += 1
-
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return written(own.mapInArrow(run, "block long, doc_id long, codes array<int>, segments array<string>"), "blocks")
+                held.append(pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(codes)))], names=["doc_id", "codes"]))
+                upto += pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
+                if upto >= size:
+                    yield close()
+        if held:
+            yield close()
 
+    return written(docs.mapInArrow(run, "block long, segments array<string>"), "blocks")
 
-ALIGNED = "seg long, segment string, valid boolean, n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<long>, links array<long>"
 
-
-def aligned_segments(segments: DataFrame, byte_level: str, piece_model: str) -> DataFrame:
-    """Tokens and groups of distinct segments, written. A pair is (id of a) << 32 | id of b; links says how often."""
+def aligned_segments(places: DataFrame, two: tuple[str, str]) -> DataFrame:
+    """(block, code, packed) of places (block, code, segment): each distinct segment is aligned once."""
 
     def run(batches):
-        from pyspark import TaskContext
-
-        two, seg = both(byte_level, piece_model), TaskContext.get().partitionId() << 36
+        own, before, packed = both(*two), None, b""
         for batch in batches:
             for part in pieces(batch, "segment", TOGETHER):
-                rows, texts = [], part.column("segment").to_pylist()
-                for text, (a, b) in zip(texts, two.ids(texts), strict=True):
-                    groups = two.align(text, a, b)
-                    pairs: dict[int, int] = {}
-                    for left, right in groups or ():
-                        for x in left:
-                            for y in right:
-                                pairs[x << 32 | y] = pairs.get(x << 32 | y, 0) + 1
-                    shown = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups or ())
-                    rows.append((seg, text, groups is not None, len(a), len(b), len(groups or ()), sum(pairs.values()), shown, list(pairs), list(pairs.values())))
-                    seg += 1
-                kinds = [pa.int64(), pa.string(), pa.bool_(), *[pa.int64()] * 4, pa.string(), *[pa.list_(pa.int64())] * 2]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[f.split()[0] for f in ALIGNED.split(", ")])
-
-    return written(segments.select("segment").distinct().mapInArrow(run, ALIGNED), "aligned")
-
-
-def _composed(docs: pa.Table, parts: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Table, np.ndarray]:
-    """(bounds of the documents, their codes, the parts in the order of codes, whether a document has tokens)."""
-    codes = docs.column("codes").combine_chunks()
-    flat = codes.flatten().to_numpy().astype(np.int64)
-    ends = np.concatenate([[0], np.cumsum(codes.value_lengths().to_numpy())]).astype(np.int64)
-    parts = parts.sort_by("code")
-    bad = ~parts.column("valid").to_numpy().astype(bool)
-    wrong = np.concatenate([[0], np.cumsum(bad[flat])]) if len(flat) else np.zeros(1, np.int64)
-    return ends, flat, parts, (wrong[ends[1:]] == wrong[ends[:-1]]) & (np.diff(ends) > 0)
-
-
-def _pairs_of_block(docs: pa.Table, parts: pa.Table) -> pa.Table:
-    """How many documents of a block hold each pair linked."""
-    ends, flat, parts, fine = _composed(docs, parts)
-    n_codes = max(1, parts.num_rows)
-    document = np.repeat(np.arange(len(fine)), np.diff(ends))
-    held = np.unique((document * n_codes + flat)[fine[document]])  # each segment once a document
-    document, code = held // n_codes, held % n_codes
-    lists = parts.column("pairs").combine_chunks()
-    pairs, which = np.unique(lists.flatten().to_numpy(), return_inverse=True)
-    sizes = lists.value_lengths().to_numpy().astype(np.int64)
-    starts, taken = np.cumsum(sizes) - sizes, sizes[code]
-    at = np.repeat(starts[code] - (np.cumsum(taken) - taken), taken) + np.arange(int(taken.sum()))
-    once = np.unique(np.repeat(document, taken) * max(1, len(pairs)) + which[at])
-    counts = np.bincount(once % max(1, len(pairs)), minlength=len(pairs))
-    return pa.table({"pair": pa.array(pairs[counts > 0], pa.int64()), "documents": pa.array(counts[counts > 0], pa.int64())})
+                coded = part.column("segment").dictionary_encode()
+                distinct = coded.dictionary.to_pylist()
+                new = distinct[1:] if distinct[0] == before else distinct
+                done = [packed] * (len(distinct) - len(new)) + own.aligned(new)
+                before, packed = distinct[-1], done[-1]
+                rows = pa.array(done, pa.binary()).take(coded.indices)
+                yield pa.RecordBatch.from_arrays([part.column("block"), part.column("code"), rows], names=["block", "code", "packed"])
+
+    dealt = places.repartition("segment").sortWithinPartitions("segment")
+    return dealt.mapInArrow(run, "block long, code int, packed binary")
+
+
+def _counted(folder: str):
+    """How many documents of a block hold each pair linked; keeps the block's alignments in the folder. A block without
+    pairs gives one row of none."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        block = key[0].as_py()
+        rows = rows.filter(pc.greater_equal(rows.column("code"), 0)).sort_by("code")
+        packed = rows.column("packed").combine_chunks()
+        _put(f"{folder}/{block}.parts", [pa.RecordBatch.from_arrays([packed], names=["packed"])])
+        parts = Parts(packed)
+        pairs, which = np.unique(parts.links, return_inverse=True)
+        counts, starts, n = np.zeros(len(pairs), np.int64), np.cumsum(parts.n_links) - parts.n_links, max(1, len(parts.valid))
+        for batch in _get(f"{folder}/{block}.docs"):
+            _, flat, fine, document = _documents(batch, parts)
+            held = np.unique((document * n + flat)[fine[document]])  # each segment once a document
+            document, code = held // n, held % n
+            at = _places(starts[code], parts.n_links[code])
+            once = np.unique(np.repeat(document, parts.n_links[code]) * max(1, len(pairs)) + which[at])
+            counts += np.bincount(once % max(1, len(pairs)), minlength=len(pairs))
+        held = counts > 0
+        pairs, counts = (pairs[held], counts[held]) if held.any() else (np.array([-1]), np.array([0]))
+        return pa.table({"block": pa.array([block] * len(pairs), pa.int64()), "pair": pa.array(pairs, pa.int64()), "documents": pa.array(counts, pa.int64())})
+
+    return run
+
+
+def _documents(batch: pa.RecordBatch, parts: Parts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bounds, segments, whether a document has tokens, the document of each segment)."""
+    codes = batch.column("codes")
+    flat = codes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = codes.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    wrong = np.concatenate([[0], np.cumsum(~parts.valid[flat])])
+    return ends, flat, (wrong[ends[1:]] == wrong[ends[:-1]]) & (sizes > 0), np.repeat(np.arange(len(sizes)), sizes)
 
 
 SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
-
-
-def _rows_of_block(docs: pa.Table, parts: pa.Table) -> pa.Table:
-    """The documents of a block: sums over their segments, and their groups in order."""
-    ends, flat, parts, fine = _composed(docs, parts)
-    out = {"doc_id": docs.column("doc_id")}
-    for name in SUMS:
-        upto = np.concatenate([[0], np.cumsum(parts.column(name).to_numpy()[flat])]) if len(flat) else np.zeros(1, np.int64)
-        out[name] = pa.array(np.where(fine, upto[ends[1:]] - upto[ends[:-1]], 0), pa.int64())
-    shown, cuts, flat = parts.column("groups").to_pylist(), ends.tolist(), flat.tolist()
-    out["groups"] = pa.array([";".join([shown[c] for c in flat[a:b]]) if ok else "" for a, b, ok in zip(cuts, cuts[1:], fine.tolist(), strict=False)], pa.string())
-    return pa.table(out)
-
-
-def align(docs: DataFrame, byte_level: str, piece_model: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+ROWS = ", ".join(["doc_id long", *(f"{n} long" for n in SUMS), "groups string"])
+
+
+def _composed(folder: str):
+    """The documents of a block, from its files and the counts of its pairs over all documents."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        block, rows = key[0].as_py(), rows.sort_by("pair")
+        pairs, counts, best = (rows.column(c).to_numpy() for c in ("pair", "documents", "is_best"))
+        parts = Parts(pa.concat_arrays([b.column("packed") for b in _get(f"{folder}/{block}.parts")]))
+        at = np.minimum(np.searchsorted(pairs, parts.links), len(pairs) - 1)
+        known = pairs[at] == parts.links  # others are only in texts without tokens
+        upto = [np.concatenate([[0], np.cumsum(np.where(known, x, 0))]) for x in (best[at].astype(np.int64), counts[at])]
+        ends = np.cumsum(parts.n_links)
+        sums = dict(zip(SUMS, (parts.n_a, parts.n_b, parts.n_g, parts.n_links, *(u[ends] - u[ends - parts.n_links] for u in upto)), strict=True))
+        shown, done = parts.shown(), []
+        for batch in _get(f"{folder}/{block}.docs"):
+            bounds, flat, fine, _ = _documents(batch, parts)
+            out = {"doc_id": batch.column("doc_id")}
+            for name, values in sums.items():
+                total = np.concatenate([[0], np.cumsum(values[flat])])
+                out[name] = pa.array(np.where(fine, total[bounds[1:]] - total[bounds[:-1]], 0), pa.int64())
+            taken = shown.take(pa.array(flat))
+            offsets = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1)[bounds]
+            texts = pa.Array.from_buffers(pa.large_binary(), len(fine), [None, pa.py_buffer(offsets.tobytes()), taken.buffers()[2]])
+            texts = pc.if_else(pa.array(fine), pc.binary_slice(texts, 0, -1), pa.scalar(b"", pa.large_binary()))
+            done.append(pa.table(out | {"groups": texts.cast(pa.large_string()).cast(pa.string())}))
+        return pa.concat_tables(done)
+
+    return run
+
+
+def align(docs: DataFrame, byte_level: str, piece_model: str, text: str = "text", doc_id: str = "doc_id", size: int = BLOCK_BYTES) -> DataFrame:
     """For each document doc_id, n_a, n_b (tokens), n_groups, n_links, n_best (links whose pair has the highest count of
     its first id), count_sum (the pairs' counts, summed over links) and groups: a1,a2|b1;a3|b2,b3 in order."""
-    cut = blocks(docs, byte_level, piece_model, text, doc_id)
-    coded = cut.where(F.col("codes").isNotNull()).select("block", "doc_id", "codes")
-    listed = cut.where(F.col("segments").isNotNull()).select("block", F.posexplode("segments").alias("code", "segment"))
-    aligned = aligned_segments(listed, byte_level, piece_model)
-    places = written(listed.join(aligned.select("segment", "seg"), "segment").select("block", "code", "seg"), "places")
-
-    parts = places.join(aligned.select("seg", "valid", "pairs"), "seg").select("block", "code", "valid", "pairs")
-    counted = coded.groupBy("block").cogroup(parts.groupBy("block")).applyInArrow(_pairs_of_block, "pair long, documents long")
-    counts = written(counted.groupBy("pair").agg(F.sum("documents").alias("documents")), "pairs").withColumn("a", F.shiftright("pair", 32))
+    two, folder = (byte_level, piece_model), shared_folder(docs.sparkSession, "alignment")
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    cut = blocks(own, two, folder, size)
+    parts = aligned_segments(cut.select("block", F.posexplode("segments").alias("code", "segment")), two)
+    # a row of its own, so that a block without segments isn't lost
+    parts = parts.unionByName(cut.select("block", F.lit(-1).alias("code"), F.lit(b"").alias("packed")))
+    counted = parts.groupBy("block").applyInArrow(_counted(folder), "block long, pair long, documents long")
+    same = W.partitionBy("pair")  # at most a row a block
+    counts = written(counted.withColumn("documents", F.sum("documents").over(same)), "pairs").withColumn("a", F.shiftright("pair", 32))
     highest = counts.groupBy("a").agg(F.max("documents").alias("most"))  # a row for each id of the first vocabulary at most
-    counts = counts.join(F.broadcast(highest), "a").select("pair", "documents", (F.col("documents") == F.col("most")).alias("is_best"))
-
-    scored = places.join(_scored(aligned, counts), "seg").drop("seg")
-    kind = ", ".join(["doc_id long", *(f"{n} long" for n in SUMS), "groups string"])
-    return coded.groupBy("block").cogroup(scored.groupBy("block")).applyInArrow(_rows_of_block, kind)
-
-
-def _scored(aligned: DataFrame, counts: DataFrame) -> DataFrame:
-    """The segments with n_best and count_sum. Pairs of more than one in HOT links, of which there can't be more than
-    HOT, are looked up in a broadcast, so none of them makes a large partition."""
-    links = aligned.select("seg", F.explode(F.arrays_zip("pairs", "links")).alias("l")).select("seg", F.col("l.pairs").alias("pair"), F.col("l.links").alias("links"))
-    often = written(links.groupBy("pair").agg(F.count("*").alias("segments")), "often")
-    total = often.agg(F.sum("segments")).first()[0] or 0
-    hot = often.where(F.col("segments") * HOT > total).select("pair")
-    frequent = links.join(F.broadcast(counts.join(F.broadcast(hot), "pair")), "pair")
-    others = links.join(F.broadcast(hot), "pair", "left_anti").join(counts, "pair")
-    sums = frequent.unionByName(others).groupBy("seg").agg(
-        F.sum(F.when(F.col("is_best"), F.col("links")).otherwise(0)).alias("n_best"), F.sum(F.col("links") * F.col("documents")).alias("count_sum")
-    )
-    whole = aligned.select("seg", "valid", "n_a", "n_b", "n_groups", "n_links", "groups").join(sums, "seg", "left")
-    return whole.fillna(0, ["n_best", "count_sum"])
+    counts = counts.join(F.broadcast(highest), "a").select("block", "pair", "documents", (F.col("documents") == F.col("most")).alias("is_best"))
+    return counts.groupBy("block").applyInArrow(_composed(folder), ROWS)
