@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,6 +76,12 @@ def load(spark: SparkSession, kind: str, path: str, options: dict) -> DataFrame:
         return read_folder(spark, path, options.get("filter", "*"))
     if kind == "SQL":
         return read_jdbc(spark, path, options.get("query"), options.get("table"), int(options.get("batch_size", 1000)))
+    if kind == "API":
+        from weftgraph.sources.pages import read_pages
+
+        starts = json.loads(path) if path.startswith("[") else [path]
+        named = {k: str(options[k]) for k in ("items", "next", "method", "headers", "params") if k in options}
+        return read_pages(spark, starts, options.get("schema"), paged=str(options.get("pagination", True)).lower(), **named)
     if kind in ("PARQUET", "ORC"):
         return spark.read.format(kind.lower()).load(path)
     raise ValueError(f"no reader for {kind}")

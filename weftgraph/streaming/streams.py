@@ -15,9 +15,15 @@ def files(spark: SparkSession, path: str, schema, kind: str = "parquet", per_tri
     return (reader.option("maxFilesPerTrigger", per_trigger) if per_trigger else reader).load(path)
 
 
-def kafka(spark: SparkSession, servers: str, topics: str, per_trigger: int = 50) -> DataFrame:
+def kafka_options(servers: str, topics: str, per_trigger: int = 50, starting: str = "latest", group: str | None = None, pattern: bool = False) -> dict[str, str]:
+    """What Spark's Kafka source is told: topics (a list, or a pattern), messages a batch, where to start, whose group."""
+    named = {"kafka.bootstrap.servers": servers, "subscribePattern" if pattern else "subscribe": topics, "maxOffsetsPerTrigger": str(per_trigger), "startingOffsets": starting}
+    return named | ({"kafka.group.id": group} if group else {})
+
+
+def kafka(spark: SparkSession, servers: str, topics: str, per_trigger: int = 50, **how) -> DataFrame:
     """Messages of topics; needs Spark's Kafka package on the class path."""
-    return spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topics).option("maxOffsetsPerTrigger", per_trigger).load()
+    return spark.readStream.format("kafka").options(**kafka_options(servers, topics, per_trigger, **how)).load()
 
 
 def tumbling(df: DataFrame, ts: str, length: str, delay: str, by: list[str], aggregates: list[Column]) -> DataFrame:
