@@ -12,16 +12,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftgraph.lang.kept import Kept, Materialized
 from weftgraph.lang.parser import Call, Name, NodePattern, Statement, Test, Unsupported, Variable, parse
 from weftgraph.operators import search, traverse, versions
 from weftgraph.operators.graph import Edges, PropertyGraph
+from weftgraph.operators.indexes import IndexCatalogue
 
 
-class Session:
-    """Runs scripts over a graph; holds its namespaces, variables and views."""
+class Session(Kept):
+    """Runs scripts over a graph; holds its namespaces, variables, views and indexes."""
 
-    def __init__(self, spark: SparkSession, graph: PropertyGraph, name: str = "default"):
-        self.spark, self.spaces, self.active = spark, {name: graph}, name
+    def __init__(self, spark: SparkSession, graph: PropertyGraph, name: str = "default", catalogue: IndexCatalogue | None = None):
+        self.spark, self.spaces, self.active, self.catalogue = spark, {name: graph}, name, catalogue
+        self.materialized: dict[str, Materialized] = {}
         self.variables: dict[str, object] = {}
         self.views: dict[str, DataFrame] = {}
         self.functions: dict[str, Statement] = {}
@@ -152,6 +155,8 @@ class Session:
             df = self.graph.all_nodes()
         elif label in self.views:
             df = self.views[label]
+        elif label in self.materialized:
+            df = self.view_rows(label)
         else:
             df = self.graph.scan(label)
         if not as_of:
@@ -161,7 +166,8 @@ class Session:
         return versions.system_time(df, as_of[0], *[self.value(v) for v in as_of[1:]])
 
     def _select(self, items, edges, as_of, where, group, having, order, limit, offset, **rest):
-        df = self.graph.all_edges() if edges else self.source(rest["from"], as_of)
+        indexed = None if edges or as_of else self.indexed(rest["from"], where)
+        df = indexed if indexed is not None else self.graph.all_edges() if edges else self.source(rest["from"], as_of)
         df = df.filter(self.predicate(df, where))
         calls = [i for i in items if isinstance(i.what, Call) and i.what.function != "ROWS_DISTINCT"]
         if not calls and not group:
@@ -206,7 +212,8 @@ class Session:
 
     def _match(self, nodes, edges, where, items, order, limit, offset):
         if not edges:
-            df = self.source(nodes[0].label)
+            indexed = self.indexed(nodes[0].label, where)
+            df = self.source(nodes[0].label) if indexed is None else indexed
             if nodes[0].alias != nodes[0].label:
                 df = df.select("*", *[F.col(c).alias(f"{nodes[0].alias}__{c}") for c in df.columns])
             df = df.filter(self.predicate(df, where))
@@ -328,7 +335,9 @@ class Session:
             "NAMESPACES": lambda: self._names(list(self.spaces)),
             "GRAPHS": lambda: self._names(list(self.spaces)),
             "GRAPH": lambda: self._names([self.active]),
-            "COLLECTIONS": lambda: self._names([*self.graph.nodes, *self.views]),
+            "COLLECTIONS": lambda: self._names([*self.graph.nodes, *self.views, *self.materialized]),
+            "INDEXES": self._indexes,
+            "INDEX": self._indexes,
         }
         if what not in rows:
             raise Unsupported(f"unsupported statement: SHOW {what}")
@@ -352,6 +361,11 @@ class Session:
         df = df.filter(self.predicate(df, where))
         column = next((c for c in ("text", "name") if c in df.columns), None)
         w = {k: float(self.value(v)) for k, v in weights.items()}
+        index = self.catalogue.sparse(label, [column]) if self.catalogue is not None and strategy == "sparse" and where is None else None
+        if index is not None:
+            query = self.spark.range(1).select(F.lit(0).alias("query_id"), F.lit(str(self.value(text))).alias("text"))
+            got = index.bm25(query).select("id", "score")
+            return self.tail(got, order or [(Name("score"), True), (Name("id"), False)], 10 if limit is None else limit, offset)
         got = search.ranked(df.select("id", F.col(column).cast("string").alias("text")), str(self.value(text)), strategy, w)
         return self.tail(got, order or [(Name("score"), True), (Name("id"), False)], 10 if limit is None else limit, offset)
 
@@ -371,6 +385,7 @@ class Session:
         row = traverse.cut(row)  # the id must not change when the row is read again
         old = self.graph.nodes.get(label)
         self.graph = self.graph.with_nodes(label, row if old is None else old.unionByName(row, allowMissingColumns=True))
+        self.changed(label, "insert", None, row)
         return row
 
     def _create_edge(self, type, source, target, where, properties):
@@ -378,6 +393,7 @@ class Session:
         row = self.spark.createDataFrame([(str(self.value(source)), str(self.value(target)), w)], "source string, target string, weight double")
         old = self.graph.edges.get(type)
         self.graph = self.graph.with_edges(type, Edges(row if old is None else old.df.unionByName(row, allowMissingColumns=True), old.start if old else "", old.end if old else ""))
+        self.changed(type, "edge", None, None)
         return row
 
     def _update(self, what, label, set, where):
@@ -386,17 +402,22 @@ class Session:
             e = self.graph.edges[label]
             hit = F.coalesce(self.predicate(e.df, where), F.lit(False))
             self.graph = self.graph.with_edges(label, Edges(versions.updated(e.df, hit, values), e.start, e.end))
+            self.changed(label, "edge", None, None)
             return e.df.filter(hit)
         for one in [label] if label else list(self.graph.nodes):
             df = self.graph.scan(one)
             hit = F.coalesce(self.predicate(df, where), F.lit(False))
             self.graph = self.graph.with_nodes(one, versions.updated(df, hit, values))
+            if self.watched(one):
+                old = df.filter(hit)
+                self.changed(one, "update", old, versions.updated(old, F.lit(True), {k: F.lit(self.value(v)) for k, v in set.items()}))
         return self.source(label)
 
     def _delete(self, what, label, where):
         if what == "EDGE":
             e = self.graph.edges[label]
             self.graph = self.graph.with_edges(label, Edges(e.df.filter(~F.coalesce(self.predicate(e.df, where), F.lit(False))), e.start, e.end))
+            self.changed(label, "edge", None, None)
             return None
         gone = []
         for one in [label] if label else list(self.graph.nodes):
@@ -404,6 +425,8 @@ class Session:
             hit = F.coalesce(self.predicate(df, where), F.lit(False))
             gone.append(df.filter(hit).select("id"))
             self.graph = self.graph.with_nodes(one, df.filter(~hit))
+            if self.watched(one):
+                self.changed(one, "delete", df.filter(hit), None)
         ids = reduce(DataFrame.unionByName, gone)
         self.graph = versions.without_nodes(self.graph, ids)
         return ids
@@ -435,6 +458,10 @@ class Session:
     def _drop(self, what, name):
         if what in ("GRAPH", "NAMESPACE"):
             self.spaces.pop(name, None)
+        elif what == "INDEX" and self.catalogue is not None:
+            self.catalogue.drop(name)
+        elif what == "MATERIALIZED":
+            self.materialized.pop(name, None)
         else:
             self.views.pop(name, None)
 

@@ -47,7 +47,12 @@ def postings(docs: DataFrame, fields: list[str], id: str = "id") -> DataFrame:
     """(term, id, tf): stems weighted by field, and pairs of neighbouring stems at half as much again.
 
     A field is cut into stems once; they and their pairs leave the row together."""
-    return _occurrences(stemmed(docs, fields, id), fields).groupBy("term", "id").agg(F.sum("w").alias("tf"))
+    return counted(stemmed(docs, fields, id), fields).select("term", "id", "tf")
+
+
+def counted(held: DataFrame, fields: list[str]) -> DataFrame:
+    """(term, id, tf, terms) of stemmed documents."""
+    return _occurrences(held, fields).groupBy("term", "id").agg(F.sum("w").alias("tf"), F.max("terms").alias("terms"))
 
 
 def small(df: DataFrame, rows: int = SMALL) -> DataFrame:

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from weftgraph.catalog import Catalog
-from weftgraph.plans import corpus, entities, events, graphs, messages, relational
+from weftgraph.plans import corpus, entities, events, graphs, kept, messages, relational
 
 CATALOG = Catalog()
-for module in (relational, events, graphs, corpus, entities, messages):
+for module in (relational, events, graphs, corpus, entities, messages, kept):
     for name, one in module.CATALOG.items():
         CATALOG.add(name, one.sql, one.covers)(one.run)
