@@ -6,6 +6,7 @@ nothing are 0. A comparison of a number with a quoted literal casts the literal.
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,7 @@ from pyspark.sql import types as T
 
 from weftgraph.lang.kept import Kept, Materialized
 from weftgraph.lang.parser import Call, Name, NodePattern, Statement, Test, Unsupported, Variable, parse
-from weftgraph.operators import search, traverse, versions
+from weftgraph.operators import paths, search, traverse, versions
 from weftgraph.operators.graph import Edges, PropertyGraph
 from weftgraph.operators.indexes import IndexCatalogue
 
@@ -204,8 +205,10 @@ class Session(Kept):
             return []
         return [c for o in test.operands for c in ([o] if isinstance(o, Call) else self._calls(o) if isinstance(o, Test) else [])]
 
-    def _prefixed(self, p: NodePattern) -> DataFrame:
+    def _prefixed(self, p: NodePattern, where: Test | None = None) -> DataFrame:
         df = self.source(p.label)
+        for test in self._parts(where, p.alias):
+            df = df.filter(self.predicate(df, test))
         for key, v in p.properties.items():
             df = df.filter(self.predicate(df, Test("=", (Name(key), v))))
         return df.select(*[F.col(c).alias(f"{p.alias}__{c}") for c in df.columns])
@@ -218,12 +221,16 @@ class Session(Kept):
                 df = df.select("*", *[F.col(c).alias(f"{nodes[0].alias}__{c}") for c in df.columns])
             df = df.filter(self.predicate(df, where))
             return self.project(self.tail(df, order, limit, offset), items)
-        df = self._prefixed(nodes[0])
+        if not self._parts(where, nodes[0].alias) and not nodes[0].properties and (self._parts(where, nodes[-1].alias) or nodes[-1].properties) and any(e.most > 1 for e in edges):
+            # paths grow from the side that is bounded
+            turned = {"in": "out", "out": "in", "both": "both"}
+            nodes, edges = nodes[::-1], [replace(e, direction=turned[e.direction]) for e in edges[::-1]]
+        df = self._prefixed(nodes[0], where)
         for left, e, right in zip(nodes, edges, nodes[1:], strict=False):
-            hop = self._hops(e)
+            hop = self._hops(e, df.select(F.col(f"{left.alias}__id").alias("id")) if (e.least, e.most) != (1, 1) else None)
             if e.alias:
                 hop = hop.withColumns({f"{e.alias}__type": F.col("_type"), f"{e.alias}__weight": F.col("_weight")})
-            df = df.join(hop, df[f"{left.alias}__id"] == hop["_source"]).join(self._prefixed(right), F.col("_target") == F.col(f"{right.alias}__id"))
+            df = df.join(hop, df[f"{left.alias}__id"] == hop["_source"]).join(self._prefixed(right, where), F.col("_target") == F.col(f"{right.alias}__id"))
             df = df.drop("_source", "_target", "_type", "_weight")
         df = df.filter(self.predicate(df, where))
         calls = [i for i in items or [] if isinstance(i.what, Call) and i.what.argument is None and i.what.function in ("PATH_LENGTH", "HOP_COUNT")]
@@ -241,25 +248,36 @@ class Session(Kept):
             return self.project(self.tail(df, order, limit, offset), items)
         return self.tail(self.project(df, items), order, limit, offset)
 
-    def _hops(self, e) -> DataFrame:
-        """(_source, _target, _type, _weight) of an edge pattern; of paths between its least and most lengths."""
+    def _hops(self, e, starts: DataFrame) -> DataFrame:
+        """(_source, _target, _type, _weight) of an edge pattern; of paths between its least and most lengths, those from the
+        starts."""
         one = traverse.directed(self.graph.all_edges(e.types), e.direction)
         if (e.least, e.most) == (1, 1):
             return one.select(*[F.col(c).alias(f"_{c}") for c in ("source", "target", "type", "weight")])
-        pairs = traverse.cut(one.select("source", "target").distinct())
-        reach, parts = pairs, []
-        for length in range(1, e.most + 1):
-            if length > 1:
-                step = reach.withColumnRenamed("target", "_m").join(pairs.withColumnRenamed("source", "_m"), "_m")
-                reach = traverse.cut(step.select("source", "target").distinct())
-            if length >= e.least:
-                parts.append(reach)
-        some = reduce(DataFrame.unionByName, parts).distinct()
+        some = paths.within(one, starts, e.least, e.most)
         return some.select(F.col("source").alias("_source"), F.col("target").alias("_target"), F.lit("|".join(e.types)).alias("_type"), F.lit(None).cast("double").alias("_weight"))
 
-    def _traverse(self, types, to, where, depth, least, direction, items, order, limit, offset, **rest):
+    def _parts(self, where: Test | None, alias: str) -> list[Test]:
+        """The conditions that `where` puts on one alias alone."""
+        tests = where.operands if where is not None and where.operator == "AND" else (where,)
+        return [t for t in tests if isinstance(t, Test) and (names := self._owners(t)) and names == {alias}]
+
+    def _owners(self, test: Test) -> set:
+        """Whose columns a condition names; None among them for a bare column."""
+        found = set()
+        for o in test.operands:
+            found |= self._owners(o) if isinstance(o, Test) else {o.owner} if isinstance(o, Name) else set()
+        return found
+
+    def _traverse(self, types, to, where, depth, least, direction, items, strategy, order, limit, offset, **rest):
         starts = self.source(rest["from"])
         starts = starts.filter(self.predicate(starts, where))
+        if strategy:  # every way that uses no edge twice, in the order of the search
+            found = paths.trails(self.graph.all_edges(types), starts.select("id"), int(self.value(least)), int(self.value(depth)), direction)
+            found = found.join(self.source(to).select("id"), "id", "left_semi") if to else found
+            found = found.select("start", "id", F.col("length").alias("distance"), F.array_join("path", ">").alias("path"), F.array_join("types", ">").alias("types"))
+            ordered = found.orderBy("start", "path", "types") if strategy == "DFS" else found.orderBy("distance", "start", "path", "types")
+            return self.project(self.tail(ordered, order, limit, offset), items)
         found = traverse.reachable(self.graph.all_edges(types), starts, int(self.value(depth)), direction, int(self.value(least)))
         named = self.source(to) if to else self.graph.all_nodes()
         out = named.join(found, "id")
@@ -314,8 +332,7 @@ class Session(Kept):
         return df.groupBy(key.alias(group.column)).agg(value.alias("value"))
 
     def _point(self, id):
-        df = self.graph.all_nodes()
-        return df.filter(df["id"] == str(self.value(id)))
+        return self.graph.by_id(str(self.value(id)))
 
     def _edges(self, where, order, limit, offset):
         df = self.graph.edges_with_names()

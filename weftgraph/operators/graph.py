@@ -50,9 +50,27 @@ class Lazy(Mapping):
 class PropertyGraph:
     nodes: Mapping[str, DataFrame] = field(default_factory=dict)
     edges: Mapping[str, Edges] = field(default_factory=dict)
+    #: label -> letter and number columns that its ids are made of: C:7 is the row whose column is 7.
+    keys: Mapping[str, tuple[str, list[str]]] = field(default_factory=dict)
 
     def with_nodes(self, label: str, df: DataFrame) -> PropertyGraph:
-        return replace(self, nodes=Lazy.with_one(self.nodes, label, df))
+        return replace(self, nodes=Lazy.with_one(self.nodes, label, df), keys={k: v for k, v in self.keys.items() if k != label})
+
+    def by_id(self, id: str) -> DataFrame:
+        """(id, label, name) of the nodes with an id. Where ids are made of number columns, one label is read, and the filter is
+        on its columns, so that it reaches the scan."""
+        letter, *numbers = id.split(":")
+        parts = []
+        for label in self.nodes:
+            if label not in self.keys:
+                test = F.col("id") == id
+            elif self.keys[label][0] == letter and len(numbers) == len(self.keys[label][1]) and all(n.isdecimal() and len(n) < 19 for n in numbers):
+                test = reduce(lambda a, b: a & b, [F.col(c) == int(n) for c, n in zip(self.keys[label][1], numbers, strict=True)]) & (F.col("id") == id)
+            else:
+                continue
+            df = self.nodes[label].filter(test)
+            parts.append(df.select("id", F.lit(label).alias("label"), F.col("name").cast("string").alias("name")))
+        return reduce(DataFrame.unionByName, parts) if parts else self.all_nodes().limit(0)
 
     def with_edges(self, kind: str, edges: Edges) -> PropertyGraph:
         return replace(self, edges=Lazy.with_one(self.edges, kind, edges))
@@ -139,4 +157,4 @@ def graph_of_tables(spark: SparkSession, sf_dir: str) -> PropertyGraph:
         "SUPPLIES": supplies,
         "NEXT": following,
     }
-    return PropertyGraph(Lazy({label: lambda k=k: labelled(*k) for label, k in KEYS.items()}), Lazy(edges))
+    return PropertyGraph(Lazy({label: lambda k=k: labelled(*k) for label, k in KEYS.items()}), Lazy(edges), {label: (k[1], k[2]) for label, k in KEYS.items()})
