@@ -87,12 +87,23 @@ def test_cuts_are_checked():
             if whole is None:
                 assert b"" in packed
                 continue
-            found = crossalign.Parts(pa.array(packed, pa.binary()))
+            found = crossalign.Parts(pa.array(packed, pa.large_binary()))
             assert found.a.tolist() == whole[0] and found.b.tolist() == whole[1], repr(text[:50])
             assert [(x, y) for x, y in zip(found.in_a, found.in_b)] == [(len(x), len(y)) for x, y in whole[2]]
             assert found.links.tolist() == [x << 32 | y for left, right in whole[2] for x in left for y in right]
 
 
+def test_wide_numbers():
+    two = crossalign.Two(A_PATH, B_PATH)
+    parts = [" a", " " + "xyz-" * 30000, " ▁", "\nb"]
+    packed = [two.aligned([p])[0] for p in parts]
+    assert packed[1].startswith(crossalign.MARK) and packed[2] == b""
+    found = crossalign.Parts(pa.array(packed, pa.large_binary()))
+    assert found.valid.tolist() == [True, True, False, True]
+    assert found.a.tolist() == [i for p in (parts[0], parts[1], parts[3]) for i in A.encode(p, add_special_tokens=False).ids]
+    assert found.n_a[1] > 65535
+
+
 def test_query_against_whole_texts(spark, tmp_path):
     rng = random.Random(8)
     words = ["the", "cat", "tokeniser", "unhappy", "1999", "--", "(x)", "naïve", "Wörter", "q"]

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from weftgraph.llm import ngram
@@ -94,3 +95,33 @@ def test_empty(spark, tmp_path):
     assert op2_kneser_ney(spark, str(tmp_path)).count() == 0
     folder = ngram.train(spark.createDataFrame([], "text string"), 2)
     assert ngram.scored(spark.createDataFrame([("a b",)], "text string"), folder).first().score == 0.0
+
+
+def test_counts_beyond_32_bits():
+    counts = np.array([1, 300, 5_000_000_000, 2**40], np.int64)
+    words = np.arange(4, dtype=np.uint64)
+    (got,), back = ngram._unblob(ngram._blob([words], counts))
+    assert got.tolist() == words.tolist() and back.tolist() == counts.tolist()
+    heads, back = ngram._unblob(ngram._blob([words, words[::-1].copy()], counts))
+    assert back.tolist() == counts.tolist()
+    data, at = ngram._small(counts), 0
+
+    def take(kind, n):
+        nonlocal at
+        out = np.frombuffer(data, kind, n, at)
+        at += out.nbytes
+        return out
+
+    assert ngram.Small(take, 4)[np.array([3, 2, 1, 0, 2])].tolist() == [2**40, 5_000_000_000, 300, 1, 5_000_000_000]
+
+
+def test_a_lost_shard_is_an_error(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b c d e f g h"), (2, "b c a")], "doc_id long, text string")
+    folder = ngram.train(docs, 2, f"file://{tmp_path}/model", shard_bytes=4)
+    want = sorted(map(tuple, ngram.scored(docs, folder).collect()))
+    assert len(want) == 2
+    files = sorted((tmp_path / "model").glob("order1-*.kn"))
+    assert 1 < len(files)
+    files[0].unlink()
+    with pytest.raises(Exception, match="order1"):
+        ngram.scored(docs, folder).collect()

@@ -41,12 +41,16 @@ from weftgraph.llm.shared import get, pieces, put, shared_folder, written
 #: Bytes of text of a block, and bits of its number that count the blocks of a task.
 BLOCK_BYTES, BLOCK_BITS = 16 << 20, 20
 #: Documents and bytes of text of a block that are worked on together.
-SLICE_DOCS, SLICE_BYTES = 8192, 4 << 20
+SLICE_DOCS, SLICE_BYTES = 4096, 1 << 19
 #: Rows of segments that are aligned together.
 TOGETHER = 8192
 #: White space before which a text may be cut, if the vocabularies allow it.
 CUTS = " \n\t\r\v\f"
 SPACE = "▁"
+#: From here on numbers need 32 bits; what stands before those.
+WIDE, MARK = 0xFFFF, b"\xff\xff"
+#: Ids of the second vocabulary that share a row of counts, as bits.
+ROW_BITS = 12
 
 
 class Two:
@@ -111,8 +115,8 @@ def _places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _pack(ends, a, a_ends, b, b_ends, cuts) -> list[bytes]:
-    """For each segment, as 32-bit integers: how many ids of a, ids of b and groups it has; the ids of a, those of b; how
-    many ids of a each group has, and how many of b."""
+    """For each segment, as 16-bit integers: how many ids of a, ids of b and groups it has; the ids of a, those of b; how
+    many ids of a each group has, and how many of b. A segment with larger numbers has 32-bit ones behind a mark."""
     upto_a, upto_b, upto_g = (np.searchsorted(x, ends, "right") for x in (a_ends, b_ends, cuts))
     n_a, n_b, n_g = (np.diff(x, prepend=0) for x in (upto_a, upto_b, upto_g))
     sizes = 3 + n_a + n_b + 2 * n_g
@@ -124,16 +128,27 @@ def _pack(ends, a, a_ends, b, b_ends, cuts) -> list[bytes]:
     out[_places(start + 3 + n_a, n_b)] = b
     out[_places(start + 3 + n_a + n_b, n_g)] = np.diff(np.searchsorted(a_ends, cuts, "right"), prepend=0)
     out[_places(start + 3 + n_a + n_b + n_g, n_g)] = np.diff(np.searchsorted(b_ends, cuts, "right"), prepend=0)
-    raw, bounds = out.astype("<i4").tobytes(), (4 * np.append(start, len(out))).tolist()
-    return [raw[x:y] for x, y in zip(bounds, bounds[1:], strict=False)]
+    bounds = np.append(start, len(out)).tolist()
+    if out.max(initial=0) < WIDE:
+        raw = out.astype("<u2").tobytes()
+        return [raw[2 * x : 2 * y] for x, y in zip(bounds, bounds[1:], strict=False)]
+    some = (out[x:y] for x, y in zip(bounds, bounds[1:], strict=False))
+    return [x.astype("<u2").tobytes() if x.max() < WIDE else MARK + x.astype("<i4").tobytes() for x in some]
 
 
 class Parts:
     """The alignments of a block's segments, by number, out of their packed forms."""
 
     def __init__(self, packed: pa.Array):
-        sizes = pc.binary_length(packed).to_numpy(zero_copy_only=False).astype(np.int64) // 4
-        flat = np.frombuffer(b"".join(packed.to_pylist()), "<i4")
+        offsets, raw = np.frombuffer(packed.buffers()[1], np.int64, len(packed) + 1, 8 * packed.offset), packed.buffers()[2]
+        first, end = (int(offsets[0]), int(offsets[-1])) if len(packed) else (0, 0)
+        flat, sizes = np.frombuffer(raw, "<u2", (end - first) // 2, first).astype(np.int32) if end > first else np.zeros(0, np.int32), np.diff(offsets) // 2
+        start = np.cumsum(sizes) - sizes
+        if (wide := np.flatnonzero((sizes > 0) & (flat[np.minimum(start, max(len(flat) - 1, 0))] == WIDE) if len(flat) else [])).size:
+            some = [flat[x : x + n] for x, n in zip(start.tolist(), sizes.tolist(), strict=True)]
+            for k in wide.tolist():
+                some[k] = np.frombuffer(raw, "<i4", (int(sizes[k]) - 1) // 2, first + 2 * int(start[k]) + 2)
+            flat, sizes = np.concatenate(some), np.array([len(x) for x in some])
         self.valid = sizes > 0
         start = (np.cumsum(sizes) - sizes)[self.valid]
         counts = [np.zeros(len(sizes), np.int64) for _ in range(3)]
@@ -141,23 +156,28 @@ class Parts:
             c[self.valid] = flat[start + k]
         self.n_a, self.n_b, self.n_g = counts
         n_a, n_b, n_g = (c[self.valid] for c in counts)
-        self.a, self.b = flat[_places(start + 3, n_a)].astype(np.int64), flat[_places(start + 3 + n_a, n_b)].astype(np.int64)
-        self.in_a, self.in_b = (flat[_places(start + 3 + n_a + n_b + k * n_g, n_g)].astype(np.int64) for k in (0, 1))
+        self.a, self.b = flat[_places(start + 3, n_a)], flat[_places(start + 3 + n_a, n_b)]
+        self.in_a, self.in_b = (flat[_places(start + 3 + n_a + n_b + k * n_g, n_g)] for k in (0, 1))
+        del flat
         per_group = self.in_a * self.in_b
-        upto = np.concatenate([[0], np.cumsum(per_group)])
+        upto = np.concatenate([[0], np.cumsum(per_group, dtype=np.int64)])
         groups = np.cumsum(self.n_g)
         self.n_links = upto[groups] - upto[groups - self.n_g]
-        k = np.arange(int(upto[-1])) - np.repeat(upto[:-1], per_group)
+        k = np.arange(int(upto[-1]), dtype=np.int32) - np.repeat(upto[:-1].astype(np.int32), per_group)
         width = np.repeat(self.in_b, per_group)
-        first_a, first_b = (np.repeat(np.cumsum(x) - x, per_group) for x in (self.in_a, self.in_b))
+        at_a, at_b = k // width, k % width
+        del k, width
+        at_a += np.repeat((np.cumsum(self.in_a) - self.in_a).astype(np.int32), per_group)
+        at_b += np.repeat((np.cumsum(self.in_b) - self.in_b).astype(np.int32), per_group)
         #: (id of a) << 32 | id of b of all links, in order; those of segment k are n_links[k] of them.
-        self.links = self.a[first_a + k // width] << 32 | self.b[first_b + k % width]
+        self.links = self.a[at_a].astype(np.int64) << 32
+        self.links |= self.b[at_b]
 
     def shown(self) -> pa.Array:
         """a1,a2|b1;a3|b2,b3; of each segment, with the mark behind its last group."""
         order = np.argsort(np.concatenate([np.repeat(2 * np.arange(len(self.in_a)), self.in_a), np.repeat(2 * np.arange(len(self.in_b)) + 1, self.in_b)]), kind="stable")
         most = int(max(self.a.max(initial=0), self.b.max(initial=0))) + 1
-        last = [np.zeros(len(x), np.int64) for x in (self.a, self.b)]
+        last = [np.zeros(len(x), np.int32) for x in (self.a, self.b)]
         for mark, x in zip(last, (self.in_a, self.in_b), strict=True):
             mark[np.cumsum(x) - 1] = 1
         which = np.concatenate([self.a + most * last[0], self.b + most * 2 * last[1]])[order]
@@ -226,8 +246,12 @@ def blocks(docs: DataFrame, two: tuple[str, str], folder: str, size: int = BLOCK
     return written(docs.mapInArrow(run, "block long, segments array<string>"), "blocks")
 
 
+PARTS = "block long, codes array<int>, sizes array<int>, packed binary"
+
+
 def aligned_segments(places: DataFrame, two: tuple[str, str]) -> DataFrame:
-    """(block, code, packed) of places (block, code, segment): each distinct segment is aligned once."""
+    """Alignments of places (block, code, segment), each distinct segment aligned once. The places of a block that come
+    together share a row: their numbers, the sizes of their packed alignments, and these one behind the other."""
 
     def run(batches):
         own, before, packed = both(*two), None, b""
@@ -238,35 +262,57 @@ def aligned_segments(places: DataFrame, two: tuple[str, str]) -> DataFrame:
                 new = distinct[1:] if distinct[0] == before else distinct
                 done = [packed] * (len(distinct) - len(new)) + own.aligned(new)
                 before, packed = distinct[-1], done[-1]
-                rows = pa.array(done, pa.binary()).take(coded.indices)
-                yield pa.RecordBatch.from_arrays([part.column("block"), part.column("code"), rows], names=["block", "code", "packed"])
+                block = part.column("block").to_numpy()
+                order = np.argsort(block, kind="stable")
+                first = np.flatnonzero(np.diff(block[order], prepend=-1))
+                rows = pa.array(done, pa.binary()).take(coded.indices.take(pa.array(order)))
+                offsets = np.frombuffer(rows.buffers()[1], np.int32, len(rows) + 1)
+                bounds = pa.array(np.append(first, len(rows)), pa.int32())
+                joined = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets[np.append(first, len(rows))].tobytes()), rows.buffers()[2]])
+                lists = [pa.ListArray.from_arrays(bounds, x) for x in (part.column("code").take(pa.array(order)), pa.array(np.diff(offsets)))]
+                yield pa.RecordBatch.from_arrays([pa.array(block[order][first]), *lists, joined], names=["block", "codes", "sizes", "packed"])
 
     dealt = places.repartition("segment").sortWithinPartitions("segment")
-    return dealt.mapInArrow(run, "block long, code int, packed binary")
+    return dealt.mapInArrow(run, PARTS)
+
+
+def _by_code(rows: pa.Table) -> pa.Array:
+    """The packed alignments of a block's rows in the order of their numbers."""
+    codes, sizes = (rows.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("codes", "sizes"))
+    offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    raw = pa.py_buffer(b"".join(rows.column("packed").to_pylist()))
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets.tobytes()), raw]).take(pa.array(np.argsort(codes)))
+
+
+COUNTS = "block long, a long, g int, b array<int>, documents array<int>"
 
 
 def _counted(folder: str):
-    """How many documents of a block hold each pair linked; keeps the block's alignments in the folder. A block without
-    pairs gives one row of none."""
+    """How many documents of a block hold each pair linked, a row for some of the pairs of an id; keeps the block's
+    alignments in the folder."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         block = key[0].as_py()
-        rows = rows.filter(pc.greater_equal(rows.column("code"), 0)).sort_by("code")
-        packed = rows.column("packed").combine_chunks()
+        packed = _by_code(rows)
         _put(f"{folder}/{block}.parts", [pa.RecordBatch.from_arrays([packed], names=["packed"])])
         parts = Parts(packed)
         pairs, which = np.unique(parts.links, return_inverse=True)
-        counts, starts, n = np.zeros(len(pairs), np.int64), np.cumsum(parts.n_links) - parts.n_links, max(1, len(parts.valid))
+        which, parts.links = which.astype(np.int32), None
+        counts, starts, n = np.zeros(len(pairs), np.int32), np.cumsum(parts.n_links) - parts.n_links, max(1, len(parts.valid))
         for batch in _get(f"{folder}/{block}.docs"):
             _, flat, fine, document = _documents(batch, parts)
             held = np.unique((document * n + flat)[fine[document]])  # each segment once a document
             document, code = held // n, held % n
             at = _places(starts[code], parts.n_links[code])
             once = np.unique(np.repeat(document, parts.n_links[code]) * max(1, len(pairs)) + which[at])
-            counts += np.bincount(once % max(1, len(pairs)), minlength=len(pairs))
+            counts += np.bincount(once % max(1, len(pairs)), minlength=len(pairs)).astype(np.int32)
         held = counts > 0
-        pairs, counts = (pairs[held], counts[held]) if held.any() else (np.array([-1]), np.array([0]))
-        return pa.table({"block": pa.array([block] * len(pairs), pa.int64()), "pair": pa.array(pairs, pa.int64()), "documents": pa.array(counts, pa.int64())})
+        pairs, counts = pairs[held], counts[held]
+        first = np.flatnonzero(np.diff(pairs >> ROW_BITS, prepend=-1))
+        bounds = pa.array(np.append(first, len(pairs)), pa.int32())
+        lists = [pa.ListArray.from_arrays(bounds, pa.array(x, pa.int32())) for x in (pairs & 0xFFFFFFFF, counts)]
+        ids = [pa.array([block] * len(first), pa.int64()), pa.array(pairs[first] >> 32, pa.int64()), pa.array((pairs[first] & 0xFFFFFFFF) >> ROW_BITS, pa.int32())]
+        return pa.table([*ids, *lists], names=["block", "a", "g", "b", "documents"])
 
     return run
 
@@ -288,16 +334,24 @@ ROWS = ", ".join(["doc_id long", *(f"{n} long" for n in SUMS), "groups string"])
 def _composed(folder: str):
     """The documents of a block, from its files and the counts of its pairs over all documents."""
 
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        block, rows = key[0].as_py(), rows.sort_by("pair")
-        pairs, counts, best = (rows.column(c).to_numpy() for c in ("pair", "documents", "is_best"))
-        parts = Parts(pa.concat_arrays([b.column("packed") for b in _get(f"{folder}/{block}.parts")]))
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches)
+        block, lists = key[0].as_py(), [rows.column(c).combine_chunks() for c in ("b", "totals")]
+        b, counts = (x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in lists)
+        per_row = lists[0].value_lengths().to_numpy(zero_copy_only=False)
+        a, most = (np.repeat(rows.column(c).to_numpy(), per_row) for c in ("a", "most"))
+        pairs = a << 32 | b
+        order = np.argsort(pairs)
+        pairs, counts, best = pairs[order], counts[order], (counts == most)[order]
+        if not len(pairs):
+            pairs, counts, best = np.array([-1]), np.array([0]), np.array([False])
+        parts = Parts(next(_get(f"{folder}/{block}.parts")).column("packed"))
         at = np.minimum(np.searchsorted(pairs, parts.links), len(pairs) - 1)
         known = pairs[at] == parts.links  # others are only in texts without tokens
         upto = [np.concatenate([[0], np.cumsum(np.where(known, x, 0))]) for x in (best[at].astype(np.int64), counts[at])]
-        ends = np.cumsum(parts.n_links)
+        ends, parts.links = np.cumsum(parts.n_links), None
         sums = dict(zip(SUMS, (parts.n_a, parts.n_b, parts.n_g, parts.n_links, *(u[ends] - u[ends - parts.n_links] for u in upto)), strict=True))
-        shown, done = parts.shown(), []
+        shown = parts.shown()
         for batch in _get(f"{folder}/{block}.docs"):
             bounds, flat, fine, _ = _documents(batch, parts)
             out = {"doc_id": batch.column("doc_id")}
@@ -308,8 +362,8 @@ def _composed(folder: str):
             offsets = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1)[bounds]
             texts = pa.Array.from_buffers(pa.large_binary(), len(fine), [None, pa.py_buffer(offsets.tobytes()), taken.buffers()[2]])
             texts = pc.if_else(pa.array(fine), pc.binary_slice(texts, 0, -1), pa.scalar(b"", pa.large_binary()))
-            done.append(pa.table(out | {"groups": texts.cast(pa.large_string()).cast(pa.string())}))
-        return pa.concat_tables(done)
+            out["groups"] = texts.cast(pa.large_string()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
     return run
 
@@ -321,11 +375,15 @@ def align(docs: DataFrame, byte_level: str, piece_model: str, text: str = "text"
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     cut = blocks(own, two, folder, size)
     parts = aligned_segments(cut.select("block", F.posexplode("segments").alias("code", "segment")), two)
-    # a row of its own, so that a block without segments isn't lost
-    parts = parts.unionByName(cut.select("block", F.lit(-1).alias("code"), F.lit(b"").alias("packed")))
-    counted = parts.groupBy("block").applyInArrow(_counted(folder), "block long, pair long, documents long")
-    same = W.partitionBy("pair")  # at most a row a block
-    counts = written(counted.withColumn("documents", F.sum("documents").over(same)), "pairs").withColumn("a", F.shiftright("pair", 32))
-    highest = counts.groupBy("a").agg(F.max("documents").alias("most"))  # a row for each id of the first vocabulary at most
-    counts = counts.join(F.broadcast(highest), "a").select("block", "pair", "documents", (F.col("documents") == F.col("most")).alias("is_best"))
-    return counts.groupBy("block").applyInArrow(_composed(folder), ROWS)
+    # a row of its own, so that a block without segments or pairs isn't lost
+    none = [F.array().cast("array<int>").alias(x) for x in ("x", "y")]
+    parts = parts.unionByName(cut.select("block", none[0].alias("codes"), none[1].alias("sizes"), F.lit(b"").alias("packed")))
+    counted = parts.groupBy("block").applyInArrow(_counted(folder), COUNTS).repartition("a", "g")
+    each = counted.select("block", "a", "g", F.explode(F.arrays_zip("b", "documents")).alias("p")).select("block", "a", "g", "p.b", "p.documents")
+    each = each.withColumn("total", F.sum("documents").over(W.partitionBy("a", "g", "b")))  # at most a row a block
+    lists = each.groupBy("block", "a", "g").agg(F.collect_list(F.struct("b", "total")).alias("p"))  # 2 ** ROW_BITS at most
+    totals = written(lists.select("block", "a", F.col("p.b").alias("b"), F.col("p.total").alias("totals")), "pairs")
+    highest = totals.groupBy("a").agg(F.max(F.array_max("totals")).alias("most"))  # a row for each id of the first vocabulary at most
+    known = totals.join(F.broadcast(highest), "a").select("block", "a", "b", "totals", "most")
+    missing = cut.select("block", F.lit(0).cast("long").alias("a"), none[0].alias("b"), none[1].cast("array<long>").alias("totals"), F.lit(0).cast("long").alias("most"))
+    return known.unionByName(missing).groupBy("block").applyInArrow(_composed(folder), ROWS)

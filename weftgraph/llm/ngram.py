@@ -131,7 +131,7 @@ def _blob(columns: list[np.ndarray], counts: np.ndarray) -> bytes:
     heads, runs = np.unique(columns[0], return_counts=True)
     first = np.concatenate([[0], np.cumsum(runs)[:-1]]) if len(runs) else np.zeros(0, np.int64)
     middle = b"".join(_packed(c[first]) for c in columns[1:-1])
-    small = zstandard.compress(runs.astype(np.uint32).tobytes(), 1), zstandard.compress(counts.astype(np.uint32).tobytes(), 1)
+    small = zstandard.compress(runs.astype(np.uint32).tobytes(), 1), zstandard.compress(counts.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
     sizes = np.array([len(columns), len(heads), len(counts), len(small[0]), len(small[1])], np.int64).tobytes()
     return b"".join([sizes, _packed(heads, True), middle, _packed(columns[-1]) if len(columns) > 1 else b"", *small])
 
@@ -146,7 +146,7 @@ def _unblob(data: bytes) -> tuple[list[np.ndarray], np.ndarray]:
         values, at = _unpacked(data, at, k == 0)
         (columns if 0 < k == width - 1 else table).append(values)
     runs = np.frombuffer(zstandard.decompress(data[at : at + a]), np.uint32)
-    counts = np.frombuffer(zstandard.decompress(data[at + a : at + a + b]), np.uint32).astype(np.int64)
+    counts = np.ascontiguousarray(np.frombuffer(zstandard.decompress(data[at + a : at + a + b]), np.uint8).reshape(8, -1).T).view("<i8").ravel()
     return [*(np.repeat(t, runs) for t in table), *columns], counts
 
 
@@ -207,7 +207,7 @@ def _shard_file(folder: str, level: int, shard: int) -> str:
 def _small(values: np.ndarray) -> bytes:
     """Counts in a byte each; those of 255 or more follow, with their places."""
     large = np.flatnonzero(values >= 255)
-    return b"".join([np.array([len(large)], np.int64).tobytes(), large.astype(np.uint32).tobytes(), values[large].astype(np.uint32).tobytes(), np.minimum(values, 255).astype(np.uint8).tobytes()])
+    return b"".join([np.array([len(large)], np.int64).tobytes(), large.astype(np.uint32).tobytes(), values[large].astype(np.uint64).tobytes(), np.minimum(values, 255).astype(np.uint8).tobytes()])
 
 
 class Small:
@@ -215,7 +215,7 @@ class Small:
 
     def __init__(self, take, count: int):
         n = int(take(np.int64, 1)[0])
-        self.places, self.large, self.low = take(np.uint32, n), take(np.uint32, n), take(np.uint8, count)
+        self.places, self.large, self.low = take(np.uint32, n), take(np.uint64, n), take(np.uint8, count)
 
     def __getitem__(self, at: np.ndarray) -> np.ndarray:
         out = self.low[at].astype(np.int64)
@@ -247,7 +247,7 @@ def merge_level(blobs: DataFrame, level: int, folder: str, bits: int) -> DataFra
         shard = key[0].as_py()
         columns, counts = _merged(table, level, level)
         heads, first, runs = np.unique(columns[0], return_index=True, return_counts=True)
-        add = lambda x: np.add.reduceat(x.astype(np.int64), first).astype(np.uint32) if len(first) else np.zeros(0, np.uint32)
+        add = lambda x: np.add.reduceat(x.astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
         grams = fold(columns[0], columns[-1])
         by = np.argsort(grams)
         values = [counts[by], add(counts), add(counts == 1), add(counts == 2), runs]
@@ -294,21 +294,28 @@ def _statistics(rows: DataFrame, level: int) -> list[int]:
     return list(rows.filter(F.col("level") == level).agg(*[F.coalesce(F.sum(n), F.lit(0)) for n in names]).first())
 
 
+def _present(rows: DataFrame, bits: int) -> str:
+    """Which shards have a file, a bit each, in hex."""
+    found = np.zeros(1 << max(bits, 3), np.uint8)
+    found[[r["shard"] for r in rows.filter("level = -1").select("shard").collect()]] = 1  # one number a shard
+    return np.packbits(found).tobytes().hex()
+
+
 def train(texts: DataFrame, order: int, folder: str | None = None, shard_bytes: int = SHARD_BYTES) -> str:
     """Counts the texts (column text) and writes the model; returns its folder."""
     folder = folder or shared_folder(texts.sparkSession, "ngrams")
     texts = texts.select("text")
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bits = max(1, (max(1, size // shard_bytes) - 1).bit_length())
-    state, levels = events(texts, order, bits), {}
+    state, levels, present = events(texts, order, bits), {}, {}
     for level in range(order, 1, -1):
         rows = written(merge_level(state, level, folder, bits), f"order{level}")
-        levels[level] = _statistics(rows, -1)
+        levels[level], present[level] = _statistics(rows, -1), _present(rows, bits)
         state = rows.filter("level >= 0").select("level", "shard", "data")
     rows = written(merge_words(state, folder), "words")
-    levels[1] = _statistics(rows, -1)
+    levels[1], present[1] = _statistics(rows, -1), _present(rows, bits)
     plain = _statistics(rows, -2)
-    meta = {"order": order, "bits": bits, "tokens": plain[5], "words": plain[4], "levels": {k: {"discounts": discounts(*v[:4]), "ones": v[0], "twos": v[1], "types": v[4], "total": v[5]} for k, v in levels.items()}}
+    meta = {"order": order, "bits": bits, "tokens": plain[5], "words": plain[4], "present": present, "levels": {k: {"discounts": discounts(*v[:4]), "ones": v[0], "twos": v[1], "types": v[4], "total": v[5]} for k, v in levels.items()}}
     put(f"{folder}/model.json", json.dumps(meta).encode())
     return folder
 
@@ -362,13 +369,13 @@ class Model:
         meta = json.loads(get(f"{folder}/model.json"))
         self.order, self.bits, self.n_tokens, self.n_words = meta["order"], meta["bits"], meta["tokens"], meta["words"]
         self.levels = {int(k): v for k, v in meta["levels"].items()}
+        self.present = {int(k): np.unpackbits(np.frombuffer(bytes.fromhex(v), np.uint8)) for k, v in meta["present"].items()}
 
     def shard(self, level: int, number: int) -> Shard | None:
+        """None for a range of hashes without an n-gram; a shard that was written and isn't there is an error."""
         if (level, number) not in self.shards:
-            try:
-                self.shards[level, number] = Shard(mapped(_shard_file(self.folder, level, number)), level == 1)
-            except FileNotFoundError:  # a range of hashes without an n-gram has no file
-                self.shards[level, number] = None
+            there = self.present[level][number]
+            self.shards[level, number] = Shard(mapped(_shard_file(self.folder, level, number)), level == 1) if there else None
         return self.shards[level, number]
 
     def _by_shard(self, level: int, heads: np.ndarray, width: int, look) -> list[np.ndarray]:
