@@ -134,20 +134,56 @@ def near_pairs(marked: DataFrame, most: int = 6) -> DataFrame:
     return met.filter(F.col("key") == first).select(F.col("id").alias("a"), "b", "distance")
 
 
-def first_come(ids: DataFrame, pairs: DataFrame, most: int = 50) -> DataFrame:
-    """(id, kept): in order of id, one is kept if no smaller kept id pairs with it; rounds until all are decided."""
+#: Links of a component up to which it is walked in one group; beyond, rounds over all links decide it.
+WALKED = 100_000
+
+
+def first_come(ids: DataFrame, pairs: DataFrame, walked: int = WALKED) -> DataFrame:
+    """(id, kept): in order of id, one is kept if no smaller kept id pairs with it.
+
+    A component of links is walked in order within a group, unless it has more than `walked` links. Those that do are decided by
+    rounds, each of which settles at least the smallest id left in each of them."""
+    from weftgraph.operators.lineage import cut
+    from weftgraph.operators.traverse import components
+
+    pairs = cut(pairs.select("a", "b").distinct())
+    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    part = cut(components(pairs.select(F.col("a").alias("source"), F.col("b").alias("target")), ends))
+    linked = pairs.join(part, pairs["a"] == part["id"]).select("a", "b", "component")
+    sizes = linked.groupBy("component").agg(F.count("*").alias("links"))
+    linked = cut(linked.join(sizes, "component"))
+    kind = pairs.schema["a"].dataType.simpleString()
+
+    def walk(group):
+        smaller: dict = {}
+        for a, b in zip(group["a"], group["b"], strict=True):
+            smaller.setdefault(a, []), smaller.setdefault(b, []).append(a)
+        kept: dict = {}
+        for id in sorted(smaller):
+            kept[id] = not any(kept[a] for a in smaller[id])
+        import pandas as pd
+
+        return pd.DataFrame({"id": list(kept), "kept": list(kept.values())})
+
+    decided = linked.filter(F.col("links") <= walked).groupBy("component").applyInPandas(walk, f"id {kind}, kept boolean")
+    large = linked.filter(F.col("links") > walked).select("a", "b")
+    if not large.isEmpty():
+        decided = decided.unionByName(_by_rounds(cut(large)))
+    return ids.select("id").join(decided, "id", "left").select("id", F.coalesce("kept", F.lit(True)).alias("kept"))
+
+
+def _by_rounds(pairs: DataFrame) -> DataFrame:
     from weftgraph.operators.lineage import cut
 
-    pairs = cut(pairs.select("a", "b"))
-    state = cut(ids.select("id").join(pairs.select(F.col("b").alias("id")).distinct().withColumn("_p", F.lit(1)), "id", "left").select("id", F.when(F.col("_p").isNull(), True).alias("kept")))
-    for _ in range(most):
+    later = pairs.select(F.col("b").alias("id")).distinct().withColumn("_p", F.lit(1))
+    state = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    state = cut(state.join(later, "id", "left").select("id", F.when(F.col("_p").isNull(), True).alias("kept")))
+    while not state.filter("kept IS NULL").isEmpty():
         s = state.select(F.col("id").alias("a"), F.col("kept").alias("ak"))
         votes = pairs.join(s, "a").groupBy("b").agg(F.bool_or(F.coalesce("ak", F.lit(False))).alias("blocked"), F.bool_and(F.coalesce(~F.col("ak"), F.lit(False))).alias("free"))
         new = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("blocked"), False).when(F.col("free"), True)
         state = cut(state.join(votes, state["id"] == votes["b"], "left").select("id", new.alias("kept")))
-        if state.filter("kept IS NULL").isEmpty():
-            return state
-    raise RuntimeError("duplicates did not settle")
+    return state
 
 
 # Patterns of personal data, their marks, and what they make a text.
