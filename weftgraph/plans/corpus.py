@@ -50,20 +50,20 @@ def dedup_simhash(spark, d):
 
 @q(
     "dedup_jaccard",
-    "WITH w AS (SELECT conv_id * 1000 + turn AS id, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: length(x) > 3)) AS k FROM conversations), x AS (SELECT id, unnest(k) AS g, len(k) AS n FROM w), s AS (SELECT a.id AS a, b.id AS b, count(*) AS c, max(a.n) + max(b.n) - count(*) AS u FROM x a JOIN x b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2) SELECT a, b, round(c / u, 6) AS jaccard FROM s WHERE c / u >= 0.5",
+    "WITH w AS (SELECT doc_id AS id, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: length(x) > 3)) AS k FROM documents), x AS (SELECT id, unnest(k) AS g, len(k) AS n FROM w), s AS (SELECT a.id AS a, b.id AS b, count(*) AS c, max(a.n) + max(b.n) - count(*) AS u FROM x a JOIN x b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2) SELECT a, b, round(c / u, 6) AS jaccard FROM s WHERE c / u >= 0.8",
     "C13 J16 U2 R25",
 )
 def dedup_jaccard(spark, d):
-    """Texts are blocked on their rarest words: two sets with a likeness of a half share one of each other's prefix."""
-    w = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: F.length(x) > 3)).alias("k"))
+    """Texts are blocked on their rarest words: two sets with a likeness of 0.8 share one of each other's prefix."""
+    w = documents(spark, d).select(F.col("doc_id").alias("id"), F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: F.length(x) > 3)).alias("k"))
     flat = w.select("id", F.explode("k").alias("g"))
     df = flat.groupBy("g").agg(F.count("*").alias("df"))
     ordered = flat.join(df, "g").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "g"))), lambda s: s["g"]).alias("k"))
-    prefix = F.slice("k", 1, F.size("k") - F.ceil(F.size("k") * 0.5).cast("int") + 1)
+    prefix = F.slice("k", 1, F.size("k") - F.ceil(F.size("k") * 0.8 - 1e-9).cast("int") + 1)
     keyed = ordered.select("id", "k", F.explode(prefix).alias("g"))
     other = keyed.select(F.col("id").alias("b"), F.col("k").alias("kb"), "g")
     pairs = keyed.join(other, "g").filter("id < b").select(F.col("id").alias("a"), "b", X.jaccard(F.col("k"), F.col("kb")).alias("jaccard")).distinct()
-    return pairs.filter("jaccard >= 0.5").withColumn("jaccard", F.round("jaccard", 6))
+    return pairs.filter("jaccard >= 0.8").withColumn("jaccard", F.round("jaccard", 6))
 
 
 @q(
@@ -230,12 +230,17 @@ def event_dates(spark, d):
     return e.select("event_id", F.date_format(day, "yyyy-MM-dd").alias("day"))
 
 
-@q("chunk_signals", "SELECT doc_id, n, s FROM (SELECT doc_id, row_number() OVER () AS n, 'x' AS s FROM documents) WHERE false", "C31 C33")
+#: The signals of a paragraph and words that show them in the languages of the tables.
+SIGNALS = {"problem": "not|nicht|pas|no", "solution": "with|mit|avec|con", "decision": "was|wird|sont|fue", "preference": "for|für|pour|para"}
+SIGNALS_SQL = " UNION ALL ".join(f"SELECT doc_id, n, '{k}' AS s FROM c WHERE regexp_matches(p, '(^|[^\\w])({words})([^\\w]|$)', 'i')" for k, words in SIGNALS.items())
+
+
+@q("chunk_signals", f"WITH t AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\\n\\s*\\n'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS ps FROM documents), c AS (SELECT doc_id, unnest(range(len(ps))) AS n, unnest(ps) AS p FROM t) {SIGNALS_SQL}", "C31 C33")
 def chunk_signals(spark, d):
-    """No document of these tables has one of the patterns; hand-made texts are in the tests."""
+    """The signals of each paragraph."""
     c = documents(spark, d).select("doc_id", F.posexplode(T.chunk_paragraphs(F.col("text"))).alias("n", "p"))
-    kinds = {"problem": r"(?i)\b(problem|issue|bug)\b", "solution": r"(?i)\b(fixed by|solution)\b", "decision": r"(?i)\bwe decided\b", "preference": r"(?i)\bI prefer\b"}
-    return c.select("doc_id", F.col("n").cast("long").alias("n"), F.explode(F.array_compact(F.array(*[F.when(F.col("p").rlike(r), k) for k, r in kinds.items()]))).alias("s"))
+    shown = [F.when(F.col("p").rlike(rf"(?iu)(^|[^\w])({words})([^\w]|$)"), k) for k, words in SIGNALS.items()]
+    return c.select("doc_id", F.col("n").cast("long").alias("n"), F.explode(F.array_compact(F.array(*shown))).alias("s"))
 
 
 @q("proximity_links", "SELECT conv_id, a, b, min(d)::BIGINT AS distance FROM (SELECT x.conv_id, x.role AS a, y.role AS b, y.turn - x.turn AS d FROM conversations x JOIN conversations y ON x.conv_id = y.conv_id AND y.turn - x.turn BETWEEN 1 AND 3) GROUP BY 1, 2, 3", "C32")

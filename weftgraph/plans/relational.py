@@ -41,11 +41,11 @@ S("node_filter_eq", "SELECT id, c_name FROM Customer WHERE c_mktsegment = 'BUILD
 S("node_filter_coerced", "SELECT id FROM Part WHERE p_size = '7'", "SELECT 'P:' || p_partkey AS id FROM part WHERE p_size = 7", "P5")
 S("node_filter_ne", "SELECT id, o_orderstatus FROM Order WHERE o_orderstatus <> 'O'", "SELECT 'O:' || o_orderkey AS id, o_orderstatus FROM orders WHERE o_orderstatus IS DISTINCT FROM 'O'", "P6")
 S("node_filter_range", "SELECT id, c_acctbal FROM Customer WHERE c_acctbal >= 1000 AND c_acctbal < 5000.5", "SELECT 'C:' || c_custkey AS id, c_acctbal FROM customer WHERE c_acctbal >= 1000 AND c_acctbal < 5000.5", "S7 P7 P13")
-S("node_filter_contains", "SELECT id, p_name FROM Part WHERE p_name CONTAINS 'PART1'", "SELECT 'P:' || p_partkey AS id, p_name FROM part WHERE contains(lower(p_name), 'part1')", "P8")
-S("node_filter_prefix_suffix", "SELECT id, p_name FROM Part WHERE p_name STARTS WITH 'Part' AND p_name ENDS WITH '5'", "SELECT 'P:' || p_partkey AS id, p_name FROM part WHERE starts_with(p_name, 'Part') AND ends_with(p_name, '5')", "P9")
+S("node_filter_contains", "SELECT id, p_name FROM Part WHERE p_name CONTAINS 'WIDGET'", "SELECT 'P:' || p_partkey AS id, p_name FROM part WHERE contains(lower(p_name), 'widget')", "P8")
+S("node_filter_prefix_suffix", "SELECT id, p_name FROM Part WHERE p_name STARTS WITH 'small' AND p_name ENDS WITH 'gear'", "SELECT 'P:' || p_partkey AS id, p_name FROM part WHERE starts_with(p_name, 'small') AND ends_with(p_name, 'gear')", "P9")
 S("node_filter_in_between", "SELECT id, p_size FROM Part WHERE p_size IN (1, 5, 9) OR (p_size BETWEEN 20 AND 22 AND p_brand NOT IN ('Brand#1', 'Brand#2'))", "SELECT 'P:' || p_partkey AS id, p_size FROM part WHERE p_size IN (1, 5, 9) OR (p_size BETWEEN 20 AND 22 AND p_brand NOT IN ('Brand#1', 'Brand#2'))", "P10 P11")
 S("node_filter_boolean", "MATCH NODE Order WHERE NOT (o_totalprice > 50000 OR o_orderpriority = '1-URGENT') RETURN Order.id AS id, o_totalprice", "SELECT 'O:' || o_orderkey AS id, o_totalprice FROM orders WHERE NOT (o_totalprice > 50000 OR o_orderpriority = '1-URGENT')", "P13 P15 P3")
-S("node_filter_similar", "SELECT id, p_name FROM Part WHERE p_name SIMILAR TO '1[0-3]$'", "SELECT 'P:' || p_partkey AS id, p_name FROM part WHERE regexp_matches(p_name, '1[0-3]$')", "P12")
+S("node_filter_similar", "SELECT id, p_name FROM Part WHERE p_name SIMILAR TO '^[bc].* r[aeo]d$'", "SELECT 'P:' || p_partkey AS id, p_name FROM part WHERE regexp_matches(p_name, '^[bc].* r[aeo]d$')", "P12")
 S("node_filter_null", "SELECT id FROM Customer WHERE missing IS NULL AND c_custkey < 50", "SELECT 'C:' || c_custkey AS id FROM customer WHERE c_custkey < 50", "P7")
 S("let_variable", "LET $seg = 'MACHINERY'; LET $low = 10; SELECT id FROM Customer WHERE c_mktsegment = $seg AND c_custkey > $low", "SELECT 'C:' || c_custkey AS id FROM customer WHERE c_mktsegment = 'MACHINERY' AND c_custkey > 10", "P33 P35")
 S("project_alias_limit", "SELECT o_orderkey AS k, o_totalprice AS price FROM Order ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 5", "SELECT o_orderkey AS k, o_totalprice AS price FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 5", "P1 T1 T2 T3 T4")
