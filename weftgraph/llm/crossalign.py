@@ -39,7 +39,7 @@ from weftgraph.llm.merge_rounds import byte_symbols
 from weftgraph.llm.shared import get, pieces, put, shared_folder, written
 
 #: Bytes of text of a block, and bits of its number that count the blocks of a task.
-BLOCK_BYTES, BLOCK_BITS = 16 << 20, 20
+BLOCK_BYTES, BLOCK_BITS = 12 << 20, 20
 #: Documents and bytes of text of a block that are worked on together.
 SLICE_DOCS, SLICE_BYTES = 4096, 1 << 19
 #: Rows of segments that are aligned together.
@@ -229,6 +229,7 @@ def blocks(docs: DataFrame, two: tuple[str, str], folder: str, size: int = BLOCK
             _put(f"{folder}/{block}.docs", held)
             out = pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([list(known)], pa.list_(pa.string()))], names=["block", "segments"])
             known, held, upto, block = Numbering(), [], 0, block + 1
+            pa.default_memory_pool().release_unused()
             return out
 
         for batch in batches:
@@ -306,6 +307,8 @@ def _counted(folder: str):
             at = _places(starts[code], parts.n_links[code])
             once = np.unique(np.repeat(document, parts.n_links[code]) * max(1, len(pairs)) + which[at])
             counts += np.bincount(once % max(1, len(pairs)), minlength=len(pairs)).astype(np.int32)
+        del parts, which, packed, rows
+        pa.default_memory_pool().release_unused()
         held = counts > 0
         pairs, counts = pairs[held], counts[held]
         first = np.flatnonzero(np.diff(pairs >> ROW_BITS, prepend=-1))
@@ -364,6 +367,8 @@ def _composed(folder: str):
             texts = pc.if_else(pa.array(fine), pc.binary_slice(texts, 0, -1), pa.scalar(b"", pa.large_binary()))
             out["groups"] = texts.cast(pa.large_string()).cast(pa.string())
             yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+        del parts, shown, sums
+        pa.default_memory_pool().release_unused()
 
     return run
 
