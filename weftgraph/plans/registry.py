@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from weftgraph.catalog import Catalog
-from weftgraph.plans import corpus, entities, events, graphs, kept, messages, relational, routes
+from weftgraph.plans import corpus, entities, events, graphs, hybrids, kept, messages, relational, routes
 
 CATALOG = Catalog()
-for module in (relational, events, graphs, corpus, entities, messages, kept, routes):
+for module in (relational, events, graphs, corpus, entities, messages, kept, routes, hybrids):
     for name, one in module.CATALOG.items():
         CATALOG.add(name, one.sql, one.covers)(one.run)
