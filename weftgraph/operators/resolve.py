@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -204,16 +203,3 @@ def structure(columns: list[str]) -> str:
     """edge_list, node_list or records."""
     roles = column_roles(columns)
     return "edge_list" if {"source", "target"} <= roles.keys() else "node_list" if "name" in roles or "id" in roles else "records"
-
-
-def cron_due(expression: str, at: datetime) -> bool:
-    """Whether minute hour day month weekday (0 is Sunday) of the instant match; lists, ranges and steps."""
-    values = (at.minute, at.hour, at.day, at.month, (at.weekday() + 1) % 7)
-    limits = ((0, 59), (0, 23), (1, 31), (1, 12), (0, 6))
-
-    def fits(part: str, v: int, low: int, high: int) -> bool:
-        span, _, step = part.partition("/")
-        a, b = (low, high) if span == "*" else map(int, span.split("-")) if "-" in span else (int(span), high if step else int(span))
-        return a <= v <= b and (v - a) % int(step or 1) == 0
-
-    return all(any(fits(p, v, *lim) for p in f.split(",")) for f, v, lim in zip(expression.split(), values, limits, strict=True))
