@@ -40,10 +40,40 @@ def test_cuts_are_exact(spark, ranges, n, shards):
     if not rest:  # each group has a shard of its own
         assert cuts == [] and len(giants) == n
         return
-    capacity, ends = exact([s for _, s in rest], shards - len(giants))
-    firsts = [rest[e][0] for e in ends if e < len(rest)]
-    got = [max(k for k in [min(x for x, _ in rest), *[x for x, _ in rest]] if k < c) for c in cuts]
-    assert got == [max(x for x, _ in rest if x < f) for f in firsts]
+    m = shards - len(giants)
+    capacity, _ = exact([s for _, s in rest], m)
+    starts = [0, *[next(n for n, (k, _) in enumerate(rest) if k >= c) for c in cuts], len(rest)]
+    loads = [sum(s for _, s in rest[x:y]) for x, y in zip(starts, starts[1:])]
+    assert max(loads) == capacity if len(rest) < m else max(loads) <= capacity and len(loads) <= m
+    # each cut is as near to its share as the walks from both ends at that capacity allow
+    upto = [0, *accumulate(s for _, s in rest)]
+    left, right, x, y = [], [], 0, upto[-1]
+    for _ in range(m - 1):
+        x = max(u for u in upto if u <= x + capacity)
+        y = min(u for u in upto if u >= y - capacity)
+        left.append(x), right.append(y)
+    before, want = 0, set()
+    for k, (least, most) in enumerate(zip(right[::-1], left), 1):
+        most = max(u for u in upto if u <= min(most, before + capacity))
+        near = min(upto, key=lambda u: (abs(u - upto[-1] * k // m), u))
+        before = min(max(near, least, before), most)
+        want.add(before)
+    assert [upto[n] for n in starts[1:-1]] == sorted(w for w in want if 0 < w < upto[-1])
+    if n > 100:
+        assert min(loads) > sum(loads) / m - 2 * 400
+
+
+def test_query_on_whole_table(spark):
+    import pandas as pd
+
+    from weftgraph.llm.queries_sharding import op7_minimax_shards
+
+    docs = pd.read_parquet("/root/testdata/sf0.01/documents.parquet")
+    out = op7_minimax_shards(spark, "/root/testdata/sf0.01").toPandas()
+    assert sorted(zip(out.doc_id, out["size"], out.text_crc32)) == sorted((i, len(t.encode()) + 8, zlib.crc32(t.encode())) for i, t in zip(docs.doc_id, docs.text))
+    loads = out.groupby("shard")["size"].sum()
+    assert len(loads) == 24 and loads.max() / loads.min() < 1.3 and set(out.law) == {"bytes"}
+    assert all(sorted(g) == list(range(len(g))) for _, g in out.groupby("shard").slot)
 
 
 def test_rows(spark):

@@ -2,7 +2,8 @@
 
 Rows with equal texts form a group that stays whole. Groups are ordered by a digest of the text, and the
 smallest capacity is searched with which a greedy walk over that order needs no more than the given
-shards; the cuts are those of that walk. Groups above the mean size of a shard come first in the order and
+shards. At that capacity each cut is placed next to its equal share of the whole, as far as the walks from both
+ends allow, so that no shard is left nearly empty. Groups above the mean size of a shard come first in the order and
 get shards of their own, so that they don't set the capacity of all others. As the order follows from the
 text, so does a row's shard, given the cut keys: no join brings groups and rows together.
 
@@ -100,6 +101,10 @@ class Walk:
         """Blocks of several groups in which a cut may fall at the capacities that are still possible."""
         least, most = self.low(self.smallest(self.high)), self.high(self.smallest(self.low))
         found: dict[int, Block] = {}
+        for share in self._shares():
+            k = min(bisect_right(self.upto, share) - 1, len(self.blocks) - 1)
+            if self.blocks[k].groups > 1:
+                found[k] = self.blocks[k]
         for a, b in zip(least, most, strict=True):
             if a < b:
                 for k in range(max(0, bisect_right(self.upto, a) - 1), min(bisect_left(self.upto, b), len(self.blocks))):
@@ -107,11 +112,29 @@ class Walk:
                         found[k] = self.blocks[k]
         return list(found.values())
 
+    def _shares(self) -> list[int]:
+        """Where the cuts would be if groups could be cut."""
+        return [self.upto[-1] * k // self.shards for k in range(1, self.shards)]
+
     def cuts(self) -> list[tuple[int, int]]:
-        """Keys at which a new shard begins; only without open blocks."""
-        ends = self.low(self.smallest(self.low))
-        places = sorted({x for x in ends if 0 < x < self.upto[-1]})
-        return [self.blocks[bisect_left(self.upto, x)].key for x in places]
+        """Keys at which a new shard begins; only without open blocks.
+
+        A cut may lie between the place that the walk from the end needs and the one that the walk from the start
+        reaches; there it is put as near to its share as can be, the lower one of two."""
+        capacity = self.smallest(self.low)
+        reached = self.low(capacity)
+        needed, at = [], self.upto[-1]
+        for _ in range(self.shards - 1):
+            at = self.upto[bisect_left(self.upto, at - capacity)]
+            needed.append(at)
+        places, before = set(), 0
+        for share, least, most in zip(self._shares(), needed[::-1], reached, strict=False):
+            most = self._floor(min(most, before + capacity))
+            k = bisect_right(self.upto, share) - 1
+            near = self.upto[k] if k + 1 == len(self.upto) or share - self.upto[k] <= self.upto[k + 1] - share else self.upto[k + 1]
+            before = min(max(near, least, before), most)
+            places.add(before)
+        return [self.blocks[bisect_left(self.upto, x)].key for x in sorted(places) if 0 < x < self.upto[-1]]
 
 
 def _totals(groups: DataFrame, bits: int) -> list[Block]:
