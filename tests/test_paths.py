@@ -61,6 +61,35 @@ def test_what_if(spark):
     assert got == {k: v for k, v in pairs.items() if v[0] != v[1]} and got
 
 
+def test_a_signal_spreads_by_direction(spark):
+    rng = random.Random(3)
+    links = {(f"n{rng.randrange(8)}", f"n{rng.randrange(8)}"): (rng.choice([0.5, 0.9, 1.0]), rng.random() < 0.3) for _ in range(22)}
+    links = [(a, b, *v) for (a, b), v in links.items() if a != b]
+    df = spark.createDataFrame(links, "source string, target string, weight double, lateral boolean")
+
+    def near(node, directions):
+        for name in directions:
+            if name == "downstream":
+                yield from sorted((b, w, name) for a, b, w, side in links if a == node and not side)
+            elif name == "upstream":
+                yield from sorted((a, w * 0.5, name) for a, b, w, side in links if b == node and not side)
+            else:
+                # of two links between the same peers the stronger counts
+                yield from sorted(((b if a == node else a, w * 0.7, name) for a, b, w, side in links if node in (a, b) and side), key=lambda r: (r[0], -r[1]))
+
+    for directions in (("downstream", "upstream", "lateral"), ("downstream",), ("upstream", "lateral")):
+        want, queue = {}, deque([("n0", 1.0, 0)])
+        while queue:
+            node, weight, hop = queue.popleft()
+            if hop < 4:
+                for other, w, name in near(node, directions):
+                    if other != "n0" and other not in want and weight * w >= 0.1:
+                        want[other] = (round(weight * w, 6), hop + 1, name)
+                        queue.append((other, weight * w, hop + 1))
+        got = paths.spread(df, spark.createDataFrame([("n0",)], "id string"), 4, 0.1, directions)
+        assert {r.id: (round(r.weight, 6), r.hops, r.direction) for r in got.collect()} == want
+
+
 def test_names_in_texts(spark):
     nodes = spark.createDataFrame([("1", "Crude Oil"), ("2", "crude"), ("3", "Oil"), ("4", None), ("5", ""), ("6", "crude oil")], "id string, name string")
     texts = spark.createDataFrame([(1, "crude oil rises"), (2, "OIL!"), (3, "nothing"), (4, None)], "text_id int, text string")

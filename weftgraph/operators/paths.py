@@ -7,6 +7,8 @@ in which a queue would give them if each node's edges are taken by type and end.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +57,23 @@ def impact(edges: DataFrame, sources: DataFrame, hops: int = 3, least: float = 0
     return found.select("start", "id", F.round("strength", 4).alias("strength"), F.col("distance").alias("hops"), "path", "types")
 
 
+# What a signal keeps of its weight along a link, against it, and between peers.
+DIRECTIONS = {"downstream": 1.0, "upstream": 0.5, "lateral": 0.7}
+
+
+def spread(links: DataFrame, starts: DataFrame, hops: int = 5, least: float = 0.1, directions: tuple[str, ...] = tuple(DIRECTIONS)) -> DataFrame:
+    """(start, id, weight, hops, direction, path): how a signal spreads from starts.id. links: source (above), target (below), weight
+    and lateral, whether the two are peers. A node's neighbours below are taken first, then those above, then its peers."""
+    parts = []
+    for n, name in enumerate(DIRECTIONS):
+        if name in directions:
+            some = links.filter(F.col("lateral") == (name == "lateral"))
+            both = [("target", "source")] if name == "upstream" else [("source", "target")] + ([("target", "source")] if name == "lateral" else [])
+            parts += [some.select(F.col(a).alias("source"), F.col(b).alias("target"), F.lit(f"{n} {name}").alias("type"), (F.col("weight") * DIRECTIONS[name]).alias("weight")) for a, b in both]
+    found = first_visits(reduce(DataFrame.unionByName, parts), starts.select("id"), hops, F.col("weight"), least)
+    return found.select("start", "id", F.col("strength").alias("weight"), F.col("distance").alias("hops"), F.substring(F.element_at("types", -1), 3, 10).alias("direction"), "path")
+
+
 def overlaid(edges: DataFrame, changed: DataFrame) -> DataFrame:
     """The edges as they would be: changed has source, target, type, weight, decay and `removed`; new edges are added."""
     key = ["source", "target", "type"]

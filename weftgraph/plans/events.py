@@ -238,7 +238,7 @@ def percentile_tiers(spark, d):
 @q(
     "user_sessions",
     "SELECT user_id, session::BIGINT AS session, count(*) AS n FROM (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 14400000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM (SELECT *, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS gap FROM events)) GROUP BY 1, 2",
-    "X7 X8",
+    "X7",
 )
 def user_sessions(spark, d):
     return A.sessions(events(spark, d), "user_id", "ts", 14400, "event_id").groupBy("user_id", "session").agg(F.count("*").alias("n"))

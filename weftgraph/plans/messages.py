@@ -79,6 +79,22 @@ def change_groups(spark, d):
     return out
 
 
+LATE = "WITH b AS (SELECT event_id, ts, event_id % 3 AS batch FROM events), m AS (SELECT batch, max(ts) AS latest FROM b GROUP BY 1) SELECT event_id, batch, coalesce(ts < (SELECT max(latest) FROM m WHERE m.batch < b.batch) - INTERVAL 20 DAY, false) AS late FROM b"
+
+
+@q("late_rows", LATE, "X13")
+def late_rows(spark, d):
+    """Three publications, a batch each; rows twenty days behind what came in earlier batches are put aside."""
+    folder = scratch(spark)
+    events = table(spark, d, "events")
+    for k in range(3):
+        logs.publish(logs.as_messages(events.filter(F.col("event_id") % 3 == k), "user_id", "ts"), f"{folder}/log", 2)
+        C.consume(spark, f"{folder}/log", "g", C.lateness(folder, "timestamp", 20 * 86400), f"{folder}/checkpoint", 1 << 40)
+    read = lambda name: spark.read.schema(f"{logs.SCHEMA}, batch long").parquet(f"{folder}/{name}")
+    both = read("rows").withColumn("late", F.lit(False)).unionByName(read("late").withColumn("late", F.lit(True)))
+    return both.select(F.get_json_object("value", "$.event_id").cast("long").alias("event_id"), "batch", "late")
+
+
 @q("load_api", "SELECT c_custkey, c_name, c_nationkey FROM customer", "S12")
 def load_api(spark, d):
     """Customers as pages with links, a chain for each nation, and read back by following them."""

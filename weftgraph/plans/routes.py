@@ -22,9 +22,9 @@ CASES = " ".join(f"WHEN '{t}' THEN {{{k}}}" for k, t in enumerate(FACTORS))
 EDGES = f"e AS (SELECT source, target, type, w * CASE type {CASES.format(*[f'{w}::DOUBLE' for w, _ in FACTORS.values()])} END AS weight, CASE type {CASES.format(*[f'{x}::DOUBLE' for _, x in FACTORS.values()])} END AS decay FROM ({RAW}))"
 
 
-def _impact_sql(edges: str = "e", n: str = "", hops: int = 3) -> str:
+def _impact_sql(edges: str = "e", n: str = "", hops: int = 3, starts: str = "SELECT 'C:' || c_custkey AS id FROM customer WHERE c_custkey % 50 = 0") -> str:
     """Levels of the queue: f<d>, then all of them as found."""
-    parts = [f"{n}f0 AS (SELECT 'C:' || c_custkey AS start, 'C:' || c_custkey AS id, 1.0::DOUBLE AS s, ['C:' || c_custkey] AS path, []::VARCHAR[] AS queue FROM customer WHERE c_custkey % 50 = 0)"]
+    parts = [f"{n}f0 AS (SELECT id AS start, id, 1.0::DOUBLE AS s, [id] AS path, []::VARCHAR[] AS queue FROM ({starts}))"]
     for d in range(1, hops + 1):
         seen = " UNION ALL ".join(f"SELECT start, id FROM {n}f{k}" for k in range(d))
         parts.append(
@@ -68,6 +68,24 @@ def impact_what_if(spark, d):
     return found.select("start", "id", F.round("before", 3).alias("before"), F.round("after", 3).alias("after"))
 
 
+LINKS = """l AS (SELECT 'R:' || n_regionkey AS source, 'N:' || n_nationkey AS target, 0.9::DOUBLE AS weight, false AS peer FROM nation UNION ALL SELECT 'N:' || s_nationkey, 'S:' || s_suppkey, 0.8, false FROM supplier
+ UNION ALL SELECT 'N:' || n_nationkey, 'N:' || (n_nationkey + 1), 0.6, true FROM nation WHERE n_nationkey < 24),
+ e AS (SELECT source, target, '0 downstream' AS type, weight * 1.0::DOUBLE AS weight, 0.0::DOUBLE AS decay FROM l WHERE NOT peer UNION ALL SELECT target, source, '1 upstream', weight * 0.5::DOUBLE, 0.0 FROM l WHERE NOT peer
+ UNION ALL SELECT source, target, '2 lateral', weight * 0.7::DOUBLE, 0.0 FROM l WHERE peer UNION ALL SELECT target, source, '2 lateral', weight * 0.7::DOUBLE, 0.0 FROM l WHERE peer)"""
+SPREAD = _impact_sql("e", "", 4, "SELECT 'S:' || s_suppkey AS id FROM supplier WHERE s_suppkey % 50 = 0")
+
+
+@q("signal_spread", f"WITH {LINKS}, {SPREAD} SELECT start, id, round(s, 6) AS weight, hops, array_to_string(path, '>') AS path FROM found", "G18")
+def signal_spread(spark, d):
+    """A signal of a supplier: up to its nation and region, across to the nations beside it, and down again."""
+    g = graph_of_tables(spark, d)
+    down = g.all_edges(["IN_REGION", "BASED_IN"]).select(F.col("target").alias("source"), F.col("source").alias("target"), F.when(F.col("type") == "IN_REGION", 0.9).otherwise(0.8).alias("weight"), F.lit(False).alias("lateral"))
+    nations = g.scan("Nation")
+    beside = nations.filter("n_nationkey < 24").select(F.col("id").alias("source"), F.concat(F.lit("N:"), F.col("n_nationkey") + 1).alias("target"), F.lit(0.6).alias("weight"), F.lit(True).alias("lateral"))
+    found = paths.spread(down.unionByName(beside), g.scan("Supplier").filter("s_suppkey % 50 = 0"), 4)
+    return found.select("start", "id", F.round("weight", 6).alias("weight"), "hops", F.array_join("path", ">").alias("path"))
+
+
 LINEAGE = """WITH s AS (SELECT 'S:' || s_suppkey AS start, s_suppkey AS k, s_nationkey AS n FROM supplier WHERE s_suppkey % 50 = 0)
 SELECT start, 0 AS step, 0 AS depth, start AS id FROM s UNION ALL SELECT start, 1, 1, 'N:' || n FROM s UNION ALL SELECT start, 2, 2, 'R:' || n_regionkey FROM s JOIN nation ON n_nationkey = n"""
 

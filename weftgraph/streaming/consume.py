@@ -13,6 +13,28 @@ from weftgraph.sources.logs import LIMIT, Folder, subscribe
 #: Messages a poll of a topic's connector and of a pipeline's stream take.
 POLL, STREAM_POLL = LIMIT, 100
 
+def lateness(folder: str, ts: str, delay_seconds: int) -> Callable[[DataFrame, int], None]:
+    """Work for `consume` with late rows put aside: what is older than the latest time of all earlier batches less the delay goes to
+    folder/late, the rest to folder/rows, each under its batch. The latest time is kept with the batch's number, so a batch that
+    comes again is split the same way."""
+    marks = Folder(folder)
+
+    def work(batch: DataFrame, number: int) -> None:
+        before = (marks.get(f"marks/{number - 1}.json") or {}).get("latest") if number else None
+        micros = F.unix_micros(ts)
+        late = F.lit(False) if before is None else F.coalesce(micros < before - delay_seconds * 1_000_000, F.lit(False))
+        batch = batch.persist()
+        try:
+            batch.filter(~late).write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+            batch.filter(late).write.mode("overwrite").parquet(f"{folder}/late/batch={number}")
+            latest = batch.agg(F.max(micros)).first()[0]
+        finally:
+            batch.unpersist()
+        marks.put(f"marks/{number}.json", {"latest": max((x for x in (before, latest) if x is not None), default=None)})
+
+    return work
+
+
 DOCUMENT = "title string, content string, text string, url string, timestamp string, tags array<string>, doc_type string"
 
 
