@@ -162,3 +162,26 @@ def escalation_expiry(spark, d):
     errors = stream(spark, d).filter("event_type = 'error'")
     rows = state.escalations(errors, "user_id", "event_type", "ts", 3, timedelta(hours=24), timedelta(hours=48), "0 seconds")
     return stamped(ended(spark, rows), "escalated_at", "deescalate_at").withColumnRenamed("key", "user_id")
+
+
+# -- files whose format isn't told ----------------------------------------------------------------------------------
+
+
+@q("records_sniffed", "SELECT 'csv' AS format, '' AS record_type, 'name: ' || c_name || '; key: ' || c_custkey AS content FROM customer UNION ALL SELECT 'jsonl', 'Product', 'name: ' || p_name || '; price: ' || p_size || '; sku: ' || p_partkey FROM part UNION ALL SELECT 'json_array', '', 'id: ' || s_suppkey || '; nation: ' || s_nationkey FROM supplier", "S14")
+def records_sniffed(spark, d):
+    """Three tables written as CSV, JSON lines and JSON arrays into one folder, and read without being told which is which."""
+    import pyarrow as pa
+
+    from weftgraph.sources import records
+
+    folder = scratch(spark)
+    table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name")).write.csv(f"{folder}/a", header=True, sep=";")
+    table(spark, d, "part").select(F.col("p_size").cast("string").alias("price"), F.col("p_partkey").cast("string").alias("sku"), F.col("p_name").alias("name")).write.json(f"{folder}/b")
+    rows = table(spark, d, "supplier").select(F.to_json(F.struct(F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("id"))).alias("value"))
+
+    def arrays(batches):  # an array for each task's file
+        held = [v for b in batches for v in b.column("value").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([f"[{', '.join(held)}]"])], names=["value"])
+
+    rows.repartition(4).mapInArrow(arrays, "value string").write.text(f"{folder}/c")
+    return records.read_records(spark, folder).select("format", "record_type", "content")

@@ -82,6 +82,10 @@ def load(spark: SparkSession, kind: str, path: str, options: dict) -> DataFrame:
         starts = json.loads(path) if path.startswith("[") else [path]
         named = {k: str(options[k]) for k in ("items", "next", "method", "headers", "params") if k in options}
         return read_pages(spark, starts, options.get("schema"), paged=str(options.get("pagination", True)).lower(), **named)
+    if kind == "RECORDS":
+        from weftgraph.sources.records import read_records
+
+        return read_records(spark, path)
     if kind in ("PARQUET", "ORC"):
         return spark.read.format(kind.lower()).load(path)
     raise ValueError(f"no reader for {kind}")
