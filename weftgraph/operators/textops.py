@@ -134,6 +134,29 @@ def near_pairs(marked: DataFrame, most: int = 6) -> DataFrame:
     return met.filter(F.col("key") == first).select(F.col("id").alias("a"), "b", "distance")
 
 
+def summary(text: Column, size: int) -> Column:
+    """The first characters, up to the last space if that is in the second half."""
+    head = F.substring(text, 1, size)
+    space = F.length(head) - F.instr(F.reverse(head), " ")
+    at = F.when(F.instr(head, " ") > 0, space).otherwise(-1)
+    return F.when(F.length(text) <= size, text).otherwise(F.concat(F.when(at > size // 2, F.substring(head, F.lit(1), at)).otherwise(head), F.lit("...")))
+
+
+def at_tier(text: Column, tier: Column, label: Column, confidence: Column, size: int = 200) -> Column:
+    """What is shown of a text: all of it (tier 0), a summary (1), what it is (2), nothing (3)."""
+    about = F.concat(F.lit("["), label, F.lit("] ~"), F.greatest(F.lit(1), F.floor(F.length(text) / 4)), F.lit(" tokens, confidence: "), F.format_number(confidence, 2))
+    return F.when(tier == 0, text).when(tier == 1, summary(text, size)).when(tier == 2, about).otherwise("")
+
+
+def consolidated(df: DataFrame, text: str, confidence: str, at: str, id: str) -> DataFrame:
+    """One row for each beginning of a text (50 characters, lower case, trimmed): the one of the highest confidence (then the
+    smallest id), with the latest time of all of them, and how many they were."""
+    key = F.trim(F.lower(F.substring(text, 1, 50)))
+    best = F.min_by(F.struct(*df.columns), F.struct(-F.col(confidence), F.col(id)))
+    out = df.groupBy(key.alias("_k")).agg(best.alias("r"), F.max(at).alias("_at"), F.count("*").alias("merged"))
+    return out.select("r.*", "_at", "merged").withColumn(at, F.col("_at")).drop("_at")
+
+
 #: Links of a component up to which it is walked in one group; beyond, rounds over all links decide it.
 WALKED = 100_000
 

@@ -260,3 +260,19 @@ def quality_score(spark, d):
 def schema_gate(spark, d):
     checks = {"c_acctbal": F.col("c_acctbal") >= 0, "c_mktsegment": F.col("c_mktsegment").isin("BUILDING", "MACHINERY")}
     return table(spark, d, "customer").select("c_custkey", F.concat_ws(",", *[F.when(~F.coalesce(ok, F.lit(False)), k) for k, ok in checks.items()]).alias("failed"))
+
+
+@q("compressed_items", "SELECT doc_id, md5(CASE WHEN n_chars >= 3000 THEN text WHEN n_chars >= 1000 THEN CASE WHEN length(text) <= 200 THEN text ELSE CASE WHEN contains(text[1:200], ' ') AND 200 - strpos(reverse(text[1:200]), ' ') > 100 THEN text[1:200 - strpos(reverse(text[1:200]), ' ')] ELSE text[1:200] END || '...' END WHEN n_chars >= 100 THEN '[' || lang || '] ~' || greatest(1, length(text) // 4) || ' tokens, confidence: 0.80' ELSE '' END) AS digest FROM documents", "C36")
+def compressed_items(spark, d):
+    """Documents by length: whole, summed up, named, or left out."""
+    n = F.col("n_chars")
+    tier = F.when(n >= 3000, 0).when(n >= 1000, 1).when(n >= 100, 2).otherwise(3)
+    return documents(spark, d).select("doc_id", F.md5(T.at_tier(F.col("text"), tier, F.col("lang"), F.lit(0.8)).cast("binary")).alias("digest"))
+
+
+@q("consolidated_memories", "WITH m AS (SELECT doc_id, trim(lower(substr(text, 1, 50)), ' ') AS k, (n_chars % 97) / 97.0 AS c, TIMESTAMP '2024-01-01' + to_days(CAST(doc_id % 300 AS INTEGER)) AS latest FROM documents) SELECT arg_min(doc_id, (-c, doc_id)) AS doc_id, strftime(max(latest), '%Y-%m-%d') AS latest, count(*) AS merged FROM m GROUP BY k", "E17")
+def consolidated_memories(spark, d):
+    """Texts that begin alike become one, with the highest confidence and the latest time."""
+    at = F.timestamp_seconds(F.lit(1704067200) + (F.col("doc_id") % 300) * 86400)
+    m = documents(spark, d).select("doc_id", "text", ((F.col("n_chars") % 97) / 97.0).alias("confidence"), at.alias("latest"))
+    return T.consolidated(m, "text", "confidence", "latest", "doc_id").select("doc_id", F.date_format("latest", "yyyy-MM-dd").alias("latest"), "merged")

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from weftgraph.catalog import Catalog
 from weftgraph.lang import Session
-from weftgraph.operators.graph import graph_of_tables
+from weftgraph.operators.checkpoints import Checkpoints
+from weftgraph.operators.graph import PropertyGraph, graph_of_tables
 from weftgraph.operators.indexes import SparseIndex
 from weftgraph.operators.lineage import fresh_folder
 from weftgraph.operators.matviews import Aggregate, MaterializedView, of_log
@@ -82,3 +83,24 @@ def index_range(spark, d):
     session = Session(spark, graph_of_tables(spark, d))
     session.run("CREATE INDEX dates ON Order (o_orderdate) TYPE TEMPORAL")
     return session.run("SELECT o_orderkey, o_totalprice AS price FROM Order WHERE o_orderdate >= '1996-03-01' AND o_orderdate < '1996-04-01' AND o_orderstatus = 'O'").withColumn("price", F.round("price", 2))
+
+
+@q("checkpoints", "SELECT 'before' AS name, NULL AS parent, count(*) AS customers, round(sum(c_acctbal), 2) AS total FROM customer UNION ALL SELECT 'third', 'before', count(*), round(sum(CASE WHEN c_acctbal < 0 THEN 0 ELSE c_acctbal END), 2) FROM customer WHERE c_nationkey <> 3", "M16")
+def checkpoints(spark, d):
+    """Three states of customers and nations, the middle one deleted, the others restored and counted."""
+    g = graph_of_tables(spark, d)
+    graph = PropertyGraph().with_nodes("Customer", g.scan("Customer")).with_nodes("Nation", g.scan("Nation")).with_edges("LIVES_IN", g.edges["LIVES_IN"])
+    kept = Checkpoints(spark, fresh_folder(spark, "checkpoints"))
+    session = Session(spark, graph)
+    kept.save(session.graph, "before")
+    session.run("DELETE NODE Customer WHERE c_nationkey = 3")
+    kept.save(session.graph, "second")
+    session.run("UPDATE NODE Customer SET c_acctbal = 0 WHERE c_acctbal < 0")
+    kept.save(session.graph, "third")
+    kept.delete("second")
+    out = None
+    for r in kept.list().collect():  # one row a checkpoint
+        sums = kept.restore(r.name).scan("Customer").agg(F.count("*").alias("customers"), F.round(F.sum("c_acctbal"), 2).alias("total"))
+        one = sums.select(F.lit(r.name).alias("name"), F.lit(r.parent).cast("string").alias("parent"), "customers", "total")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -76,7 +76,8 @@ S("induced_edges", "FIND NODES WHERE label IN ('Nation', 'Region')", "SELECT 'N:
 S("traverse_depth", "TRAVERSE FROM Customer WHERE c_custkey = 11 VIA (PLACED, CONTAINS) TO Part MAX DEPTH 2 RETURN Part.id AS id, distance", "SELECT DISTINCT 'P:' || l_partkey AS id, 2 AS distance FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey = 11", "G1")
 S("hop_query", "HOP FROM Supplier TO Region DEPTH 2", "SELECT DISTINCT 'R:' || r_regionkey AS id, r_name AS name, r_regionkey, r_name, 2 AS distance FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey", "G13")
 S("neighbors", "NEIGHBORS FROM Nation WHERE n_nationkey = 4 VIA (LIVES_IN, IN_REGION) DEPTH 1 RETURN id, label", "SELECT 'C:' || c_custkey AS id, 'Customer' AS label FROM customer WHERE c_nationkey = 4 UNION ALL SELECT 'R:' || n_regionkey, 'Region' FROM nation WHERE n_nationkey = 4", "G3 U6")
-S("create_and_update", "CREATE NODE Person {id: 'x1', name: 'Ann', age: 40}; CREATE NODE Person {id: 'x2', name: 'Bo', age: 50}; CREATE EDGE KNOWS FROM 'x1' TO 'x2' {weight: 2}; UPDATE NODE Person SET {age: 41} WHERE name = 'Ann'; SELECT id, name, age FROM Person", "SELECT * FROM (VALUES ('x1', 'Ann', 41), ('x2', 'Bo', 50)) t(id, name, age)", "M1 M2 M3 S29")
+S("create_and_update", "CREATE NODE Customer {id: 'x1', name: 'Ann', c_acctbal: 40.0, c_mktsegment: 'NEW'}; INSERT INTO Customer VALUES {id: 'x2', name: 'Bo', c_acctbal: 50.0, c_mktsegment: 'NEW'}; UPDATE NODE Customer SET {c_acctbal: 41.0} WHERE name = 'Ann'; SELECT c_mktsegment, COUNT(*) AS n, MAX(c_acctbal) AS most FROM Customer GROUP BY c_mktsegment", "SELECT c_mktsegment, count(*) AS n, max(c_acctbal) AS most FROM customer GROUP BY 1 UNION ALL SELECT 'NEW', 2, 50.0", "M1 M3 S29")
+S("create_edge", "CREATE NODE Customer {id: 'x1', name: 'Ann'}; CREATE EDGE LIVES_IN FROM 'x1' TO 'N:3' {weight: 2}; MATCH (c:Customer)-[LIVES_IN]->(n:Nation) RETURN n.id AS nation, COUNT(*) AS n", "SELECT 'N:' || c_nationkey AS nation, count(*) + (c_nationkey = 3)::INT AS n FROM customer GROUP BY c_nationkey", "M1 M2")
 S("update_nodes", "UPDATE NODES Customer SET c_mktsegment = 'NONE' WHERE c_acctbal < 0; AGGREGATE COUNT(*) FROM Customer GROUP BY c_mktsegment", "SELECT CASE WHEN c_acctbal < 0 THEN 'NONE' ELSE c_mktsegment END AS c_mktsegment, count(*) AS value FROM customer GROUP BY 1", "M4")
 S("update_edge", "UPDATE EDGE PLACED SET weight = 3 WHERE source = 'C:7'; SELECT EDGE WHERE type = 'PLACED' AND weight > 2", "SELECT 'C:7' AS source, 'O:' || o_orderkey AS target, 'PLACED' AS type, 3.0::DOUBLE AS weight FROM orders WHERE o_custkey = 7", "M5")
 S("delete_cascade", "DELETE NODE Nation WHERE n_regionkey = 1; SELECT EDGE WHERE type IN ('LIVES_IN', 'IN_REGION')", "SELECT 'N:' || n_nationkey AS source, 'R:' || n_regionkey AS target, 'IN_REGION' AS type, 1.0::DOUBLE AS weight FROM nation WHERE n_regionkey <> 1 UNION ALL SELECT 'C:' || c_custkey, 'N:' || c_nationkey, 'LIVES_IN', 1.0 FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey <> 1", "M6")
@@ -85,5 +86,5 @@ S("merge_node", "MERGE NODE Region {r_regionkey: 0} SET {flag: 1}; MERGE NODE Re
 S("subgraph_view", "CREATE SUBGRAPH rich AS MATCH (c:Customer)-[LIVES_IN]->(n:Nation) WHERE c.c_acctbal > 5000 RETURN c.id AS id, n.name AS nation; SELECT nation, COUNT(*) AS n FROM rich GROUP BY nation", "SELECT n_name AS nation, count(*) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_acctbal > 5000 GROUP BY 1", "M15")
 S("merge_results", "CREATE VIEW a AS SELECT id, name FROM Region; CREATE VIEW b AS SELECT id, name FROM Nation; MERGE RESULTS (a, b)", "SELECT 'R:' || r_regionkey AS id, r_name AS name FROM region UNION ALL SELECT 'N:' || n_nationkey, n_name FROM nation", "U4")
 S("for_each", "LET $keys = [1, 2, 3]; FOR EACH $k IN $keys DO SELECT id, p_name FROM Part WHERE p_partkey = $k END", "SELECT 'P:' || p_partkey AS id, p_name FROM part WHERE p_partkey = 3", "P34")
-S("spaces", "CREATE NAMESPACE other; USE NAMESPACE other; SHOW CURRENT GRAPH", "SELECT 'other' AS name", "M12 P30")
+S("spaces", "CREATE NAMESPACE other; USE NAMESPACE other; CREATE NODE Region {id: 'x', name: 'X'}; USE NAMESPACE default; DELETE NODE Region WHERE r_regionkey = 0; SELECT id, name FROM Region", "SELECT 'R:' || r_regionkey AS id, r_name AS name FROM region WHERE r_regionkey <> 0", "M12 P30")
 S("hybrid_search", "HYBRID SEARCH 'thtion retion of the sea' IN Document WITH keyword = 0.4, sparse = 0.4, similarity = 0.2 LIMIT 15", None, "R14")
