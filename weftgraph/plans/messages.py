@@ -185,3 +185,23 @@ def records_sniffed(spark, d):
 
     rows.repartition(4).mapInArrow(arrays, "value string").write.text(f"{folder}/c")
     return records.read_records(spark, folder).select("format", "record_type", "content")
+
+
+@q("load_turtle", "SELECT 'http://g/N' || n_nationkey AS subject, 'name' AS predicate, NULL AS object, n_name AS literal FROM nation UNION ALL SELECT 'http://g/N' || n_nationkey, 'in', 'http://g/R' || n_regionkey, NULL FROM nation UNION ALL SELECT 'http://g/S' || s_suppkey, 'in', 'http://g/N' || s_nationkey, NULL FROM supplier UNION ALL SELECT 'http://g/S' || s_suppkey, 'name', NULL, s_name FROM supplier", "S16")
+def load_turtle(spark, d):
+    """Nations and suppliers written as Turtle, a file a task with its own prefixes, and read back as triples."""
+    import pyarrow as pa
+
+    from weftgraph.sources.turtle import turtle
+
+    folder = scratch(spark)
+    nations = table(spark, d, "nation").select(F.concat(F.lit("g:N"), "n_nationkey", F.lit(' v:name "'), "n_name", F.lit('"@en ; v:in g:R'), "n_regionkey", F.lit(" .")).alias("value"))
+    suppliers = table(spark, d, "supplier").select(F.concat(F.lit("g:S"), "s_suppkey", F.lit(" v:in g:N"), "s_nationkey", F.lit("; v:name '"), "s_name", F.lit("' .")).alias("value"))
+
+    def with_prefixes(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(["@prefix g: <http://g/> .\nPREFIX v: <http://v/>"])], names=["value"])
+        for batch in batches:
+            yield batch.select(["value"])
+
+    nations.unionByName(suppliers).repartition(4).mapInArrow(with_prefixes, "value string").write.text(folder)
+    return turtle(spark, folder).withColumn("predicate", F.substring_index("predicate", "/", -1))
