@@ -16,6 +16,7 @@ from weftgraph.operators.lineage import cut, fresh_folder
 from weftgraph.plans.relational import G_EDGES
 from weftgraph.session import table
 from weftgraph.sources import readers
+from weftgraph.sources.logs import Folder
 from weftgraph.streaming import streams
 
 CATALOG = Catalog()
@@ -218,7 +219,7 @@ def kept_index(spark, d) -> SparseIndex:
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
     store = path.getFileSystem(spark._jsc.hadoopConfiguration())
     key = (spark.sparkContext.applicationId, str(path), store.getContentSummary(path).getLength(), store.getFileStatus(path).getModificationTime())
-    if key not in KEPT:
+    if key not in KEPT or Folder(KEPT[key]).get("index.json") is None:
         folder = fresh_folder(spark, "documents")
         SparseIndex.create(corpus(spark, d)[0], folder, ["text"])
         KEPT[key] = folder
