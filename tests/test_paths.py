@@ -154,3 +154,33 @@ def test_quantified_patterns_start_where_they_are_bounded(spark):
         assert sorted(map(tuple, got)) == sorted(p for p in pairs(least, most) if p[1] == "n4"), text
     found = paths.within(links, nodes.filter("k < 3"), 1, 3)
     assert {r.source for r in found.select("source").distinct().collect()} <= {"n0", "n1", "n2"}
+
+
+def test_budgeted_walk(spark):
+    rng = random.Random(5)
+    for budget in (6, 12, 40):
+        edges = sorted({(f"n{rng.randrange(15)}", f"n{rng.randrange(15)}", rng.choice("AB")) for _ in range(60)})
+        nodes = {f"n{k}": (rng.choice(["Fact", "Session", "Note"]), rng.randrange(1, 5)) for k in range(14)}  # n14 isn't known
+        seeds = {1: ["n0", "n3"], 2: ["n5"], 3: ["nowhere"]}
+        want = []
+        for q, ids in seeds.items():
+            taken = [(i, 0, None) for i in ids]
+            room = budget - sum(nodes[i][1] if i in nodes else 0 for i in ids)
+            level = list(ids)
+            for d in (1, 2):
+                nxt = []
+                for source in level:
+                    for kind, target in sorted((k, t) for s, t, k in edges if s == source):
+                        if target in {t[0] for t in taken} or target not in nodes or nodes[target][0] == "Session" or nodes[target][1] > room:
+                            continue
+                        room -= nodes[target][1]
+                        taken.append((target, d, kind))
+                        nxt.append(target)
+                level = nxt
+            want += [(q, n + 1, *t) for n, t in enumerate(taken)]
+        got = paths.budgeted(
+            spark.createDataFrame(edges, "source string, target string, type string"), spark.createDataFrame([(k, *v) for k, v in nodes.items()], "id string, label string, cost int"),
+            spark.createDataFrame([(q, i, n) for q, ids in seeds.items() for n, i in enumerate(ids)], "query_id int, id string, place int"), 2, budget, {"A": 0.9},
+        ).collect()
+        assert sorted((r.query_id, r.place, r.id, r.distance, r.via) for r in got) == sorted(want, key=lambda r: r[:2])
+        assert {r.score for r in got if r.via == "A"} <= {0.9} and {r.score for r in got if r.via == "B"} <= {0.5}

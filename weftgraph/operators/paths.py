@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from weftgraph.operators.lineage import cut
 from weftgraph.operators.traverse import directed
@@ -100,10 +101,56 @@ def named_in(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     return hit.groupBy("text_id").agg(F.min_by("id", F.struct(-F.length("name"), "id")).alias("id"))
 
 
+# The weight of an edge type that has none of its own, and labels that a walk passes over.
+EDGE_WEIGHT = 0.5
+SKIPPED = ["VectorIndex", "BM25Index", "Session", "ContextRef", "ExperimentRun", "AgentAction", "AgentThought", "SyncRun", "ContextMeta", "ContextIntelligence"]
+
+
+def budgeted(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, hops: int, budget: int, weights: dict[str, float] | None = None, skip: list[str] | None = None) -> DataFrame:
+    """(query_id, place, id, distance, via, score): the seeds of each query and what a walk from them takes into a budget.
+
+    edges: source, target, type; nodes: id, label, cost (whole, 1 at least); seeds: query_id, id, place. A hop takes the neighbours in
+    the order of the nodes that they come from, then of type and id; one that doesn't fit is passed over, and only those that were
+    taken are walked on from. Of a query's neighbours of one cost only as many as could fit are looked at."""
+    left = W.partitionBy("query_id")
+    start = seeds.select("query_id", "id", "place").join(nodes.select("id", "cost"), "id", "left").fillna(0, ["cost"])
+    found = cut(start.select("query_id", F.row_number().over(left.orderBy("place", "id")).cast("long").alias("place"), "id", F.lit(0).alias("distance"), F.lit(None).cast("string").alias("via"), F.lit(1.0).alias("score"), F.col("cost").cast("long").alias("cost")))
+    kept = nodes.filter(~F.coalesce(F.col("label").isin(SKIPPED if skip is None else skip), F.lit(False))).select("id", F.greatest(F.lit(1), F.col("cost")).cast("long").alias("cost"))
+    known = F.create_map(*[F.lit(x) for pair in (weights or {"": EDGE_WEIGHT}).items() for x in pair])
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema.fields)
+    columns = found.columns
+
+    def choose(key, rows):
+        """Takes the rows that fit, in order."""
+        rows = rows.sort_values(["from_place", "via", "id"])
+        room, taken = int(rows["room"].iloc[0]), []
+        for n, cost in enumerate(rows["cost"]):
+            if cost <= room:
+                room -= cost
+                taken.append(n)
+        out = rows.iloc[taken].copy()
+        out["place"] = out["last"] + range(1, len(taken) + 1)
+        return out[columns]
+
+    frontier = found
+    for d in range(1, hops + 1):
+        sums = found.groupBy("query_id").agg((F.lit(budget) - F.sum("cost")).alias("room"), F.max("place").alias("last"))
+        step = frontier.select("query_id", F.col("id").alias("source"), F.col("place").alias("from_place")).join(edges.select("source", "target", "type"), "source")
+        step = step.groupBy("query_id", F.col("target").alias("id")).agg(F.min(F.struct("from_place", "type")).alias("m")).join(found.select("query_id", "id"), ["query_id", "id"], "left_anti")
+        step = step.join(kept, "id").join(sums, "query_id").filter(F.col("cost") <= F.col("room"))
+        step = step.select("query_id", "id", "cost", "room", "last", "m.from_place", F.col("m.type").alias("via"))
+        nth = F.row_number().over(W.partitionBy("query_id", "cost").orderBy("from_place", "via", "id"))
+        step = step.withColumn("nth", nth).filter(F.col("nth") * F.col("cost") <= F.col("room")).drop("nth")
+        step = step.withColumns({"distance": F.lit(d), "score": F.coalesce(F.try_element_at(known, F.col("via")), F.lit(EDGE_WEIGHT)), "place": F.col("last")})
+        frontier = cut(step.groupBy("query_id").applyInPandas(choose, kind))
+        if frontier.isEmpty():
+            break
+        found = cut(found.unionByName(frontier))
+    return found.drop("cost")
+
+
 def lineage(edges: DataFrame, starts: DataFrame, hops: int = 20) -> DataFrame:
     """(start, step, depth, id, path): what a node derives from, in the order in which a queue comes to it; step 0 is the node."""
-    from pyspark.sql import Window as W
-
     found = first_visits(edges, starts, hops).select("start", "id", F.col("distance").alias("depth"), "path", "queue")
     own = starts.select(F.col("id").alias("start"), "id", F.lit(0).alias("depth"), F.array("id").alias("path"), F.array().cast("array<string>").alias("queue")).distinct()
     place = W.partitionBy("start").orderBy("depth", "queue")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from weftgraph.catalog import Catalog
@@ -122,3 +124,16 @@ def match_from_the_far_side(spark, d):
 def match_plus(spark, d):
     """One or more links between the turns of a conversation, from its turns only."""
     return Session(spark, graph_of_tables(spark, d)).run("MATCH (a:Turn)-[NEXT+]->(b:Turn) WHERE a.conv_id = 7 RETURN a.id AS a, b.id AS b")
+
+
+@q("budgeted_walk", None, "G16")
+def budgeted_walk(spark, d):
+    """From each start: what two hops in both directions take into a budget of 400, with weights by type of edge."""
+    g = graph_of_tables(spark, d)
+    names = [(label, g.scan(label).select("id", "name")) for label in ("Region", "Nation", "Supplier", "Customer")]
+    nodes = reduce(lambda a, b: a.unionByName(b), [df.select("id", F.lit(label).alias("label"), F.greatest(F.lit(1), F.floor(F.length("name") / 4)).alias("cost")) for label, df in names])
+    edges = g.all_edges(["BASED_IN", "LIVES_IN", "IN_REGION"]).select("source", "target", "type")
+    both = edges.unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"), "type"))
+    suppliers = g.scan("Supplier")
+    seeds = suppliers.filter("s_suppkey % 50 = 0").select(F.col("s_suppkey").alias("query_id"), "id", F.lit(1).alias("place"))
+    return paths.budgeted(both, nodes, seeds, 2, 400, {"BASED_IN": 0.9, "IN_REGION": 0.4}, ["Region"])
