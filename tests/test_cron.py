@@ -33,7 +33,7 @@ TEXTS = ["*/15 9-17 * * 0-4", "0 0 29 2 *", "30 6 1,15 * *", "5-50/7 */5 * 1-3,1
 
 def test_a_year_of_instants(spark):
     rng = random.Random(2)
-    at = [datetime(2023, 6, 1) + timedelta(minutes=rng.randrange(366 * 1440), seconds=rng.randrange(60)) for _ in range(250)]
+    at = [datetime(2023, 6, 1) + timedelta(minutes=rng.randrange(366 * 1440), seconds=rng.randrange(60)) for _ in range(30)]
     at += [datetime(2024, 2, 28, 23, 59), datetime(2024, 2, 29), datetime(2023, 12, 31, 23, 59), datetime(2023, 12, 31, 23, 58, 59)]
     df = spark.createDataFrame([(t,) for t in at], "t timestamp")
     read = {text: cron.Schedule.read(text) for text in TEXTS}

@@ -99,7 +99,9 @@ class Schedule:
             return F.lit(None).cast("timestamp")
         day, times = F.to_date(at), F.array(*map(F.lit, held))
         later = F.get(F.filter(times, lambda m: m > 60 * F.hour(at) + F.minute(at)), 0)  # null if it's past the last
-        ahead = F.get(F.filter(F.sequence(F.lit(1), F.lit(HORIZON)), lambda k: self.on_day(F.date_add(day, k))), 0)
+        # the first day ahead is looked for in the next weeks, then in a year, then in all
+        days = ((1, 31), (32, 366), (367, HORIZON))
+        ahead = F.coalesce(*[F.get(F.filter(F.sequence(F.lit(a), F.lit(b)), lambda k: self.on_day(F.date_add(day, k))), 0) for a, b in days])
         today = self.on_day(day) & later.isNotNull()
         minute = F.when(today, later).otherwise(F.lit(held[0]))
         start = F.unix_date(F.when(today, day).otherwise(F.date_add(day, ahead)))
