@@ -33,3 +33,8 @@ def same_as_sql(spark, name, folder):
 def test_sentiment_words_end_at_letters_beyond_ascii(spark, tmp_path):
     texts = ["éthe in", "the", "größand of", "x_the of", "andé the in", "éthe of", None, ""]
     same_as_sql(spark, "sentiment_heuristic", written(tmp_path, documents=[{"doc_id": i, "text": t} for i, t in enumerate(texts)]))
+
+
+def test_silence_of_half_seconds(spark, tmp_path):
+    rows = [{"event_id": i, "user_id": i % 2, "ts": datetime(2024, 1, 1, 0, 0, i, 500_000)} for i in range(7)]
+    same_as_sql(spark, "silence_start", written(tmp_path, events=rows))

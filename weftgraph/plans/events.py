@@ -225,7 +225,7 @@ def trailing_count(spark, d):
 @q("silence_start", f"SELECT event_id, epoch(max(ts) OVER (PARTITION BY user_id))::BIGINT - epoch(ts)::BIGINT AS silent FROM events WHERE ts <= TIMESTAMP '{AS_OF}'", "W13")
 def silence_start(spark, d):
     e = events(spark, d).filter(F.col("ts") <= F.lit(AS_OF))
-    sec = lambda c: F.floor(c.cast("double") + 0.5).cast("long")
+    sec = lambda c: F.rint(c.cast("double")).cast("long")  # noqa: E731  half a second goes to the even one, as in the SQL
     return e.select("event_id", (sec(F.max("ts").over(W.partitionBy("user_id"))) - sec(F.col("ts"))).alias("silent"))
 
 
