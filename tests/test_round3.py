@@ -38,3 +38,12 @@ def test_sentiment_words_end_at_letters_beyond_ascii(spark, tmp_path):
 def test_silence_of_half_seconds(spark, tmp_path):
     rows = [{"event_id": i, "user_id": i % 2, "ts": datetime(2024, 1, 1, 0, 0, i, 500_000)} for i in range(7)]
     same_as_sql(spark, "silence_start", written(tmp_path, events=rows))
+
+
+def test_streams_over_tables_that_are_folders(spark, tmp_path):
+    """A table may be a file or a folder of files."""
+    turns = [{"conv_id": c, "turn": t, "role": "user" if t % 2 else "assistant", "text": "x" * t} for c in range(12) for t in range(5)]
+    (tmp_path / "conversations.parquet").mkdir()
+    for k in range(2):
+        pq.write_table(pa.Table.from_pylist(turns[k::2]), f"{tmp_path}/conversations.parquet/part-{k}.parquet")
+    assert same_as_sql(spark, "conversation_expiry", str(tmp_path))

@@ -14,7 +14,7 @@ from weftgraph.operators.graph import graph_of_tables
 from weftgraph.operators.indexes import SparseIndex
 from weftgraph.operators.lineage import cut, fresh_folder
 from weftgraph.plans.relational import G_EDGES
-from weftgraph.session import table
+from weftgraph.session import stream_of, table
 from weftgraph.sources import readers
 from weftgraph.sources.logs import Folder
 from weftgraph.streaming import streams
@@ -346,8 +346,7 @@ def retrieval_metrics(spark, d):
 
 
 def stream(spark, d):
-    rows = table(spark, d, "events")
-    return spark.readStream.schema(rows.schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
+    return stream_of(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def counts():

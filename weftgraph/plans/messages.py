@@ -10,7 +10,7 @@ from weftgraph.catalog import Catalog
 from weftgraph.lang import Session
 from weftgraph.operators.graph import graph_of_tables
 from weftgraph.plans.graphs import scratch, stream
-from weftgraph.session import table
+from weftgraph.session import stream_of, table
 from weftgraph.sources import logs, pages
 from weftgraph.streaming import consume as C
 from weftgraph.streaming import state, streams
@@ -66,8 +66,7 @@ CHANGES = "SELECT CASE o_orderstatus WHEN 'O' THEN 'INSERT' WHEN 'F' THEN 'UPDAT
 def change_groups(spark, d):
     """Orders as a stream of change events into a log, and two groups that read it independently for their operations."""
     folder = scratch(spark)
-    schema = table(spark, d, "orders").schema
-    orders = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(d)
+    orders = stream_of(spark, d, "orders")
     op = "CASE o_orderstatus WHEN 'O' THEN 'INSERT' WHEN 'F' THEN 'UPDATE' ELSE 'DELETE' END"
     messages = C.change_messages(orders, "shop", op, "o_orderkey", "Order", "loader", "o_orderdate")
     C.publish_stream(messages, f"{folder}/log", 3, f"{folder}/publisher", "orders")
@@ -139,8 +138,7 @@ ENDS = SESSIONS.format(rows=TURNS, ttl="5 MINUTE", select=f"k AS conv_id, strfti
 @q("conversation_expiry", ENDS, "X8")
 def conversation_expiry(spark, d):
     """Conversations with a pause after every third turn end after five minutes at rest: list state of turns."""
-    schema = table(spark, d, "conversations").schema
-    turns = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(d)
+    turns = stream_of(spark, d, "conversations")
     seconds = F.col("conv_id") * 60 + F.col("turn") * 40 + F.floor(F.col("turn") / 3) * 600
     turns = turns.withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + seconds))
     rows = state.conversation_ends(turns, "conv_id", "turn", "role", "text", "ts", timedelta(minutes=5), "0 seconds")
