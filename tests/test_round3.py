@@ -1,7 +1,10 @@
 """Small inputs on which queries of round 3 gave other rows than their SQL, or none."""
 
 import os
+import random
+import time
 from datetime import datetime
+from difflib import SequenceMatcher
 
 import duckdb
 import pyarrow as pa
@@ -47,3 +50,35 @@ def test_streams_over_tables_that_are_folders(spark, tmp_path):
     for k in range(2):
         pq.write_table(pa.Table.from_pylist(turns[k::2]), f"{tmp_path}/conversations.parquet/part-{k}.parquet")
     assert same_as_sql(spark, "conversation_expiry", str(tmp_path))
+
+
+def test_exact_vectors_by_blocks(spark):
+    """Null, empty and zero vectors, copies and text ids; every pair scored one by one gives the same."""
+    from pyspark.sql import functions as F
+
+    from weftgraph.functions import text as X
+    from weftgraph.operators import search as R
+
+    rng = random.Random(3)
+    rows = [(f"v{i:04d}", [float(rng.choice((-1, 0, 1, 2)))] * 4 if i % 3 == 0 else [rng.gauss(0, 1) for _ in range(4)]) for i in range(300)]
+    rows += [("n1", None), ("n2", [1.0, None, 2.0, 1.0]), ("z", [0.0] * 4), *((f"c{i}", [1.0, 2.0, 3.0, 4.0]) for i in range(30))]
+    v = spark.createDataFrame(rows, "id string, vector array<float>")
+    q = v.filter("id like '%5' or id in ('n1', 'z', 'c7')").select(F.col("id").alias("query_id"), "vector")
+    for metric, measure in (("cosine", X.cosine), ("dot", X.dot), ("euclidean", lambda a, b: -X.euclidean(a, b))):
+        scored = v.withColumnRenamed("vector", "v").crossJoin(q.withColumnRenamed("vector", "q")).select("query_id", "id", measure(F.col("v"), F.col("q")).alias("score"))
+        want = {tuple(r) for r in R.top(scored, 5).collect()}
+        assert {tuple(r) for r in R.cosine_top(q, v, 5, metric).collect()} == want, metric
+
+
+def test_approximate_vectors_are_those_of_the_buckets(spark):
+    from pyspark.sql import functions as F
+
+    from weftgraph.functions import text as X
+    from weftgraph.operators import search as R
+
+    rng = random.Random(5)
+    v = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(200)], "id long, vector array<double>")
+    q = v.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "vector")
+    pairs = R.lsh_candidates(q, v, 6, 8, 2).join(v.withColumnRenamed("vector", "v"), "id").join(q.withColumnRenamed("vector", "q"), "query_id")
+    want = {tuple(r) for r in R.top(pairs.select("query_id", "id", X.cosine(F.col("v"), F.col("q")).alias("score")), 5).collect()}
+    assert {tuple(r) for r in R.lsh_top(q, v, 5, 6, 8, 2).collect()} == want
