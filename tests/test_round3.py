@@ -82,3 +82,11 @@ def test_approximate_vectors_are_those_of_the_buckets(spark):
     pairs = R.lsh_candidates(q, v, 6, 8, 2).join(v.withColumnRenamed("vector", "v"), "id").join(q.withColumnRenamed("vector", "q"), "query_id")
     want = {tuple(r) for r in R.top(pairs.select("query_id", "id", X.cosine(F.col("v"), F.col("q")).alias("score")), 5).collect()}
     assert {tuple(r) for r in R.lsh_top(q, v, 5, 6, 8, 2).collect()} == want
+
+
+def test_fuzzy_by_blocks(spark, tmp_path):
+    words = ["license", "licence", "sea", "ab", "größe", "running", "runner", "a", "the"]
+    rng = random.Random(1)
+    docs = [{"doc_id": i, "text": " ".join(rng.choices(words, k=i % 6))} for i in range(60)] + [{"doc_id": 99, "text": None}]
+    asked = [{"item_id": i, "text": t} for i, t in enumerate(["license runner", "ab", "the", "", "größen", "licensed seas"])]
+    assert same_as_sql(spark, "fuzzy_trigram", written(tmp_path, documents=docs, benchmark=asked))
