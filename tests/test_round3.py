@@ -90,3 +90,9 @@ def test_fuzzy_by_blocks(spark, tmp_path):
     docs = [{"doc_id": i, "text": " ".join(rng.choices(words, k=i % 6))} for i in range(60)] + [{"doc_id": 99, "text": None}]
     asked = [{"item_id": i, "text": t} for i, t in enumerate(["license runner", "ab", "the", "", "größen", "licensed seas"])]
     assert same_as_sql(spark, "fuzzy_trigram", written(tmp_path, documents=docs, benchmark=asked))
+
+
+def test_rows_of_equal_scope_are_counted_together(spark, tmp_path):
+    customers = [{"c_custkey": i, "c_nationkey": i % 7 if i % 11 else None} for i in range(400)]
+    folder = written(tmp_path, customer=customers, supplier=[{"s_suppkey": i, "s_nationkey": i % 25} for i in range(45)])
+    assert same_as_sql(spark, "row_security", folder)
