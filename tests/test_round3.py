@@ -116,3 +116,12 @@ def test_rows_of_equal_scope_are_counted_together(spark, tmp_path):
     customers = [{"c_custkey": i, "c_nationkey": i % 7 if i % 11 else None} for i in range(400)]
     folder = written(tmp_path, customer=customers, supplier=[{"s_suppkey": i, "s_nationkey": i % 25} for i in range(45)])
     assert same_as_sql(spark, "row_security", folder)
+
+
+def test_alike_sets_with_copies(spark, tmp_path):
+    """Copies, empty and null texts, and sets at the threshold."""
+    words = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    rng = random.Random(2)
+    texts = [" ".join(words[:10]), " ".join(words[:8]), " ".join(words[1:10]), None, "", "a b c"] + [" ".join(rng.sample(words[:14], 12)) for _ in range(25)]
+    rows = [{"doc_id": i, "text": t} for i, t in enumerate(texts * 3)]
+    assert same_as_sql(spark, "dedup_jaccard", written(tmp_path, documents=rows))
