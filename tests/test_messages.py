@@ -75,6 +75,28 @@ def test_publications_count_once(spark, tmp_path):
     assert spark.read.format("messagelog").option("path", f"{tmp_path}/none").load().count() == 0
 
 
+def test_a_backlog_takes_many_polls_a_batch(spark, tmp_path):
+    log, out, sizes, broken = f"{tmp_path}/log", f"{tmp_path}/out", {}, []
+    logs.publish(logs.as_messages(events(spark).limit(400), "user_id", "ts"), log, 3)
+
+    def work(batch, number):
+        sizes[number] = batch.count()
+        if number == 1 and not broken:
+            broken.append(number)
+            raise OSError("lost")
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    with pytest.raises(Exception, match="lost"):
+        C.consume(spark, log, "g", work, f"{tmp_path}/point", 20, polls=9)
+    C.consume(spark, log, "g", work, f"{tmp_path}/point", 20, polls=9)
+    assert sizes == {0: 180, 1: 180, 2: 40}
+    got = spark.read.parquet(out)
+    assert got.count() == 400 == got.select("partition", "offset").distinct().count()
+    part = logs.ranges(logs.Log(log), {}, logs.Log(log).ends())[0]
+    polled = [b.num_rows for b in logs.messages(log, part, 20)]
+    assert max(polled) <= 20 and sum(polled) == part.end
+
+
 
 
 def test_documents_of_messages(spark):

@@ -19,13 +19,15 @@ CATALOG = Catalog()
 q = CATALOG.add
 #: Messages that the queries take at a time; the library's own limits are 50 and 100.
 LIMIT = 5000
+#: Polls that a batch runs side by side, so that a backlog of millions isn't thousands of batches.
+POLLS = 256
 STAMP, STAMP_SQL = "yyyy-MM-dd HH:mm:ss.SSSSSS", "%Y-%m-%d %H:%M:%S.%f"
 
 
 def consumed(spark, log: str, group: str, schema: str):
     """All messages that a group gets, batch by batch."""
     folder = scratch(spark)
-    C.consume(spark, log, group, C.into(f"{folder}/rows"), f"{folder}/checkpoint", LIMIT)
+    C.consume(spark, log, group, C.into(f"{folder}/rows"), f"{folder}/checkpoint", LIMIT, POLLS)
     return spark.read.schema(f"{schema}, batch long").parquet(f"{folder}/rows")
 
 

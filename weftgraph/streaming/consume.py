@@ -38,13 +38,14 @@ def lateness(folder: str, ts: str, delay_seconds: int) -> Callable[[DataFrame, i
 DOCUMENT = "title string, content string, text string, url string, timestamp string, tags array<string>, doc_type string"
 
 
-def consume(spark: SparkSession, log: str, group: str, work: Callable[[DataFrame, int], None], checkpoint: str, limit: int = POLL) -> None:
-    """work(batch, number) on all that the group hasn't acknowledged, `limit` messages at a time; returns when there's no more.
+def consume(spark: SparkSession, log: str, group: str, work: Callable[[DataFrame, int], None], checkpoint: str, limit: int = POLL, polls: int = 1) -> None:
+    """work(batch, number) on all that the group hasn't acknowledged, in batches of `polls` polls of at most `limit` messages;
+    returns when there's no more.
 
     A batch counts as acknowledged after its work has ended. If work raises, or the driver dies, the same batch comes
     again with the same number and the same messages, so work that overwrites by number loses and repeats nothing.
     """
-    query = subscribe(spark, log, group, limit).writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).start()
+    query = subscribe(spark, log, group, limit, polls=polls).writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).start()
     try:
         query.processAllAvailable()
         last = query.lastProgress
