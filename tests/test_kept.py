@@ -171,3 +171,23 @@ def test_point_lookup_reads_one_table(spark):
         assert s.run(f"FIND BY UUID '{none}'").count() == 0
     s.run("CREATE NODE Customer {id: 'mine', name: 'm'}")
     assert s.run("FIND BY UUID 'mine'").first().name == "m" and s.run("FIND BY UUID 'C:7'").count() == 1
+
+
+def test_packed_postings_are_those_of_the_rows(spark, monkeypatch):
+    """Counted in the documents, dealt by stem: no row a document and pair is shuffled; lists and batches that are full go on."""
+    from weftgraph.operators import search
+
+    texts = ["sea sand sea sand sea", "sand", None, "", "the", "sea of sand and of sea", "ab__cd x9 x sea"] + ["sea sand stone"] * 9
+    rows = [(10 * i, t, "sea wind" if i % 3 else None) for i, t in enumerate(texts)]
+    held = search.stemmed(spark.createDataFrame(rows, "id long, text string, name string").coalesce(1), ["text", "name"])
+    as_set = lambda df: sorted(map(tuple, df.select("term", "id", "tf", "terms").collect()))
+    want = as_set(search.counted(held, ["text", "name"]))
+    for listed, counted in ((64, 2_000_000), (4, 2_000_000), (64, 7), (1, 1)):
+        monkeypatch.setattr(search, "LISTED", listed)
+        monkeypatch.setattr(search, "COUNTED", counted)
+        blocks = search.packed(held, ["text", "name"])
+        assert as_set(search.unpacked(blocks)) == want
+        assert max(len(r.ids) for r in blocks.collect()) <= listed
+    monkeypatch.undo()
+    assert blocks.count() > 3 * search.packed(held, ["text", "name"]).count()
+    assert search.packed(held.limit(0), ["text", "name"]).count() == 0
