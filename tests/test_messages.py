@@ -244,3 +244,52 @@ def test_conversations_without_times_or_text(spark, tmp_path):
         got = streams.to_table(state.conversation_ends(stream, "c", "n", "r", "x", "t", timedelta(minutes=5), "0 seconds"), f"{tmp_path}/o", "append").collect()
     ended = T0 + timedelta(minutes=5)
     assert sorted(map(tuple, got), key=str) == [(1, ended, 2, "user", None, 2), (None, ended, 1, "user", "user", 3)]
+
+
+def test_a_call_uses_the_state_a_few_times(monkeypatch):
+    """Each use of a state is a round trip: their number doesn't follow the rows of a key."""
+    import pandas as pd
+
+    trips = []
+
+    class Kept:
+        def __init__(self, *_):
+            self.now = None
+
+        def __getattr__(self, name):
+            def use(*args):
+                trips.append(name)
+                if name == "get":
+                    return self.now if self.single else iter(self.now or [])
+                if name == "exists":
+                    return self.now is not None
+                if name == "appendList":
+                    self.now = [*(self.now or []), *args[0]]
+                elif name == "appendValue":
+                    self.now = [*(self.now or []), args[0]]
+                else:
+                    self.now = args[0] if args else None
+
+            return use
+
+    class Handle:
+        getValueState = lambda self, *_: setattr(k := Kept(), "single", True) or k
+        getListState = lambda self, *_: setattr(k := Kept(), "single", False) or k
+        listTimers = lambda self: []
+        registerTimer = deleteTimer = lambda self, at: None
+
+    class Timers:
+        def __init__(self, at):
+            self.getCurrentWatermarkInMs = lambda: at
+
+    start = pd.Timestamp(T0).value // 1_000_000
+    rows = pd.DataFrame({"ts": [pd.Timestamp(T0) + pd.Timedelta(minutes=m) for m in range(300)], "value": ["v"] * 300, "alert": ["a"] * 300})
+    rows = rows.assign(turn=range(300), role="user", text="t")
+    hour = timedelta(hours=1)
+    for processor, n in ((state.Presence(hour), 1), (state.Conversation(hour), 1), (state.Escalation(3, hour, hour), 5)):
+        processor.init(Handle())
+        trips.clear()
+        assert list(processor.handleInputRows((1,), iter([rows]), Timers(0))) == []
+        out = list(processor.handleExpiredTimer((1,), Timers(start + 10 * 3_600_000), None))
+        assert sum(map(len, out)) == n and len(trips) < 20
+        assert list(processor.handleExpiredTimer((1,), Timers(start + 20 * 3_600_000), None)) == []

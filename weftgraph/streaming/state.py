@@ -45,6 +45,62 @@ def when(at: int) -> datetime:
     return datetime(1970, 1, 1, tzinfo=UTC).replace(tzinfo=None) + timedelta(microseconds=at)
 
 
+class Value:
+    """A value state that is read at most once a call and written at its end, as each use of the state itself is a round trip."""
+
+    def __init__(self, state):
+        self.state = state
+
+    def begin(self) -> None:
+        self.known = self.changed = False
+
+    def get(self) -> tuple | None:
+        if not self.known:
+            self.now, self.known = self.state.get(), True
+        return self.now
+
+    def exists(self) -> bool:
+        return self.get() is not None
+
+    def update(self, now: tuple | None) -> None:
+        self.now, self.known, self.changed = now, True, True
+
+    def clear(self) -> None:
+        self.update(None)
+
+    def end(self) -> None:
+        if self.changed:
+            self.state.clear() if self.now is None else self.state.update(self.now)
+
+
+class Values:
+    """The same for a list state."""
+
+    def __init__(self, state):
+        self.state = state
+
+    def begin(self) -> None:
+        self.replaced, self.new = False, []
+
+    def get(self) -> list[tuple]:
+        return [*([] if self.replaced else self.state.get()), *self.new]
+
+    def appendValue(self, value: tuple) -> None:
+        self.new.append(value)
+
+    def put(self, values: list[tuple]) -> None:
+        self.replaced, self.new = True, list(values)
+
+    def clear(self) -> None:
+        self.put([])
+
+    def end(self) -> None:
+        if self.new:
+            (self.state.put if self.replaced else self.state.appendList)(self.new)
+        elif self.replaced:
+            self.state.clear()
+
+
 class InOrder(StatefulProcessor):
     """What is common: `row` sees a key's rows in order, `expired` is called when the time that `due` names has passed."""
 
@@ -54,10 +110,18 @@ class InOrder(StatefulProcessor):
     output: tuple[str, ...] = ()
 
     def init(self, handle) -> None:
-        self.handle = handle
+        self.handle, self.own = handle, []
         self.pending = handle.getListState("pending", f"ts long, {self.kinds}")
         self.open()
 
+    def value(self, name: str, kinds: str) -> Value:
+        self.own.append(Value(self.handle.getValueState(name, kinds)))
+        return self.own[-1]
+
+    def values(self, name: str, kinds: str) -> Values:
+        self.own.append(Values(self.handle.getListState(name, kinds)))
+        return self.own[-1]
+
     def open(self) -> None:
         """Asks for the processor's own state."""
 
@@ -72,19 +136,24 @@ class InOrder(StatefulProcessor):
         raise NotImplementedError
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        fresh = []
         for some in rows:
             some = some[some["ts"].notna()]
             for ts, *values in zip(some["ts"], *(some[c] for c in self.columns), strict=True):
-                self.pending.appendValue((micros(ts), *(None if pd.isna(v) else v for v in values)))
-        return self._advance(key, timerValues)
+                fresh.append((micros(ts), *(None if pd.isna(v) else v for v in values)))
+        return self._advance(key, timerValues, fresh)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         return self._advance(key, timerValues)
 
-    def _advance(self, key, timers) -> Iterator[pd.DataFrame]:
+    def _advance(self, key, timers, fresh=()) -> Iterator[pd.DataFrame]:
         now, out = timers.getCurrentWatermarkInMs() * 1000, []
-        held = sorted((tuple(r) for r in self.pending.get()), key=lambda r: (r[0], tuple(map(str, r[1:]))))
+        for state in self.own:
+            state.begin()
+        held = sorted([*(tuple(r) for r in self.pending.get()), *fresh], key=lambda r: (r[0], tuple(map(str, r[1:]))))
         ready = [r for r in held if r[0] <= now]
+        if not ready and fresh:
+            self.pending.appendList(fresh)
         if ready:
             self.pending.put(held[len(ready) :]) if len(ready) < len(held) else self.pending.clear()
         for ts, *values in ready:
@@ -98,6 +167,8 @@ class InOrder(StatefulProcessor):
         waits = [x for x in (self.due(), held[len(ready)][0] if len(ready) < len(held) else None) if x is not None]
         if waits:
             self.handle.registerTimer(-(-min(waits) // 1000))
+        for state in self.own:
+            state.end()
         if out:
             yield pd.DataFrame([(*key, *o) for o in out], columns=["key", *self.output])
 
@@ -115,7 +186,7 @@ class Presence(InOrder):
         self.ttl = int(ttl.total_seconds() * 1_000_000)
 
     def open(self) -> None:
-        self.held = self.handle.getValueState("held", "since long, last long, sets long, value string")
+        self.held = self.value("held", "since long, last long, sets long, value string")
 
     def due(self) -> int | None:
         return self.held.get()[1] + self.ttl if self.held.exists() else None
@@ -141,8 +212,8 @@ class Conversation(InOrder):
         self.ttl = int(ttl.total_seconds() * 1_000_000)
 
     def open(self) -> None:
-        self.turns = self.handle.getListState("turns", f"ts long, {self.kinds}")
-        self.last = self.handle.getValueState("last", "at long")
+        self.turns = self.values("turns", f"ts long, {self.kinds}")
+        self.last = self.value("last", "at long")
 
     def due(self) -> int | None:
         return self.last.get()[0] + self.ttl if self.last.exists() else None
@@ -170,8 +241,8 @@ class Escalation(InOrder):
         self.least, self.window, self.hold = least, int(window.total_seconds() * 1_000_000), int(hold.total_seconds() * 1_000_000)
 
     def open(self) -> None:
-        self.recent = self.handle.getListState("recent", "ts long")
-        self.now = self.handle.getValueState("now", "at long, taken long")
+        self.recent = self.values("recent", "ts long")
+        self.now = self.value("now", "at long, taken long")
 
     def due(self) -> int | None:
         return self.now.get()[0] + self.hold if self.now.exists() else None
