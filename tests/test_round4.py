@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import types as T
 
-from weftgraph.operators import chunking, textops
+from weftgraph.operators import chunking, search, textops
 
 
 class Frame:
@@ -28,3 +30,14 @@ def test_chunks_leave_in_parts_of_bounded_text():
         assert [r["doc_id"] for r in rows] == list(range(len(texts)))
         for r in rows[:45]:
             assert [(c["text"], c["start"], c["end"]) for c in r["chunks"]] == list(chunking.STRATEGIES[strategy](r["text"] or "", 600, 60))
+
+
+def test_a_scan_is_dealt_over_more_partitions_for_more_documents(spark, monkeypatch):
+    monkeypatch.setattr(search, "DEALT", 2)
+    docs = spark.createDataFrame([(i, f"the sea and the shore {'of stones' if i % 3 else 'of sand'} number{i}") for i in range(60)], "id long, text string")
+    queries = spark.createDataFrame([(1, "sea shore stones"), (2, "sand of the sea")], "query_id long, text string")
+    scored = search.bm25_scan(queries, docs, ["text"])
+    assert re.search(r"RepartitionByExpression \[id#\d+L?\], 30\b", scored._jdf.queryExecution().optimizedPlan().toString())
+    kept = search.bm25(queries, search.postings(docs, ["text"]), docs)
+    rows = lambda df: sorted((r.query_id, r.id, round(r.score, 9)) for r in df.collect())
+    assert rows(scored) == rows(kept)
