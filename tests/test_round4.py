@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.operators import chunking, search, textops
+from weftgraph.operators import chunking, paths, search, textops
 
 
 class Frame:
@@ -41,3 +42,30 @@ def test_a_scan_is_dealt_over_more_partitions_for_more_documents(spark, monkeypa
     kept = search.bm25(queries, search.postings(docs, ["text"]), docs)
     rows = lambda df: sorted((r.query_id, r.id, round(r.score, 9)) for r in df.collect())
     assert rows(scored) == rows(kept)
+
+
+def test_what_if_walks_both_worlds_at_once(spark, monkeypatch):
+    rows = [("a", "b", "T", 0.9, 0.0), ("b", "c", "T", 0.9, 0.1), ("c", "d", "T", 0.8, 0.0), ("a", "e", "U", 0.5, 0.0), ("e", "d", "T", 0.9, 0.0), ("x", "b", "T", 0.7, 0.0), ("x", "e", "U", 0.3, 0.0)]
+    edges = spark.createDataFrame(rows, "source string, target string, type string, weight double, decay double")
+    changes = [("b", "c", "T", 0.0, 0.0, True), ("a", "e", "U", 0.8, 0.1, False), ("x", "d", "V", 0.6, 0.0, None), ("no", "where", "T", 0.1, 0.0, True)]
+    changed = spark.createDataFrame(changes, "source string, target string, type string, weight double, decay double, removed boolean")
+    sources = spark.createDataFrame([("a", -1.0), ("x", 0.9), ("lone", 1.0)], "id string, value double")
+    before = paths.impact(edges, sources).select("start", "id", F.col("strength").alias("before"))
+    after = paths.impact(paths.overlaid(edges, changed), sources).select("start", "id", F.col("strength").alias("after"))
+    want = {tuple(r) for r in before.join(after, ["start", "id"], "full_outer").fillna(0.0).filter("before <> after").collect()}
+    walks, walk = [], paths.first_visits
+    monkeypatch.setattr(paths, "first_visits", lambda *a, **k: walks.append(a) or walk(*a, **k))
+    got = {(r["start"], r["id"], r["before"], r["after"]) for r in paths.what_if(edges, changed, sources).collect()}
+    assert got == want and ("a", "c", 0.729, 0.0) in got and ("x", "d", 0.243, 0.54) in got
+    assert len(walks) == 1
+
+
+def test_steps_along_hubs_are_dealt_by_their_rows(spark, monkeypatch):
+    links = spark.createDataFrame([("hub", f"n{i}", 0.9, False) for i in range(40)], "source string, target string, weight double, lateral boolean")
+    starts = spark.createDataFrame([(f"n{i}",) for i in range(20)], "id string")
+    want = sorted(tuple(r) for r in paths.spread(links, starts, 2).collect())
+    dealt, deal = [], type(starts).repartition
+    monkeypatch.setattr(paths, "DEALT", 10)
+    monkeypatch.setattr(type(starts), "repartition", lambda df, *a: dealt.append(a[0]) or deal(df, *a))
+    assert sorted(tuple(r) for r in paths.spread(links, starts, 2).collect()) == want and len(want) == 20 * 40
+    assert dealt == [80]
