@@ -69,3 +69,28 @@ def test_bounds_rule_out_no_pair():
         if nearcopies.alike(a, b):
             apart = int(np.bitwise_count(nearcopies.parities(a).view(np.uint64) ^ nearcopies.parities(b).view(np.uint64)).sum())
             assert 9 * apart <= len(a) + len(b) and apart <= len(np.setxor1d(a, b))
+
+
+def test_a_cloud_of_edited_copies_makes_few_pairs(spark, tmp_path, monkeypatch):
+    rng = random.Random(9)
+    base = [f"b{k}" for k in range(150)]
+    texts = [" ".join(base)]
+    for _ in range(160):
+        words = list(base)
+        for k in rng.sample(range(150), rng.randrange(1, 5)):
+            words[k] = f"new{rng.randrange(10**9)}"
+        texts.append(" ".join(words))
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    spark.createDataFrame(rows, TABLE).repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    made, write = {}, nearcopies.written
+
+    def counted(df, name):
+        out = write(df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(nearcopies, "written", counted)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()) == survivors(rows)
+    assert made["pairs"] <= len(rows)

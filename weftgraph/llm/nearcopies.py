@@ -5,11 +5,13 @@ copies, within three bits. Texts of similarity 0.8 differ in about ten of 64 bit
 allow, so the others share one of BANDS hashes, each of ROWS minima over the shingles, which a
 pair of similarity 0.8 misses with a chance of (1 - 0.8^5)^20, or 0.0004. All candidates are compared by their whole
 shingle sets. First each member of a bucket is compared with the smallest one, then, where that leaves a bucket
-in several groups, those outside its largest group with members of other groups, but for pairs that three exact bounds
-rule out: the sizes of the sets; the shingles that no other such member has, which no pair can share (a text with more
-than a fifth of these is out before it meets another); and 256 parity bits of each set, of which a pair differs in no
-more than in shingles. So every pair of a bucket is compared, ruled out or connected already, and a dense cloud of near
-copies costs rows in proportion to it, while of a cloud of texts that are less alike hardly a pair becomes a row.
+in several groups, with the one that has the fewest shingles of its own (the text that copies were made from has none),
+then, where that too leaves several groups, those outside its largest group with members of other groups, but for pairs
+that three exact bounds rule out: the sizes of the sets; the shingles that no other such member has, which no pair can
+share (a text with more than a fifth of these is out before it meets another); and the sum of these in both and of 1,024
+parity bits of their other shingles, of which a pair differs in no more than in shingles. So every pair of a bucket is
+compared, ruled out or connected already, and a dense cloud of near copies costs rows in proportion to it, while of a
+cloud of texts that are less alike hardly a pair becomes a row.
 
 Defined results: null or empty texts and texts without words have the empty set, which equals itself alone; a text
 of fewer than five words is one shingle; equal sets are one node; null and repeated ids don't matter, as rows go by
@@ -32,7 +34,7 @@ BANDS, ROWS = 20, 5
 _RANDOM = np.random.default_rng(SEED)
 TIMES, FLIPS = (_RANDOM.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)), _RANDOM.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64)
 #: 64-bit words of the parity bits of a set, and the shift of a hash that leaves a number of one of them.
-PARITY_WORDS, PARITY_SHIFT = 4, 56
+PARITY_WORDS, PARITY_SHIFT = 16, 54
 #: Shingles that are hashed for all minima at once; bounds memory.
 BLOCK = 4096
 
@@ -84,9 +86,10 @@ def marked(rows: DataFrame) -> DataFrame:
 
 
 def parities(found: np.ndarray) -> np.ndarray:
-    """256 bits: for each residue whether an odd number of the shingle hashes has it."""
+    """1,024 bits: for each beginning of a hash whether an odd number of the shingle hashes has it; its number counts bits from the
+    lowest of the first word."""
     odd = np.bincount((found >> np.uint64(PARITY_SHIFT)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -143,19 +146,50 @@ PARITIES = [f"p{k}" for k in range(PARITY_WORDS)]
 
 
 def _able(mixed: DataFrame, sets: DataFrame) -> DataFrame:
-    """The members that may be alike others in their buckets, with `most`, the shingles that they can share, and parity bits.
+    """The members that may be alike others in their buckets, with `most`, the shingles that they can share, and the parity bits of those.
 
     A shingle that only one of all these members has is shared by no pair of a bucket.
     """
     asked = written(mixed.select(F.col("key").alias("k"), "size").distinct(), "asked").hint("merge")
     own = sets.join(asked, F.col("key") == F.col("k")).select("key", "size", "grams", *PARITIES)
     lone = _shingles(own).groupBy("h").agg(F.count("*").alias("n"), F.min("key").alias("of")).filter("n = 1")
-    lone = written(lone.groupBy("of").agg(F.count("*").alias("lone")), "lone").hint("merge")
+    lone = lone.withColumn("number", F.shiftrightunsigned("h", PARITY_SHIFT).cast("int")).withColumn("bit", F.expr("shiftleft(1L, number & 63)"))
+    theirs = [F.bit_xor(F.when(F.shiftright("number", 6) == k, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"lone_{p}") for k, p in enumerate(PARITIES)]
+    lone = written(lone.groupBy("of").agg(F.count("*").alias("lone"), *theirs), "lone").hint("merge")
     able = own.join(lone, F.col("key") == F.col("of"), "left").withColumn("most", F.col("size") - F.coalesce("lone", F.lit(0)))
-    able = able.filter(F.col("most") * 5 >= F.col("size") * 4).select(F.col("key").alias("k"), "most", *PARITIES)
+    shared = [F.col(p).bitwiseXOR(F.coalesce(f"lone_{p}", F.lit(0).cast("long"))).alias(p) for p in PARITIES]
+    able = able.filter(F.col("most") * 5 >= F.col("size") * 4).select(F.col("key").alias("k"), "most", *shared)
     return mixed.join(written(able, "able").hint("merge"), F.col("key") == F.col("k")).select(*mixed.columns, "most", *PARITIES)
 
 
+def _mixed(placed: DataFrame) -> DataFrame:
+    """The members of the buckets with several roots, with the most frequent root as main."""
+    sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("roots")).filter("roots > 1")
+    main = written(main.select(F.col("bucket").alias("mixed"), "main"), "main").hint("merge")
+    return placed.join(main, F.col("bucket") == F.col("mixed")).select(*placed.columns, "main")
+
+
+def _pairs(some: DataFrame, live: DataFrame) -> DataFrame:
+    """(a, b), a > b, of some members with others of their buckets that have another root, unless a bound rules them out."""
+    some = some.select("bucket", *[F.col(c).alias(f"{c}_x") for c in ("key", "size", "root", "most", *PARITIES)])
+    apart = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"{p}_x"))) for p in PARITIES), F.lit(0))
+    both = F.col("size") + F.col("size_x")
+    apart = both - F.col("most") - F.col("most_x") + apart
+    fits = (some["bucket"] == live["bucket"]) & (F.col("root") != F.col("root_x")) & (F.least("size", "size_x") * 5 >= F.greatest("size", "size_x") * 4)
+    fits = fits & (F.least("most", "most_x") * 9 >= both * 4) & (apart * 9 <= both)
+    return some.join(live.hint("merge"), fits).select(F.greatest("key_x", "key").alias("a"), F.least("key_x", "key").alias("b")).distinct()
+
+
+def _moved(live: DataFrame, links: DataFrame) -> DataFrame:
+    """live without main, with the roots that the links lead to."""
+    own = written(live.select(F.col("key").alias("k"), F.col("root").alias("r")).distinct(), "own")
+    of = lambda s: own.select(F.col("k").alias(s), F.col("r").alias(f"root_{s}")).hint("merge")
+    ends = links.join(of("a"), "a").join(of("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    new = written(components(ends), "moved").select("node", F.col("root").alias("new")).hint("merge")
+    return live.drop("main").join(new, F.col("root") == F.col("node"), "left").withColumn("root", F.coalesce("new", "root")).drop("node", "new")
+
+
 def groups(marks: DataFrame, rows: DataFrame) -> DataFrame:
     """(node, root) of the keys that are alike others; marks is a written table of marked(rows)."""
     distinct = marks.groupBy("key").agg(F.min("_row").alias("_of"), *[F.any_value(c).alias(c) for c in ("size", "bands", "fingerprint")])
@@ -173,16 +207,12 @@ def groups(marks: DataFrame, rows: DataFrame) -> DataFrame:
     roots = written(components(found), "roots").hint("merge")
     placed = members.join(roots, F.col("key") == F.col("node"), "left").select("bucket", "key", "size", F.coalesce("root", "key").alias("root"))
     placed = written(placed, "placed")
-    sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("roots")).filter("roots > 1")
-    main = written(main.select(F.col("bucket").alias("mixed"), "main"), "main").hint("merge")
-    mixed = written(placed.join(main, F.col("bucket") == F.col("mixed")).select("bucket", "key", "size", "root", "main"), "mixed")
-    live = written(_able(mixed, sets), "live")
-    outside = live.filter("root <> main").select("bucket", *[F.col(c).alias(f"{c}_x") for c in ("key", "size", "root", "most", *PARITIES)])
-    apart = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"{p}_x"))) for p in PARITIES), F.lit(0))
-    both = F.col("size") + F.col("size_x")
-    fits = (outside["bucket"] == live["bucket"]) & (F.col("root") != F.col("root_x")) & (F.least("size", "size_x") * 5 >= F.greatest("size", "size_x") * 4)
-    fits = fits & (F.least("most", "most_x") * 9 >= both * 4) & (apart * 9 <= both)
-    pairs = outside.join(live.hint("merge"), fits).select(F.greatest("key_x", "key").alias("a"), F.least("key_x", "key").alias("b")).distinct()
-    pairs = written(pairs.join(stars.hint("merge"), ["a", "b"], "left_anti"), "pairs")
-    return components(found.unionByName(written(_links(pairs, sets), "more")))
+    live = written(_able(written(_mixed(placed), "mixed"), sets), "live")
+    centre = live.groupBy("bucket").agg(F.min(F.struct(F.col("size") - F.col("most"), "key"))["key"].alias("centre")).withColumnRenamed("bucket", "in")
+    centre = live.join(written(centre, "centre").hint("merge"), (F.col("bucket") == F.col("in")) & (F.col("key") == F.col("centre"))).select(live.columns)
+    near = written(_pairs(centre, live).join(stars.hint("merge"), ["a", "b"], "left_anti"), "near")
+    second = written(_links(near, sets), "second")
+    live = written(_mixed(written(_moved(live, second), "moved")), "live")
+    pairs = _pairs(live.filter("root <> main"), live).join(stars.hint("merge"), ["a", "b"], "left_anti")
+    pairs = written(pairs.join(near.hint("merge"), ["a", "b"], "left_anti"), "pairs")
+    return components(found.unionByName(second).unionByName(written(_links(pairs, sets), "more")))
