@@ -45,3 +45,20 @@ def test_a_scan_writes_no_stems(spark, monkeypatch):
     kept = {(r.query_id, r.id): round(r.score, 9) for r in search.bm25(queries, search.postings(docs, ["title", "text"]), docs).collect()}
     assert got == kept and len(got) == 7
     assert max(cells) <= 61 + 3 * 7
+
+
+def test_paired_items_are_dealt_by_their_number(spark, monkeypatch):
+    from collections import Counter
+    from itertools import combinations
+
+    from weftgraph.operators import analytics
+
+    monkeypatch.setattr(analytics, "PAIRED", 100)
+    rng = random.Random(5)
+    rows = [(rng.randrange(200), rng.randrange(20)) for _ in range(1500)] + [(None, 1), (None, 2), (3, None)]
+    got = analytics.cooccurrence(spark.createDataFrame(rows, "g int, i int"), "g", "i", 2)
+    held = {g: {i for h, i in rows if h == g and i is not None} for g in range(200)}
+    want = Counter(p for s in held.values() for p in combinations(sorted(s), 2))
+    assert {(r.a, r.b): r.weight for r in got.collect()} == {p: n for p, n in want.items() if n >= 2}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(a#" in plan and ", 16), REPARTITION_BY_NUM" in plan

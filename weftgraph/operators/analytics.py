@@ -31,11 +31,20 @@ def shared_field(df: DataFrame, key: str, field: str) -> DataFrame:
     return x.join(y, "_f").filter("a < b").select("a", "b", F.col("_f").alias(field))
 
 
+#: Rows of a partition of items that are paired; its pairs and their counts are what a task holds.
+PAIRED = 250_000
+
+
 def cooccurrence(df: DataFrame, group: str, item: str, least: int = 1) -> DataFrame:
-    """(a, b, weight): distinct groups in which both items are, a < b."""
-    d = df.select(group, item).distinct()
+    """(a, b, weight): distinct groups in which both items are, a < b.
+
+    Rows are dealt by group and pairs by their ends over partitions whose number grows with the rows, so that what a task sorts and
+    counts doesn't; pairs hardly repeat before they meet, so they aren't counted in part first."""
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // PAIRED))
+    d = df.select(group, item).repartition(parts, group).distinct()
     x, y = d.withColumnRenamed(item, "a"), d.withColumnRenamed(item, "b")
-    return x.join(y, group).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("weight")).filter(F.col("weight") >= least)
+    met = x.join(y, group).filter("a < b").select("a", "b").repartition(parts, "a", "b")
+    return met.groupBy("a", "b").agg(F.count("*").alias("weight")).filter(F.col("weight") >= least)
 
 
 def proximity(df: DataFrame, doc: str, place: str, label: str, most: int = 3) -> DataFrame:
