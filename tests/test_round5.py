@@ -62,3 +62,15 @@ def test_paired_items_are_dealt_by_their_number(spark, monkeypatch):
     assert {(r.a, r.b): r.weight for r in got.collect()} == {p: n for p, n in want.items() if n >= 2}
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(a#" in plan and ", 16), REPARTITION_BY_NUM" in plan
+
+
+def test_a_walk_takes_a_bounded_number_of_edges_of_a_node(spark, monkeypatch):
+    from weftgraph.operators import paths
+
+    plans, cut = [], paths.cut
+    monkeypatch.setattr(paths, "cut", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), cut(df))[1])
+    edges = spark.createDataFrame([("hub", f"n{k:03}", "A") for k in range(300)] + [(f"s{k}", "hub", "B") for k in range(5)], "source string, target string, type string")
+    nodes = spark.createDataFrame([("hub", "Note", 1)] + [(f"n{k:03}", "Note", 2) for k in range(300)] + [(f"s{k}", "Note", 1) for k in range(5)], "id string, label string, cost int")
+    got = paths.budgeted(edges, nodes, spark.createDataFrame([(k, f"s{k}", 1) for k in range(5)], "query_id int, id string, place int"), 2, 12).collect()
+    assert {q: [r.id for r in sorted(got, key=lambda r: r.place) if r.query_id == q] for q in range(5)} == {q: [f"s{q}", "hub", *(f"n{k:03}" for k in range(5))] for q in range(5)}
+    assert any("WindowGroupLimit [source" in p for p in plans)
