@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftgraph.catalog import Catalog
+from weftgraph.functions import text as X
 from weftgraph.lang import Session
 from weftgraph.operators.checkpoints import Checkpoints
 from weftgraph.operators.graph import PropertyGraph, graph_of_tables
@@ -70,7 +71,8 @@ def index_deltas(spark, d):
     docs, queries = corpus(spark, d)
     index = SparseIndex.create(docs.filter("id % 2 = 0"), fresh_folder(spark, "index"), ["text"])
     index.update(docs.filter("id % 2 <> 0"))
-    changed = table(spark, d, "documents").filter("doc_id % 3 = 0").selectExpr("doc_id AS id", "upper(substr(text, 1, 1)) || ' ' || text || ' ' || lang AS text")
+    longer = F.concat(X.capital(F.substring("text", 1, 1)), F.lit(" "), "text", F.lit(" "), "lang")
+    changed = table(spark, d, "documents").filter("doc_id % 3 = 0").select(F.col("doc_id").alias("id"), longer.alias("text"))
     index.update(changed, docs.filter("id % 7 = 0"))
     index.update(None, docs.filter("id % 21 = 0"))
     index.merge()
